@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqbucket.functions.kmer import mer_code, mer_key
-from seqbucket.llm import collapse, frequent, leak, seen, spans, tokenize
+from seqbucket.llm import collapse, frequent, leak, seen, spans, tokenize, truncated
 from seqbucket.plans.problems import KEY_SQL
 from seqbucket.session import table
 
@@ -88,7 +88,26 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_spans(*_leak(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_round_trip, p8_found, p8_spans)}
+def _texts(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "documents"), "doc_id", "source", "text"
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncated.judged(*_texts(spark, d)).where("cut = 1").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncated.rates(*_texts(spark, d))
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths at which each source cuts."""
+    return truncated.limits(truncated.shapes(*_texts(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_round_trip, p8_found, p8_spans, p9_found, p9_limits, p9_rates)}
 
 _TOP_SQL = f"""
 WITH seqs AS (SELECT seq AS item, count(DISTINCT read_id) AS n FROM reads WHERE seq IS NOT NULL GROUP BY seq ORDER BY n DESC, item LIMIT 20),
