@@ -33,10 +33,10 @@ def salted_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: s
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def dense_codes(keys: DataFrame, key: str) -> DataFrame:
-    """keys (one row per key) with a column code: 0, 1, 2 ... without gaps. Every partition counts its own
-    rows; only the counts, one per partition, are added up and broadcast."""
-    rows = materialize(keys.withColumn("_mid", F.monotonically_increasing_id()), "codes")
+def dense_codes(rows: DataFrame) -> DataFrame:
+    """rows with a column code: 0, 1, 2 ... without gaps, in order of partitions and of rows in them. Every
+    partition counts its own rows; only the counts, one per partition, are added up and broadcast."""
+    rows = materialize(rows.withColumn("_mid", F.monotonically_increasing_id()), "codes")
     part = F.shiftright("_mid", 33)
     before = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = before.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -100,7 +100,7 @@ def distinct_per_key(rows: DataFrame, key: str, items: str, row_id: str, limit:
         .where("_key is not null and size(_ids) > 0")
     )
     keys = base.groupBy("_key").agg(F.count("*").alias("_rows"), F.sum(F.size("_ids").cast("bigint")).alias("_n"))
-    coded = materialize(dense_codes(keys, "_key"), "dictionary")
+    coded = materialize(dense_codes(keys), "dictionary")
     total = coded.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     encoded = salted_lookup(base, coded.select("_key", "_rows", "code"), "_key", "_rows", "_row", limit)
     pairs = encoded.select("code", F.explode("_ids").alias("_id")).distinct()
