@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,19 +48,25 @@ def unpermute(body: Column, key: Column, off: Column) -> Column:
     return F.concat(F.substr(body, rest + 1), key, F.substr(body, F.lit(1), rest))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once a row though f uses it for every element of an array."""
+    return F.transform(F.array(value), f)[0]
+
+
 def two_bit_hex(seq: Column) -> Column:
     """Two bits a base, the first base in the lowest bits of a byte, A and N 0, G 1, C 2, T 3, the last byte
     filled with 0; upper-case hexadecimal."""
-    padded = F.translate(normalize(seq), "ANGCT", "00123")
     groups = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(seq) / 4).cast("int") - 1, F.lit(0)))
-    digits = F.transform(groups, lambda i: F.lpad(F.conv(F.reverse(F.substr(padded, i * 4 + 1, F.lit(4))), 4, 16), 2, "0"))
-    return F.when(seq == "", F.lit("")).otherwise(F.array_join(digits, ""))
+    digit = lambda s, i: F.lpad(F.conv(F.reverse(F.substr(s, i * 4 + 1, F.lit(4))), 4, 16), 2, "0")
+    digits = _let(F.translate(normalize(seq), "ANGCT", "00123"), lambda s: F.transform(groups, lambda i: digit(s, i)))
+    return F.when(seq.isNull(), F.lit(None)).when(seq == "", F.lit("")).otherwise(F.array_join(digits, ""))
 
 
 def two_bit_decode(packed: Column, size: Column) -> Column:
     """The bases of two_bit_hex, N come back as A."""
     groups = F.sequence(F.lit(0), F.greatest(F.ceil(size / 4).cast("int") - 1, F.lit(0)))
-    bases = F.transform(groups, lambda i: F.translate(F.reverse(F.lpad(F.conv(F.substr(packed, i * 2 + 1, F.lit(2)), 16, 4), 4, "0")), "0123", "AGCT"))
+    four = lambda s, i: F.translate(F.reverse(F.lpad(F.conv(F.substr(s, i * 2 + 1, F.lit(2)), 16, 4), 4, "0")), "0123", "AGCT")
+    bases = _let(packed, lambda s: F.transform(groups, lambda i: four(s, i)))
     return F.when(size.isNull(), F.lit(None)).otherwise(F.substr(F.array_join(bases, ""), F.lit(1), size))
 
 
@@ -71,8 +79,7 @@ def lcp(a: Column, b: Column, most: Column) -> Column:
 
 def n_positions(seq: Column) -> Column:
     """Places of N, from 0."""
-    places = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)))
-    return F.filter(places, lambda i: F.substr(seq, i + 1, F.lit(1)) == "N")
+    return F.array_compact(F.transform(F.split(seq, ""), lambda c, i: F.when(c == "N", i)))
 
 
 def mirrored(positions: Column, size: Column) -> Column:
@@ -82,12 +89,10 @@ def mirrored(positions: Column, size: Column) -> Column:
 
 def patch_n(seq: Column, positions: Column) -> Column:
     """N at these places."""
-    places = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)))
-    return F.when(seq == "", seq).otherwise(
-        F.array_join(F.transform(places, lambda i: F.when(F.array_contains(positions, i), F.lit("N")).otherwise(F.substr(seq, i + 1, F.lit(1)))), "")
-    )
+    put = lambda at: F.transform(F.split(seq, ""), lambda c, i: F.when(F.array_contains(at, i), F.lit("N")).otherwise(c))
+    return F.when((seq == "") | (F.size(positions) == 0), seq).otherwise(F.array_join(_let(positions, put), ""))
 
 
 def merged(first: Column, second: Column, orientation: Column) -> Column:
     """Mates as one sequence: the second is turned where mates face each other or away from each other."""
-    return F.concat(first, F.when(orientation.isin(1, 2), revcomp(second)).otherwise(normalize(second)))
+    return F.concat(normalize(first), F.when(orientation.isin(1, 2), revcomp(second)).otherwise(normalize(second)))

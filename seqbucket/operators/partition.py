@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +49,31 @@ def best_ranges(rows: list[tuple[str, int]], core: int, window: int = WINDOW, co
 def partition(places: DataFrame, core: int, block: int = 4096, window: int = WINDOW) -> DataFrame:
     """(key, block, first, last, pref_len): places(key, pos, off, body) in ranges. A bucket is worked on in
     blocks of its order, so that no task gets an unbounded bucket; ranges end at block borders."""
-    schema = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("block", "first", "last", "pref_len"))])
+    names = ["block", "first", "last", "pref_len"]
+    schema = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)])
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        base = int(group["pos"].iloc[0])
-        rows = list(zip(group["rest"], group["off"]))
-        out = [(group["key"].iloc[0], int(group["block"].iloc[0]), base + a, base + b, p) for a, b, p in best_ranges(rows, core, window)]
-        return pd.DataFrame(out, columns=schema.names)
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def ranges() -> list[tuple]:
+            return [(*at, held[0][0] + a, held[0][0] + b, p) for a, b, p in best_ranges([x[1:] for x in held], core, window)]
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=schema.names)
+
+        for b in batches:
+            out = []
+            for key, block, pos, rest, off in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, block) != at:
+                    out += ranges() if held else []
+                    at, held = (key, block), []
+                held.append((pos, rest, off))
+            if out:
+                yield batch(out)
+        if held:
+            yield batch(ranges())
 
     rest = F.expr("substring(body, 1, length(body) - off)")
-    return places.select("key", "pos", "off", rest.alias("rest"), F.floor(F.col("pos") / block).alias("block")).groupBy("key", "block").applyInPandas(best, schema)
+    rows = places.select("key", F.floor(F.col("pos") / block).alias("block"), "pos", rest.alias("rest"), "off")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "pos").mapInArrow(best, schema)

@@ -19,6 +19,7 @@ from seqbucket.operators.skew import dense_codes
 from seqbucket.plans.problems import KEY_SQL
 from seqbucket.session import materialize, table
 from seqbucket.sources import fastx
+from seqbucket.streaming import arrivals
 
 K = assign.K
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,3 +507,10 @@ def q_size_report(spark: SparkSession, d: str) -> DataFrame:
     """Sizes per data set (lang), a column per method (source)."""
     t = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("-")).alias("dataset"))
     return t.pivot("source", list(METHODS)).agg(F.sum("n_chars"))
+
+
+@query("SELECT date_trunc('day', loaded_at) AS window_start, run_no, count(*) AS n, CAST(sum(coalesce(length(seq), 0)) AS BIGINT) AS n_bases FROM reads WHERE loaded_at IS NOT NULL GROUP BY ALL")
+def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of reads per day and run, counted by a stream."""
+    counts = arrivals.window_counts(arrivals.arriving(spark, f"{d}/reads.parquet"))
+    return arrivals.run_to_end(counts, fastx.scratch(spark, "stream"), fastx.scratch(spark, "stream-checkpoint"))

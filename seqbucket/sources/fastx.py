@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from seqbucket.session import shared_dir
 
-SCHEMA = "file string, ordinal bigint, mate int, header string, seq string, qual string"
+SCHEMA = "file string, pair int, ordinal bigint, mate int, header string, seq string, qual string"
 
 
 class FastxError(ValueError):
@@ -113,8 +113,8 @@ def parse(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, str
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: tuple[str, ...]):
-        self.paths = paths
+    def __init__(self, number: int, paths: tuple[str, ...]):
+        self.number, self.paths = number, paths
 
 
 def _listed(path: str) -> list[str]:
@@ -156,13 +156,13 @@ class FastxReader(DataSourceReader):
             raise FastxError(f"{len(self.first)} files of first mates and {len(self.second)} of second")
 
     def partitions(self) -> list[InputPartition]:
-        return [_Files(p) for p in (zip(self.first, self.second) if self.second else ((p,) for p in self.first))]
+        return [_Files(i, p) for i, p in enumerate(zip(self.first, self.second) if self.second else ((p,) for p in self.first))]
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         if len(part.paths) == 1:
             with _open(part.paths[0]) as f:
                 for n, (header, seq, qual) in enumerate(parse(f, part.paths[0])):
-                    yield part.paths[0], n, None, header, seq, qual
+                    yield part.paths[0], part.number, n, None, header, seq, qual
             return
         with _open(part.paths[0]) as f, _open(part.paths[1]) as g:
             both = parse(f, part.paths[0]), parse(g, part.paths[1])
@@ -174,5 +174,5 @@ class FastxReader(DataSourceReader):
                     return
                 if (a[2] is None) != (b[2] is None):
                     raise FastxError(f"{part.paths[0]} and {part.paths[1]} are of different formats")
-                yield part.paths[0], n, 1, *a
-                yield part.paths[1], n, 2, *b
+                yield part.paths[0], part.number, n, 1, *a
+                yield part.paths[1], part.number, n, 2, *b
