@@ -44,7 +44,7 @@ def brute(records, known):
     first: dict = {}
     for i, k in records:
         first[k] = min(i, first.get(k, i))
-    return sorted({(i,) for i, k in records if k in known or first[k] < i})
+    return sorted({(i,) for i, k in records if k in known or first[k] < i}, key=repr)
 
 
 @pytest.mark.parametrize("bits", [1, 16])
