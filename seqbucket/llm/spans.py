@@ -4,8 +4,9 @@ The tokens of a text are its overlapping grams. In the Cartesian tree of the tok
 given length has a root, the leftmost smallest hash in it; neighbouring stretches with one root form a
 compact window, about two in every stretch's length. Equal stretches have equal roots at equal places, so a
 stretch can only stand in two records if its window's signature does. Windows whose signature stands in one
-record only are dropped; the stretches of the others are compared by their content. Nothing is paired: both
-steps ask each group only for its smallest and its largest record."""
+record only are dropped. Of the others, a signature with one window text is shared as it stands; where texts differ,
+each text is taken once and its stretches are compared by their content. Nothing is paired: all steps ask a
+group only for its smallest and its largest record."""
 
 from __future__ import annotations
 
@@ -117,15 +118,15 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int, content: b
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-_STRETCH = [("rec_id", pa.int64()), ("pos", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]
+_STRETCH = [(n, pa.int64()) for n in ("k1", "k2", "off", "h1", "h2", "low", "high")]
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """(rec_id, start, text) of windows -> each stretch with 128 bits of hash of its content."""
+    """(k1, k2, low, high, text) of windows -> each stretch, with 128 bits of hash of its content."""
     schema = pa.schema(_STRETCH)
     for b in batches:
-        ids, begins = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        texts = b.column(2).to_pylist()
+        k1, k2, low, high = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        texts = b.column(4).to_pylist()
         for at, codes, starts in _runs(texts):
             one, two = (gram_hashes(codes, span, m) for m in (_M1, _M2))
             if not len(one):
@@ -135,9 +136,8 @@ def _stretches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Reco
             keep = i + span <= starts[owner + 1]
             i, owner = i[keep], owner[keep]
             row = np.asarray(at)[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row], pa.int64()), pa.array(begins[row] + i - starts[owner], pa.int64()), pa.array(one[i].view(np.int64)), pa.array(two[i].view(np.int64))], schema=schema
-            )
+            columns = [k1[row], k2[row], i - starts[owner], one[i].view(np.int64), two[i].view(np.int64), low[row], high[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
 
 def _struct(fields: list) -> T.StructType:
@@ -151,18 +151,28 @@ def shared_spans(df: DataFrame, row_id: str, text: str, span: int = 64, gram: in
     runs; a row delivered twice (equal row_id) shares nothing with itself. Texts are read whole."""
     gram = min(gram, span)
     source = df.select(F.col(row_id).cast("bigint").alias("rec_id"), F.col(text).alias("_text")).where(F.length("_text") >= span)
-    several = lambda *c: [F.min("rec_id").alias("_a"), F.max("rec_id").alias("_b")]
     signatures = source.mapInArrow(lambda it: _windows(it, span, gram, False), _struct(_WINDOW[:2]))
-    shared = signatures.groupBy("signature").agg(*several()).where("_a < _b").select("signature")
+    several = [F.min("rec_id").alias("low"), F.max("rec_id").alias("high")]
+    shared = signatures.groupBy("signature").agg(*several).where("low < high").select("signature")
     windows = source.mapInArrow(lambda it: _windows(it, span, gram, True), _struct(_WINDOW))
-    left = windows.join(shared, "signature", "left_semi").select("rec_id", "start", "text")
-    stretches = materialize(left.mapInArrow(lambda it: _stretches(it, span), _struct(_STRETCH)), "stretches")
-    twice = stretches.groupBy("h1", "h2").agg(*several()).where("_a < _b").select("h1", "h2")
-    found = stretches.join(twice, ["h1", "h2"], "left_semi").select("rec_id", "pos")
-    by_place = W.partitionBy("rec_id").orderBy("pos")
-    gap = F.coalesce(F.col("pos") > F.lag("pos").over(by_place) + span, F.lit(False))
-    runs = found.withColumn("_run", F.sum(gap.cast("int")).over(by_place))
-    return runs.groupBy("rec_id", "_run").agg(F.min("pos").alias("start_pos"), (F.max("pos") + span).alias("end_pos")).select(F.col("rec_id").alias(row_id), "start_pos", "end_pos")
+    keys = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+    left = materialize(windows.join(shared, "signature", "left_semi").select("rec_id", "signature", "start", "text", *keys), "windows")
+    # windows of one text are one row; a signature with one text only is shared as it stands
+    texts = materialize(left.groupBy("signature", "k1", "k2", "text").agg(*several), "texts")
+    mixed = texts.groupBy("signature").agg(F.count("*").alias("_n")).where("_n > 1").select("signature", F.lit(True).alias("_mixed"))
+    stretches = texts.join(mixed, "signature", "left_semi").select("k1", "k2", "low", "high", "text")
+    stretches = materialize(stretches.mapInArrow(lambda it: _stretches(it, span), _struct(_STRETCH)), "stretches")
+    twice = stretches.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h1", "h2")
+    # a window has no more than span - gram + 1 stretches
+    found = stretches.join(twice, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("off").alias("_offs"))
+    places = left.select("rec_id", "signature", "start", "k1", "k2", (F.length("text") - span).alias("_last")).join(mixed, "signature", "left")
+    whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("_last")).alias("hi")))
+    single = F.transform("_offs", lambda o: F.struct((F.col("start") + o).alias("lo"), (F.col("start") + o).alias("hi")))
+    hits = places.join(found, ["k1", "k2"], "left").select("rec_id", F.explode(F.when(F.col("_mixed").isNull(), whole).otherwise(single)).alias("_p")).select("rec_id", "_p.*")
+    by_place = W.partitionBy("rec_id").orderBy("lo", "hi")
+    gap = F.coalesce(F.col("lo") > F.lag("hi").over(by_place) + span, F.lit(False))
+    runs = hits.withColumn("_run", F.sum(gap.cast("int")).over(by_place))
+    return runs.groupBy("rec_id", "_run").agg(F.min("lo").alias("start_pos"), (F.max("hi") + span).alias("end_pos")).select(F.col("rec_id").alias(row_id), "start_pos", "end_pos")
 
 
 def shared_share(df: DataFrame, row_id: str, text: str, span: int = 64) -> DataFrame:
