@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from seqbucket.session import materialize
+
 #: Neighbours to either side of a length, the least count of a spike, how many times its neighbours' mean
 #: it has, and the share of a source's texts from which a closing line is expected in all of them.
 NEAR, LEAST, TIMES, USUAL = 12, 4, 5.0, 0.8
@@ -82,7 +84,12 @@ def _message(lines: list[str], midline: bool) -> int:
         return OPEN
     if last.endswith(_END):
         return WHOLE
-    return BROKEN if midline and any(not x.strip() for x in lines) else OPEN
+    blank = next((i for i in reversed(range(len(lines))) if not lines[i].strip()), None)
+    if not midline or blank is None:
+        return OPEN
+    # a quotation may begin and end anywhere; a paragraph of the message's own begins like a sentence
+    paragraph = "".join(lines[blank + 1 :]).strip()
+    return BROKEN if paragraph[0].isupper() and paragraph != paragraph.upper() else OPEN
 
 
 def ending(text: str) -> tuple[int, bool, bool]:
@@ -98,7 +105,7 @@ def ending(text: str) -> tuple[int, bool, bool]:
         lines.pop()
     signed = len(lines) > 1 and bool(_VERSION.match(lines[-1])) and bool(_SIGNED.match(lines[-2]))
     midline = text == text.rstrip("\r\n")
-    if midline and tail.endswith(("…", "�", " [")):
+    if midline and (tail.endswith(("�", " [")) or (tail.endswith("…") and tail[-2:-1].strip())):
         return BROKEN, signed, named
     if midline and tail.endswith("..."):
         return DOTS, signed, named
@@ -153,7 +160,7 @@ def limits(shape: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     """shapes with at_limit and cut (0 or 1). A source that is null is a source of its own."""
-    shape = shapes(df, row_id, source, text)
+    shape = materialize(shapes(df, row_id, source, text), "shapes")
     usual = shape.groupBy("source").agg((F.avg("signed") >= USUAL).alias("_signs"), (F.avg("named") >= USUAL).alias("_names"))
     spikes = limits(shape).groupBy(F.col("source").alias("_of")).agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_bytes")
