@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of a phrase; bytes of text in a shard; distance of sampled positions; characters of items in one pass.
-PHRASE, SHARD, SAMPLE, ITEM_CHARS = 12, 6 << 20, 16, 8 << 20
+#: Words of a phrase; bytes of text in a shard, and words at most; distance of sampled positions; characters of items in one pass.
+PHRASE, SHARD, SHARD_WORDS, SAMPLE, ITEM_CHARS = 12, 6 << 20, 2 << 20, 16, 8 << 20
 
 _LOWER = np.zeros(256, np.uint64)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -154,34 +154,78 @@ class FMIndex:
         return text, place - self.begin[text]
 
 
+def all_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words, of a long text piece by piece; pieces end outside words (a word longer than a piece stays whole)."""
+    if len(data) <= SHARD:
+        return words(data)
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + SHARD)
+        while end < len(data) and _LOWER[data[end]] and _LOWER[data[end - 1]]:
+            end += 1
+        h, a, b = words(data[at:end])
+        parts.append((h, a + at, b + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 _HIT = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())]
+#: A piece of a text in the index: number of the text, number of its first word, hashes.
+Piece = tuple[int, int, np.ndarray]
+
+
+class Phrases:
+    """All phrases of size consecutive words of the items, as hashes."""
 
+    def __init__(self, items: list[tuple[int, np.ndarray]], size: int):
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.size = size
+        self.hashes = np.concatenate([np.zeros((0, size), np.uint64), *(np.lib.stride_tricks.sliding_window_view(w, size) for _, w in items)])
+        self.item = np.repeat(np.arange(len(items)), [len(w) - size + 1 for _, w in items])
 
-def _search(docs: list[tuple[int, bytes]], items: list[tuple[int, np.ndarray]], size: int) -> Iterator[tuple[int, int, int, int]]:
-    """Merged spans of an item in a document, in characters, of one shard."""
-    found = [words(data) for _, data in docs]
-    index = FMIndex([f[0] for f in found])
-    phrases = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, size) for _, w in items])
-    item = np.repeat(np.arange(len(items)), [len(w) - size + 1 for _, w in items])
-    low, high = index.count(phrases)
-    hits = high - low
-    rows = np.repeat(low, hits) + np.arange(int(hits.sum())) - np.repeat(np.cumsum(hits) - hits, hits)
-    doc, word = index.locate(rows)
-    item = np.repeat(item, hits)
-    by = np.lexsort((word, item, doc))
-    doc, item, word = doc[by], item[by], word[by]
-    if not len(doc):
+    def hits(self, pieces: list[Piece]) -> np.ndarray:
+        """Rows (text, item, word) of all places of all phrases."""
+        index = FMIndex([h for _, _, h in pieces])
+        low, high = index.count(self.hashes)
+        n = high - low
+        rows = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        piece, word = index.locate(rows)
+        text, base = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
+        return np.stack([text[piece], np.repeat(self.item, n), word + base[piece]], axis=1)
+
+
+def _spans(docs: list[tuple[int, bytes]], found: list[tuple], hits: np.ndarray, asked: Phrases) -> Iterator[tuple[int, int, int, int]]:
+    """Hits of one item in one text that overlap or touch, merged; in characters."""
+    if not len(hits):
         return
-    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(word) > size)])
+    doc, item, word = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))].T
+    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(word) > asked.size)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(doc)]]) - 1
     chars, at = None, -1
-    for d, i, a, b in zip(doc[first].tolist(), item[first].tolist(), word[first].tolist(), (word[last] + size - 1).tolist()):
+    for d, i, a, b in zip(doc[first].tolist(), item[first].tolist(), word[first].tolist(), (word[last] + asked.size - 1).tolist()):
         if d != at:
             at = d
-            chars = np.cumsum((np.frombuffer(docs[d][1], np.uint8) & 0xC0) != 0x80)
+            chars = np.cumsum((np.frombuffer(docs[d][1], np.uint8) & 0xC0) != 0x80, dtype=np.int64)
         _, starts, ends = found[d]
-        yield docs[d][0], items[i][0], int(chars[starts[a]]) - 1, int(chars[ends[b] - 1])
+        yield docs[d][0], int(asked.ids[i]), int(chars[starts[a]]) - 1, int(chars[ends[b] - 1])
+
+
+def _search(docs: list[tuple[int, bytes]], asked: Phrases) -> Iterator[tuple[int, int, int, int]]:
+    """Spans of a shard's texts. A text of many words is indexed in pieces that overlap by a phrase less a word."""
+    found = [all_words(data) for _, data in docs]
+    over = asked.size - 1
+    hits, pieces, held = [], [], 0
+    for d, (h, _, _) in enumerate(found):
+        for at in range(0, max(1, len(h) - over), SHARD_WORDS):
+            pieces.append((d, at, h[at : at + SHARD_WORDS + over]))
+            held += len(pieces[-1][2])
+            if held >= SHARD_WORDS:
+                hits.append(asked.hits(pieces))
+                pieces, held = [], 0
+    if pieces:
+        hits.append(asked.hits(pieces))
+    yield from _spans(docs, found, np.concatenate(hits), asked)
 
 
 def leaked_spans(corpus: DataFrame, row_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = PHRASE) -> DataFrame:
@@ -202,11 +246,11 @@ def leaked_spans(corpus: DataFrame, row_id: str, text: str, items: DataFrame, it
     for k in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # about ITEM_CHARS characters
         hashed = [(r["id"], words(r["text"].encode("utf-8", "surrogatepass"))[0]) for r in rows]
-        sent = spark.sparkContext.broadcast([(i, w) for i, w in hashed if len(w) >= size])
+        sent = spark.sparkContext.broadcast(Phrases([(i, w) for i, w in hashed if len(w) >= size], size))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             def flush(docs: list) -> Iterator[pa.RecordBatch]:
-                found = list(zip(*_search(docs, sent.value, size))) if docs and sent.value else []
+                found = list(zip(*_search(docs, sent.value))) if docs and len(sent.value.ids) else []
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=arrow)
 

@@ -51,19 +51,28 @@ def gram_hashes(codes: np.ndarray, width: int, multiplier: np.uint64 = _M1) -> n
     return out
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Texts, some at a time: places, code points side by side, and where each begins (and the end)."""
-    at: list[int] = []
+def _runs(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts, about CHARS characters at a time: the row and the first character of each piece, code points
+    side by side, and where each piece begins (and the end). A longer text comes in pieces that overlap."""
+    at: list[tuple[int, int, int]] = []
     size = 0
+
+    def run() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        joined = "".join(texts[i][a:b] for i, a, b in at)
+        starts = np.concatenate([[0], np.cumsum([b - a for _, a, b in at])])
+        row, first, _ = np.array(at, np.int64).T
+        return row, first, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), starts
+
     for i, t in enumerate(texts):
-        if t:
-            at.append(i)
-            size += len(t)
-        if at and (size >= CHARS or i == len(texts) - 1):
-            joined = "".join(texts[j] for j in at)
-            starts = np.concatenate([[0], np.cumsum([len(texts[j]) for j in at])])
-            yield at, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), starts
-            at, size = [], 0
+        for a in range(0, len(t or "") - overlap, CHARS):
+            b = min(len(t), a + CHARS + overlap)
+            at.append((i, a, b))
+            size += b - a
+            if size >= CHARS:
+                yield run()
+                at, size = [], 0
+    if at:
+        yield run()
 
 
 def _roots(codes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +105,7 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int, content: b
     schema = pa.schema(_WINDOW if content else _WINDOW[:2])
     for b in batches:
         ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-        for at, codes, starts in _runs(texts):
+        for row, base, codes, starts in _runs(texts, span - 1):
             place, low = _roots(codes, span, gram)
             if not len(place):
                 continue
@@ -109,12 +118,13 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int, content: b
                 continue
             whole = np.concatenate([np.flatnonzero(new | ~inside), [len(place)]])
             last = whole[np.searchsorted(whole, first, side="right")]
-            rec, signature = ids[np.asarray(at)[owner[first]]], low[first].view(np.int64)
+            own = owner[first]
+            rec, signature = ids[row[own]], low[first].view(np.int64)
             columns = [pa.array(rec, pa.int64()), pa.array(signature)]
             if content:
-                begin = first - starts[owner[first]]
+                begin = first - starts[own] + base[own]
                 size = last - first + span - 1
-                columns += [pa.array(begin, pa.int64()), pa.array([texts[at[o]][s : s + m] for o, s, m in zip(owner[first].tolist(), begin.tolist(), size.tolist())], pa.string())]
+                columns += [pa.array(begin, pa.int64()), pa.array([texts[r][s : s + m] for r, s, m in zip(row[own].tolist(), begin.tolist(), size.tolist())], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -127,7 +137,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Reco
     for b in batches:
         k1, k2, low, high = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         texts = b.column(4).to_pylist()
-        for at, codes, starts in _runs(texts):
+        for row, _, codes, starts in _runs(texts, span - 1):
             one, two = (gram_hashes(codes, span, m) for m in (_M1, _M2))
             if not len(one):
                 continue
@@ -135,7 +145,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Reco
             owner = np.searchsorted(starts, i, side="right") - 1
             keep = i + span <= starts[owner + 1]
             i, owner = i[keep], owner[keep]
-            row = np.asarray(at)[owner]
+            row = row[owner]
             columns = [k1[row], k2[row], i - starts[owner], one[i].view(np.int64), two[i].view(np.int64), low[row], high[row]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 

@@ -60,3 +60,32 @@ def test_empty(spark):
     d, t = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a " * 20)], "item_id long, text string")
     assert leaked(d, "doc_id", "text", t, "item_id", "text").collect() == []
     assert leaked(t, "item_id", "text", d, "doc_id", "text").collect() == []
+
+
+def test_a_text_longer_than_a_shard(spark, rows, monkeypatch):
+    rnd = random.Random(9)
+    item = " ".join(rnd.choice("abcdefgh") for _ in range(20))
+    text = "x " * 1_500_000 + item + " y" * 3_000_000 + " " + item + " " + "z" * 8_000_000
+    d = spark.createDataFrame([(1, text), (2, item), (3, "x " * 30)], "doc_id long, text string")
+    t = spark.createDataFrame([(7, item)], "item_id long, text string")
+    first = 3_000_000
+    second = first + len(item) + 6_000_001
+    want = [(1, 7, first, first + len(item)), (1, 7, second, second + len(item)), (2, 7, 0, len(item))]
+    assert rows(leaked_spans(d, "doc_id", "text", t, "item_id", "text")) == sorted(want, key=repr)
+
+
+def test_pieces_overlap(monkeypatch):
+    from seqbucket.llm import leak
+
+    monkeypatch.setattr(leak, "SHARD_WORDS", 7)
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 3, 200).astype(np.uint64)
+    asked = leak.Phrases([(4, h[50:70])], 3)
+    data = b"a " * 200
+    monkeypatch.setattr(leak, "all_words", lambda _: (h, np.arange(0, 400, 2), np.arange(1, 400, 2)))
+    phrases = {tuple(x) for x in np.lib.stride_tricks.sliding_window_view(h[50:70], 3).tolist()}
+    hit = [i for i in range(198) if tuple(h[i : i + 3].tolist()) in phrases]
+    covered = set()
+    for _, _, a, b in leak._search([(1, data)], asked):
+        covered |= {w for w in range(200) if a <= 2 * w < b}
+    assert {w for i in hit for w in range(i, i + 3)} <= covered

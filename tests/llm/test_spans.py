@@ -50,5 +50,20 @@ def test_one_very_long_text(spark, rows):
     assert rows(shared_spans(df, "rec_id", "seq")) == [(1, 1_000_000, 1_000_200), (2, 0, 200)]
 
 
+def test_texts_in_pieces(spark, rows, monkeypatch):
+    from seqbucket.llm import spans
+
+    rnd = random.Random(6)
+    records = [(i, "".join(rnd.choice("ACGT") for _ in range(300))) for i in range(4)]
+    records.append((9, records[0][1][50:250] + records[1][1] + "AC"))
+    monkeypatch.setattr(spans, "CHARS", 37)
+    texts = [t for _, t in records]
+    got = {(int(r), int(f)) for row, first, codes, starts in spans._runs(texts, 15) for r, f in zip(row, first)}
+    assert all((i, a) in got for i, t in enumerate(texts) for a in range(0, len(t) - 15, 37))
+    for row, first, codes, starts in spans._runs(texts, 15):
+        for r, f, a, b in zip(row, first, starts, starts[1:]):
+            assert "".join(map(chr, codes[a:b])) == texts[r][f : f + b - a]
+
+
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], "rec_id long, seq string"), "rec_id", "seq").collect() == []

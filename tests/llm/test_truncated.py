@@ -16,6 +16,10 @@ HUNK = "fix it\n\ndiff --git a/x.c b/x.c\nindex 1..2 100644\n--- a/x.c\n+++ b/x.
         ("Fix.\n\nIt works no", BROKEN),
         ("Fix.\n\nIt works no\n", OPEN),
         ("Fix the thing", OPEN),
+        ("Fix.\n\n> quoted from the middle of", OPEN),
+        ("Fix.\n\nit was quoted from the middle of", OPEN),
+        ("Fix.\n\nQUOTED IN CAPITALS, FROM THE", OPEN),
+        (HUNK + " …", OPEN),
         ("Fix.\n\nIt wor…", BROKEN),
         ("Fix.\n\nIt works...", DOTS),
         ("Fix.\n\nSigned-off-by: A B <a@b.c>", WHOLE),
