@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from seqbucket.functions import dna
 from seqbucket.functions.kmer import code_mer
-from seqbucket.operators.kmers import candidates, grams, smallest
+from seqbucket.operators.kmers import candidates, gram_hits, grams, smallest
 from seqbucket.operators.skew import salted_lookup
 from seqbucket.session import materialize
 
@@ -67,20 +67,14 @@ def overlap_scores(reads: DataFrame, assigned: DataFrame, movers: DataFrame | No
     read, in the candidate's direction, whose 8-mer another read of the bucket holds."""
     who = reads if movers is None else reads.join(movers.select("read_id"), "read_id", "left_semi")
     sizes = bucket_sizes(assigned)
-    mine = assigned.select("read_id", F.col("key").alias("own"))
+    mine = assigned.select("read_id", F.col("key").alias("own"), F.col("rc").alias("own_rc"))
     cands = salted_lookup(candidates(who, "read_id", "seq", k), sizes.withColumn("n_rows", F.lit(1)), "key", "n_rows", "read_id")
-    cands = cands.join(mine, "read_id").where("key <> own or n > 1").select("read_id", "key", "off", "rc", "own")
-    f = who.select("read_id", dna.n_to_a(dna.normalize(F.col("seq"))).alias("f"), dna.n_to_a(dna.revcomp(F.col("seq"))).alias("r"))
-    count = lambda c, d: grams(f.select("read_id", c), "read_id", c, GRAM).groupBy("read_id", "gram").agg(F.count("*").alias("times")).withColumn("rc", F.lit(d).cast("bigint"))
-    profile = count("f", 0).unionByName(count("r", 1))
+    cands = cands.join(mine, "read_id").where("key <> own or n > 1").drop("n", "n_rows")
+    turned = who.select("read_id", dna.n_to_a(dna.normalize(F.col("seq"))).alias("f"), dna.n_to_a(dna.revcomp(F.col("seq"))).alias("r"))
+    hits = gram_hits(cands.join(turned, "read_id"), GRAM).join(bucket_model(reads, assigned), ["key", "gram"])
     # what the read itself gave to its own bucket's model doesn't count
-    given = stored(reads, assigned).join(who.select("read_id"), "read_id", "left_semi")
-    given = grams(given.select("read_id", "f"), "read_id", "f", GRAM).distinct().withColumn("_given", F.lit(1))
-    asked = cands.join(profile, ["read_id", "rc"]).join(given, ["read_id", "gram"], "left")
-    hits = asked.join(bucket_model(reads, assigned), ["key", "gram"])
-    hits = hits.where((F.col("n") > 1) | (F.col("key") != F.col("own")) | F.col("_given").isNull())
-    scores = hits.groupBy("read_id", "key", "off", "rc").agg(F.sum("times").alias("score"))
-    return scores
+    hits = hits.where("n > 1 or key <> own or given = 0")
+    return hits.groupBy("read_id", "key", "off", "rc").agg(F.sum("times").alias("score"))
 
 
 def overlap(reads: DataFrame, k: int = K, rounds: int = 1, movers: str = "all") -> DataFrame:

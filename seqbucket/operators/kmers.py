@@ -47,6 +47,21 @@ def _both(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return _rolled(np.where(known, codes, 0), k), _rolled(np.where(known, 3 - codes, 0), k, True)
 
 
+def _firsts(key: np.ndarray, scan: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each read's equal keys the one of the smallest scan. Where all three fit in a number, numbers are
+    sorted, which is much faster than sorting places by three columns."""
+    if not len(key):
+        return key, scan, own
+    low = int(scan.max()).bit_length()
+    if 2 * k + low + int(own.max()).bit_length() <= 63:
+        packed = np.sort(own << (2 * k + low) | key << low | scan)
+        packed = packed[np.concatenate([[True], np.diff(packed >> low) != 0])]
+        return packed >> low & ((1 << 2 * k) - 1), packed & ((1 << low) - 1), packed >> (2 * k + low)
+    by = np.lexsort((scan, key, own))
+    first = by[np.concatenate([[True], (np.diff(key[by]) != 0) | (np.diff(own[by]) != 0)])]
+    return key[first], scan[first], own[first]
+
+
 def _mapped(df: DataFrame, row_id: str, seq: str, names: list[str], f: Callable) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
@@ -67,14 +82,14 @@ def candidates(df: DataFrame, row_id: str, seq: str, k: int = 15, both: bool = T
         forward, backward = _both(codes, k)
         at, owner = _places(starts, len(forward), k)
         off = at - starts[owner]
-        size = starts[owner + 1] - starts[owner]
-        key, where, rc, own = forward[at], off, np.zeros(len(at), np.int64), owner
+        key, scan, own = forward[at], 2 * off, owner
         if both:
             pair = lambda a, b: np.stack([a, b], axis=1).ravel()
-            key, where, rc, own = pair(key, backward[at]), pair(off, size - k - off), pair(rc, rc + 1), pair(owner, owner)
-        by = np.lexsort((np.arange(len(key)), key, own))
-        first = by[np.concatenate([[True], (np.diff(key[by]) != 0) | (np.diff(own[by]) != 0)])] if len(by) else by
-        return ids[own[first]], key[first], where[first], rc[first]
+            key, scan, own = pair(key, backward[at]), pair(scan, scan + 1), pair(owner, owner)
+        key, scan, own = _firsts(key, scan, own, k)
+        rc = scan & 1
+        size = np.diff(starts)[own]
+        return ids[own], key, np.where(rc == 1, size - k - (scan >> 1), scan >> 1), rc
 
     return _mapped(df, row_id, seq, [row_id, "key", "off", "rc"], f)
 
@@ -115,3 +130,32 @@ def grams(df: DataFrame, row_id: str, seq: str, k: int, n_as_a: bool = True, ext
         return ids[owner], all_[at]
 
     return _mapped(df, row_id, seq, [row_id, "gram"], f)
+
+
+def gram_hits(df: DataFrame, k: int) -> DataFrame:
+    """df(read_id, key, off, rc, own, own_rc, f, r) -> (read_id, key, off, rc, own, gram, times, given): the
+    different grams of f or, where rc is 1, of r, how often each stands there, and whether it stands too in the
+    sequence that own_rc names."""
+    names = ["read_id", "key", "off", "rc", "own", "gram", "times", "given"]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
+
+    def of(texts: list[str]) -> np.ndarray:
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        codes = _CODE[data]
+        all_ = _rolled(np.where(codes < 4, codes, 0), k)
+        at, owner = _places(starts, len(all_), k)
+        return owner << 2 * k | all_[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read, key, off, rc, own, own_rc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            f, r = (b.column(i).to_pylist() for i in (6, 7))
+            turned = lambda d: of([y if z else x for x, y, z in zip(f, r, d)])
+            asked, times = np.unique(turned(rc), return_counts=True)
+            given = np.isin(asked, np.unique(turned(own_rc)))
+            row, gram = asked >> 2 * k, asked & ((1 << 2 * k) - 1)
+            columns = [read[row], key[row], off[row], rc[row], own[row], gram, times, given.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=names)
+
+    return df.select("read_id", "key", "off", "rc", "own", "own_rc", "f", "r").mapInArrow(run, schema)
