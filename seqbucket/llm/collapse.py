@@ -122,8 +122,8 @@ def radix_buckets(parts: DataFrame, limit: int = LIMIT, step: int = STEP) -> Dat
 
 def collapse(records: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """records(id, canon), one row per id -> (canon, first, n): one row per different record, with the smallest id and
-    the number of copies. Null canon is left out."""
-    source = records.where("canon is not null")
+    the number of copies. Rows without id or canon are left out."""
+    source = records.where("id is not null and canon is not null")
     # a batch adds up what is equal in it; the second round adds up over the partitions, at most a row per batch
     parts = materialize(source.select("id", "canon").mapInArrow(_combine, _PART), "parts")
     rows = parts.count()
@@ -137,8 +137,8 @@ def collapse(records: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFr
 
 
 def canonical_records(df: DataFrame, row_id: str, header: str, seq: str) -> DataFrame:
-    """(id, canon); a row delivered twice (equal id) stands once."""
-    return df.select(F.col(row_id).alias("id"), canonical(F.col(header), F.col(seq)).alias("canon")).where("canon is not null").distinct()
+    """(id, canon); a row delivered twice (equal id) stands once. Rows without an id or a seq are left out."""
+    return df.select(F.col(row_id).alias("id"), canonical(F.col(header), F.col(seq)).alias("canon")).where("id is not null and canon is not null").distinct()
 
 
 def copies(records: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:

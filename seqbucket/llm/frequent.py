@@ -102,7 +102,8 @@ def top(df: DataFrame, row_id: str, item: str, weight: str | None = None, n: int
 
     The summary's items are counted again exactly. An item without a counter weighs the error at most; if
     the n-th exact weight isn't above that, the summary is made anew with four times the counters, until
-    it is or until nothing was subtracted at all. Ties at the n-th place go to the smaller item in byte order."""
+    it is or until nothing was subtracted at all. Ties at the n-th place go to the smaller item in byte order.
+    Rows without a row_id count as deliveries of one row; null items and null weights add nothing."""
     while True:
         counters, error, _ = heavy(df, item, weight, k)
         # at most k items of the summary: k is a parameter, not a property of the data

@@ -231,13 +231,13 @@ def _search(docs: list[tuple[int, bytes]], asked: Phrases) -> Iterator[tuple[int
 def leaked_spans(corpus: DataFrame, row_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = PHRASE) -> DataFrame:
     """(doc_id, item_id, start_char, end_char): where size or more consecutive words of an item stand in a
     text, whatever is between the words; hits of one item that overlap or touch are one span. A text may
-    hold several items. Null texts, and texts or items of fewer words, have no rows; repeated rows repeat theirs.
+    hold several items. Null texts, items without an id, and texts or items of fewer words have no rows; repeated rows repeat theirs.
 
     The corpus is read once per ITEM_CHARS characters of items: these, a bounded block, go to every task as
     hashes; tasks index their rows shard by shard and keep one shard at a time. No shuffle."""
     spark = corpus.sparkSession
     source = corpus.select(F.col(row_id).cast("bigint"), F.col(text)).where(F.col(text).isNotNull())
-    asked = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    asked = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
     total = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // ITEM_CHARS))
     arrow = pa.schema(_HIT)

@@ -175,14 +175,15 @@ def _answers(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 
 def probe(records: DataFrame, earlier: DataFrame, rows: int, capacity: int = CAPACITY, bits: int = BITS) -> DataFrame:
-    """records(order_id >= 0, key) and earlier(key), keys as BIGINT without nulls -> per record (order_id,
+    """records(order_id >= 0, key) and earlier(key), keys as BIGINT -> per record (order_id,
     key, seen, decided, shard, held, bytes); decided: known to be seen without a set. Rows of earlier come out with order_id -1.
+    Rows without a key or an order_id are left out; other columns aren't read.
     rows is about the number of rows; it sets the number of shards, not what they can hold."""
     spark = records.sparkSession
     shards = max(1, -(-rows // capacity))
     width = _width(capacity, bits)
     source = records.select("order_id", "key").unionByName(earlier.select(F.lit(-1).cast("bigint").alias("order_id"), "key"))
-    source = source.select(F.col("order_id").cast("bigint"), F.col("key").cast("bigint"), F.xxhash64("key").alias("hash"))
+    source = source.where("order_id is not null and key is not null").select(F.col("order_id").cast("bigint"), F.col("key").cast("bigint"), F.xxhash64("key").alias("hash"))
     schema = T.StructType([T.StructField(f.name, T.BooleanType() if f.name == "decided" else T.LongType()) for f in _IN])
     return (
         source.mapInArrow(lambda it: _within_batches(it, shards, width), schema)

@@ -157,10 +157,10 @@ def _struct(fields: list) -> T.StructType:
 def shared_spans(df: DataFrame, row_id: str, text: str, span: int = 64, gram: int = GRAM) -> DataFrame:
     """(row_id, start_pos, end_pos): the maximal runs of characters that lie in a stretch of span characters
     which also stands, character by character, in the text of a row with another row_id. Positions count
-    characters from 0; end_pos is the place after the last. Null texts and texts shorter than span have no
+    characters from 0; end_pos is the place after the last. Rows without an id are left out; null texts and texts shorter than span have no
     runs; a row delivered twice (equal row_id) shares nothing with itself. Texts are read whole."""
     gram = min(gram, span)
-    source = df.select(F.col(row_id).cast("bigint").alias("rec_id"), F.col(text).alias("_text")).where(F.length("_text") >= span)
+    source = df.select(F.col(row_id).cast("bigint").alias("rec_id"), F.col(text).alias("_text")).where((F.length("_text") >= span) & F.col("rec_id").isNotNull())
     signatures = source.mapInArrow(lambda it: _windows(it, span, gram, False), _struct(_WINDOW[:2]))
     several = [F.min("rec_id").alias("low"), F.max("rec_id").alias("high")]
     shared = signatures.groupBy("signature").agg(*several).where("low < high").select("signature")

@@ -52,3 +52,8 @@ def test_splits_and_hot_groups(spark, rows):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, canon string")
     assert collapse(df).collect() == [] and copies(df).collect() == []
+
+
+def test_rows_without_an_id(spark, rows):
+    df = spark.createDataFrame([(None, ">a=1", "AC"), (None, ">a=1", "AC"), (3, ">a=1", "AC"), (4, ">A=1;", "ac")], "rec_id long, header string, seq string")
+    assert rows(copies(canonical_records(df, "rec_id", "header", "seq"))) == [(3, 4)]

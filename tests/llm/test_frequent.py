@@ -49,3 +49,9 @@ def test_empty_and_fewer_items(spark, rows):
     assert top(df, "id", "item").collect() == []
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, item string")
     assert [(r["item"], r["n"]) for r in top(df, "id", "item").collect()] == [("a", 1), ("b", 1)]
+
+
+def test_ties_nulls_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "b", 1), (2, "a", 1), (3, "c", 1), (None, "a", 1), (None, "a", 1), (4, None, 1)], "id long, item string, n int")
+    got = [(r["item"], r["n"]) for r in top(df, "id", "item", n=2).collect()]
+    assert got == [("a", 2), ("b", 1)]

@@ -89,3 +89,10 @@ def test_pieces_overlap(monkeypatch):
     for _, _, a, b in leak._search([(1, data)], asked):
         covered |= {w for w in range(200) if a <= 2 * w < b}
     assert {w for i in hit for w in range(i, i + 3)} <= covered
+
+
+def test_nulls_and_repeated_rows(spark, rows):
+    text = "a b c d e f g h i j k l"
+    d = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    t = spark.createDataFrame([(5, text), (5, text), (None, text)], "item_id long, text string")
+    assert rows(leaked(d, "doc_id", "text", t, "item_id", "text")) == [(1, 5), (None, 5)]

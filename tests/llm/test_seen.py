@@ -68,3 +68,9 @@ def test_empty(spark):
     df, old = spark.createDataFrame([], "order_id long, key long"), spark.createDataFrame([], "key long")
     assert seen_before(df, old, 0).collect() == []
     assert error_rates(df, old, 0).first()["keys"] == 0
+
+
+def test_nulls_and_clashing_columns(spark, rows):
+    df = spark.createDataFrame([(1, 5, "x", 1), (2, 5, None, 2), (None, 5, "y", 3), (3, None, "z", 4)], "order_id long, key long, hash string, shard int")
+    old = spark.createDataFrame([(None, 1), (9, 2)], "key long, order_id int")
+    assert rows(seen_before(df, old, 4)) == [(2,)]

@@ -67,3 +67,8 @@ def test_texts_in_pieces(spark, rows, monkeypatch):
 
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], "rec_id long, seq string"), "rec_id", "seq").collect() == []
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(1, "A" * 70), (None, "A" * 70)], "rec_id long, seq string")
+    assert shared_spans(df, "rec_id", "seq").collect() == []

@@ -51,3 +51,8 @@ def test_split_characters_and_unknown_ids(spark, rows):
 @pytest.mark.parametrize("schema", ["doc_id long, text string"])
 def test_empty(spark, schema):
     assert encode(spark.createDataFrame([], schema), "doc_id", "text").collect() == []
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
+    assert [len(r["ids"]) for r in encode(df, "doc_id", "text").collect()] == [1, 1, 1]

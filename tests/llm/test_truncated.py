@@ -70,3 +70,9 @@ def test_limits_are_found(spark, rows):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert judged(df, "doc_id", "source", "text").collect() == []
+
+
+def test_nulls_ties_and_repeated_rows(spark, rows):
+    df = spark.createDataFrame([(None, None, "A.\n\nIt wor…", 1)] * 2 + [(2, "s", "B.", 2)], "doc_id long, source string, text string, chars int")
+    got = rows(judged(df, "doc_id", "source", "text").select("doc_id", "cut"))
+    assert got == sorted([(None, 1), (None, 1), (2, 0)], key=repr)
