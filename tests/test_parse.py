@@ -62,3 +62,8 @@ def test_very_long_text(spark, size):
     df = spark.createDataFrame([(1, "FASTQ_TYPE,@a," + "A" * size + "," + "I" * size), (2, '"' * (2 * size + 1))], "raw_id long, payload string")
     got = {r["raw_id"]: r["reason"] for r in parse_records(df, "raw_id", "payload").select("raw_id", "reason").collect()}
     assert got == {1: None, 2: "quoting"}
+
+
+def test_null_ids_and_repeated_rows(spark, rows):
+    df = spark.createDataFrame([(None, "x"), (1, "x"), (1, "x")], "raw_id long, payload string")
+    assert rows(failed(parse_records(df, "raw_id", "payload"), "raw_id").select("raw_id", "reason")) == [(1, "columns"), (1, "columns"), (None, "columns")]

@@ -48,3 +48,8 @@ def test_lookup_splits_hot_keys(spark, rows):
 def test_dense_codes(spark):
     got = sorted(r["code"] for r in dense_codes(spark.range(1000).repartition(7)).collect())
     assert got == list(range(1000))
+
+
+def test_rows_without_an_id(spark, rows):
+    df = spark.createDataFrame([(None, "a", [1, 2]), (None, "a", [2, 3]), (None, None, [1])], "post_id long, mer string, ids array<long>")
+    assert rows(distinct_per_key(df, "mer", "ids", "post_id")) == [("a", 3)]
