@@ -5,9 +5,12 @@ length are encoded whole. Rows are independent: one pass over the table, no shuf
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Characters handed to the library at once; a longer text goes alone.
-CHARS = 1 << 20
+#: Characters handed to the library at once; a longer text goes alone. Words whose ids a worker keeps, and
+#: the longest of them.
+CHARS, WORDS, WORD = 1 << 20, 1 << 18, 64
+
+# fixed values: the words of a byte-level vocabulary, as far as they are made of printable ASCII and line breaks
+_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e]*")
 
 
 @lru_cache(maxsize=2)
@@ -67,6 +75,43 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield at, group
 
 
+@lru_cache(maxsize=2)
+def _splits_plainly(path: str) -> bool:
+    """Whether the vocabulary cuts texts into words by the usual rule and changes nothing before."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    pre = d.get("pre_tokenizer") or {}
+    return d.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
+class Encoder:
+    """Ids of texts by the library. Merges never cross words, so of a plain text the library encodes each
+    different word once, and the worker keeps the ids; any other text it encodes whole."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.by_words = _tokenizer(path), _splits_plainly(path)
+        self.known: dict[str, list[int]] = {}
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words = [_WORDS.findall(t) if self.by_words and _PLAIN.fullmatch(t) else None for t in texts]
+        new = list({w for ws in words if ws is not None for w in ws} - self.known.keys())
+        self.known.update(zip(new, self._library(new)))
+        whole = iter(self._library([t for t, ws in zip(texts, words) if ws is None]))
+        out = [
+            np.asarray(next(whole), np.int32) if ws is None else np.fromiter(chain.from_iterable(map(self.known.__getitem__, ws)), np.int32)
+            for ws in words
+        ]
+        for w in new:
+            if len(w) > WORD:
+                del self.known[w]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        return out
+
+
 def encode(df: DataFrame, row_id: str, text: str, path: str = TOKENIZER, offsets: bool = False) -> DataFrame:
     """(row_id, ids), one row per row of df. With offsets also starts and ends: the characters that each
     token covers; a character that is split over several tokens is covered by each of them."""
@@ -77,16 +122,17 @@ def encode(df: DataFrame, row_id: str, text: str, path: str = TOKENIZER, offsets
     lists = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        call = t.encode_batch if offsets else t.encode_batch_fast
+        encoder = Encoder(path)
         for b in batches:
             texts = b.column(1).to_pylist()
             out = [[()] * len(texts) for _ in names]
             for places, group in _groups(texts):
-                for where, e in zip(places, call(group, add_special_tokens=False)):
-                    values = [np.asarray(e.ids, np.int32)]
-                    if offsets:
-                        values += [np.asarray([o[i] for o in e.offsets], np.int32) for i in (0, 1)]
+                if offsets:
+                    found = encoder.tokenizer.encode_batch(group, add_special_tokens=False)
+                    rows = [[np.asarray(x, np.int32) for x in (e.ids, *zip(*e.offsets))] for e in found]
+                else:
+                    rows = [[ids] for ids in encoder(group)]
+                for where, values in zip(places, rows):
                     for o, v in zip(out, values):
                         for i in where:
                             o[i] = v

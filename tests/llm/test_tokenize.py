@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqbucket.llm.tokenize import TOKENIZER, _tokenizer, byte_characters, decode, encode, round_trip, token_bytes
+from seqbucket.llm.tokenize import TOKENIZER, Encoder, _tokenizer, byte_characters, decode, encode, round_trip, token_bytes
 
 TEXTS = [None, "", " ", "hello world", "<|endoftext|>", "naïve 😀 日本語 \r\n\tx", "a" * 5000, "\x00\x01", "x" * 300_000 + " end", "hello world"]
 
@@ -36,6 +36,27 @@ def test_bytes_of_ids(text):
     assert b"".join(table[i] for i in ids) == text.encode()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \t\n\r'strevmldAZ09_-.<|>é日\x1c\x0b", max_size=40), max_size=5))
+def test_by_words_as_the_library_does(texts):
+    library = [e.ids for e in _tokenizer(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    encoder = Encoder(TOKENIZER)
+    assert encoder.by_words
+    for _ in range(2):
+        assert [x.tolist() for x in encoder(texts)] == library
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    from seqbucket.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "WORDS", 3)
+    encoder = Encoder(TOKENIZER)
+    encoder(["a " + "b" * 100])
+    assert set(encoder.known) == {"a"}
+    encoder(["a b c d e f"])
+    assert not encoder.known
+
+
 def test_byte_table():
     assert sorted(byte_characters().values()) == list(range(256))
 
