@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from seqbucket.operators.skew import salted_lookup
 from seqbucket.session import materialize, tasks
 
-#: Length of the first prefixes, and rows that a bucket may have.
-STEP, LIMIT = 4, 20_000
+#: Length of the first prefixes, rows that a bucket may have, and full buckets of a task.
+STEP, LIMIT, BUCKETS = 4, 20_000, 50
 
 
 def canonical(header: Column, seq: Column) -> Column:
@@ -130,7 +130,7 @@ def collapse(records: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFr
     buckets = radix_buckets(parts, limit, step)
     return (
         buckets.select("bucket", "canon", "first", "n")
-        .repartition(tasks(records.sparkSession, rows, limit), "bucket")
+        .repartition(tasks(records.sparkSession, rows, BUCKETS * limit), "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_tries, _PART)
     )

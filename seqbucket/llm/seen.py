@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 
 from seqbucket.session import tasks
 
-#: Keys of a shard as planned, and bits of a hash beyond those that tell its keys apart.
-CAPACITY, BITS, BLOCK = 1 << 17, 16, 128
+#: Keys of a shard as planned, and bits of a hash beyond those that tell its keys apart; shards of a task.
+CAPACITY, BITS, BLOCK, SHARDS = 1 << 15, 16, 128, 64
 
 
 class GolombSet:
@@ -187,7 +187,7 @@ def probe(records: DataFrame, earlier: DataFrame, rows: int, capacity: int = CAP
     schema = T.StructType([T.StructField(f.name, T.BooleanType() if f.name == "decided" else T.LongType()) for f in _IN])
     return (
         source.mapInArrow(lambda it: _within_batches(it, shards, width), schema)
-        .repartition(tasks(spark, shards, 1), "shard")
+        .repartition(tasks(spark, shards, SHARDS), "shard")
         .sortWithinPartitions("shard", "order_id")
         .mapInArrow(lambda it: _answers(it, width), _OUT)
     )
