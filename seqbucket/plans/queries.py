@@ -150,12 +150,12 @@ def q_unpermute(spark: SparkSession, d: str) -> DataFrame:
     return rotated(spark, d).select("read_id", dna.unpermute(F.col("body"), F.col("key"), F.col("off").cast("int")).alias("v"))
 
 
-@query(f"WITH {READS}, t AS (SELECT seq, lag(seq) OVER (PARTITION BY substr(seq, 1, 12) ORDER BY seq) AS prev FROM (SELECT DISTINCT seq FROM s)) SELECT seq, CAST({LCP.format('seq', 'prev')} AS BIGINT) AS lcp FROM t WHERE prev IS NOT NULL")
+@query(f"WITH {READS}, t AS (SELECT seq, lag(seq) OVER (ORDER BY seq) AS prev FROM (SELECT DISTINCT seq FROM s)) SELECT seq, CAST({LCP.format('seq', 'prev')} AS BIGINT) AS lcp FROM t WHERE prev IS NOT NULL")
 def q_lcp(spark: SparkSession, d: str) -> DataFrame:
-    """Of neighbours in order among the different sequences that begin alike."""
-    w = W.partitionBy(F.substring("seq", 1, 12)).orderBy("seq")
-    near = seqs(spark, d).select("seq").distinct().withColumn("prev", F.lag("seq").over(w)).where("prev is not null")
-    return near.select("seq", dna.lcp(F.col("seq"), F.col("prev"), F.length("seq")).cast("bigint").alias("lcp"))
+    """Of neighbours in the order of all different sequences; neighbours meet by their ranks."""
+    rows = ranked(seqs(spark, d).select("seq").distinct(), "seq")
+    prev = rows.select((F.col("rank") + 1).alias("rank"), F.col("seq").alias("prev"))
+    return rows.join(prev, "rank").select("seq", dna.lcp(F.col("seq"), F.col("prev"), F.length("seq")).cast("bigint").alias("lcp"))
 
 
 @query(f"""WITH {FORMS}, g AS (SELECT 0 AS rc, f AS x, unnest(range(1, greatest(l - 4, 1))) AS i FROM n UNION ALL SELECT 1, r, unnest(range(1, greatest(l - 4, 1))) FROM n)
@@ -514,3 +514,16 @@ def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries of reads per day and run, counted by a stream."""
     counts = arrivals.window_counts(arrivals.arriving(spark, f"{d}/reads.parquet"))
     return arrivals.run_to_end(counts, fastx.scratch(spark, "stream"), fastx.scratch(spark, "stream-checkpoint"))
+
+
+@query(f"SELECT array_to_string([coalesce(lang, '-'), {', '.join(f'coalesce(CAST(CAST(sum(n_chars) FILTER (source = {chr(39)}{m}{chr(39)}) AS BIGINT) AS VARCHAR), {chr(39)}{chr(39)})' for m in METHODS)}], ' & ') AS line FROM documents GROUP BY coalesce(lang, '-')")
+def q_size_latex(spark: SparkSession, d: str) -> DataFrame:
+    """The size report as lines of a table."""
+    t = q_size_report(spark, d)
+    return t.select(F.concat_ws(" & ", "dataset", *(F.coalesce(F.col(m).cast("string"), F.lit("")) for m in METHODS)).alias("line"))
+
+
+@query(f"WITH {READS} SELECT read_id, row_number() OVER (ORDER BY md5(CAST(read_id AS VARCHAR) || ':7'), read_id) AS rank FROM s")
+def q_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """Reads in an order by chance that a seed fixes."""
+    return ranked(seqs(spark, d).select("read_id", F.md5(F.concat(F.col("read_id").cast("string"), F.lit(":7"))).alias("h")), "h", "read_id").select("read_id", "rank")

@@ -78,3 +78,20 @@ def test_stream(spark, rows, tmp_path):
     assert sum(r["n"] for r in counts.collect()) == 20 and counts.count() == 6
     mers = arrivals.run_to_end(arrivals.mer_counts(arrivals.arriving(spark, src, 1)), str(tmp_path / "p"), str(tmp_path / "q"))
     assert sum(r["n"] for r in mers.collect()) == 13 * 3
+
+
+def test_libraries(spark, rows, tmp_path):
+    from seqbucket.sources.libraries import ReadLibrary, from_options, listing
+
+    a, b = (str(tmp_path / x) for x in ("a.FA", "b.fa"))
+    for p in (a, b):
+        with open(p, "w") as f:
+            f.write(">r\nACGT\n")
+    libs = from_options([("r", ["x.fa"]), ("l", ["ou"]), ("1", ["old"]), ("1", [a]), ("2", [b]), ("l", ["sf"])])
+    assert libs == [ReadLibrary(None, unmated=["x.fa"]), ReadLibrary("ou", [a], [b])]
+    assert libs[0].format_name == "U" and len(libs[0].faults()) == 1
+    assert rows(libs[1].load(spark).select("lib_name", "mate", "seq")) == [("OU", 1, "ACGT"), ("OU", 2, "ACGT")]
+    assert len(ReadLibrary("IU", [a], []).faults()) == 1 and len(ReadLibrary("U", [], [], [str(tmp_path)]).faults()) == 1
+    with pytest.raises(ValueError, match="no such file"):
+        libs[0].load(spark)
+    assert rows(listing(spark, str(tmp_path), r"\.fa$").select("name", "length")) == [("b.fa", 8)]
