@@ -114,6 +114,17 @@ def distinct_per_key(rows: DataFrame, key: str, items: str, row_id: str, limit:
     return coded.select("code", F.col("_key").alias(key)).join(sums, "code").select(key, "n_items")
 
 
+def items_per_key(rows: DataFrame, key: str, items: str, row_id: str, size: int = 4096, limit: int = 100_000) -> DataFrame:
+    """(key, part, parts, items): the different items of each key in ascending order, a key with many in
+    several parts of about size items, by the items' hash; so no task gathers a key whole."""
+    counts = materialize(distinct_per_key(rows, key, items, row_id, limit), "counts")
+    pairs = rows.where(F.col(key).isNotNull()).select(key, F.explode(items).alias("_item")).where("_item is not null").distinct()
+    found = salted_lookup(pairs, counts, key, "n_items", "_item", limit).withColumn("parts", F.ceil(F.col("n_items") / size))
+    spread = F.conv(F.substring(F.md5(F.col("_item").cast("string")), 1, 8), 16, 10).cast("bigint")
+    grouped = found.withColumn("part", F.pmod(spread, F.col("parts"))).groupBy(key, "part", "parts")
+    return grouped.agg(F.sort_array(F.collect_list("_item")).alias("items"))
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, percent: int = 1) -> DataFrame:
     """The keys that hold at least percent % of the sum of n; none if counts is empty."""
     kept = materialize(counts, "counts")

@@ -36,12 +36,18 @@ def p6_reads(spark: SparkSession, d: str) -> DataFrame:
     return skew.distinct_per_key(_postings(spark, d), "mer", "rlist", "post_id").withColumnRenamed("n_items", "n_reads")
 
 
+def p6_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The reads of every key, in parts of about 4096."""
+    t = skew.items_per_key(_postings(spark, d), "mer", "rlist", "post_id")
+    return t.select("mer", "part", "parts", F.array_join(F.col("items").cast("array<string>"), ",").alias("reads"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The keys to which at least 1 % of all distinct (key, read id) pairs belong."""
     return skew.heavy_keys(p6_reads(spark, d), "mer", "n_reads")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p6_found, p6_reads)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p6_found, p6_lists, p6_reads)}
 
 _COL = '"(?:[^"]|"")*"|[^",]*'
 _UNQUOTE = "CASE WHEN starts_with({0}, '\"') THEN replace(substr({0}, 2, length({0}) - 2), '\"\"', '\"') ELSE {0} END"
@@ -72,6 +78,10 @@ WITH pairs AS (SELECT DISTINCT key, id FROM (SELECT {KEY_SQL} AS key, unnest(rli
 SQL = {
     "p3_found": _PARSED_SQL + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_loaded": _PARSED_SQL + "SELECT raw_id, stream_type, header, seq, qual FROM judged WHERE reason IS NULL",
+    "p6_lists": _READS_SQL
+    + """, parted AS (SELECT key, id, CAST(ceil(count(*) OVER (PARTITION BY key) / 4096.0) AS BIGINT) AS parts FROM pairs),
+hashed AS (SELECT *, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % parts AS part FROM parted)
+SELECT key AS mer, part, parts, string_agg(id, ',' ORDER BY id) AS reads FROM hashed GROUP BY key, part, parts""",
     "p6_reads": _READS_SQL + "SELECT key AS mer, count(*) AS n_reads FROM pairs GROUP BY key",
     "p6_found": _READS_SQL + "SELECT key AS mer FROM pairs GROUP BY key HAVING count(*) * 100 >= (SELECT count(*) FROM pairs)",
 }

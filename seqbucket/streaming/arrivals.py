@@ -1,6 +1,6 @@
 """Reads that arrive as a stream: counts per time window and mer counts, kept up by Structured Streaming.
 
-The stream's source is a folder of Parquet files with the columns of `reads`. Late rows are counted as long
+The stream's source are Parquet files with the columns of `reads`. Late rows are counted as long
 as the watermark lets them in; state is bounded by the windows that are still open."""
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from seqbucket.operators.kmers import grams
 
 
 def arriving(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """path: a folder, or a single file, which a stream only takes as a pattern."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
 def window_counts(stream: DataFrame, width: str = "1 day", late: str = "30 days") -> DataFrame:

@@ -53,3 +53,13 @@ def test_dense_codes(spark):
 def test_rows_without_an_id(spark, rows):
     df = spark.createDataFrame([(None, "a", [1, 2]), (None, "a", [2, 3]), (None, None, [1])], "post_id long, mer string, ids array<long>")
     assert rows(distinct_per_key(df, "mer", "ids", "post_id")) == [("a", 3)]
+
+
+def test_items_in_parts(spark, rows):
+    from seqbucket.operators.skew import items_per_key
+
+    df = spark.range(900).select("id", F.when(F.col("id") < 600, "hot").otherwise("k").alias("mer"), F.array(F.col("id"), F.col("id") - 1, F.lit(None)).alias("ids"))
+    got = items_per_key(df, "mer", "ids", "id", size=50).collect()
+    assert max(len(r["items"]) for r in got) < 120 and all(r["items"] == sorted(r["items"]) for r in got)
+    for k, want in (("hot", range(-1, 600)), ("k", range(599, 900))):
+        assert sorted(x for r in got if r["mer"] == k for x in r["items"]) == list(want)
