@@ -90,11 +90,16 @@ def overlap(reads: DataFrame, k: int = K, rounds: int = 1, movers: str = "all")
     return now
 
 
-def fold(reads: DataFrame, k: int = K, shards: int = 1) -> DataFrame:
+def fold(reads: DataFrame, k: int = K, shards: int = 1, limit: int = 10_000) -> DataFrame:
     """(read_id, key, off, rc) by the sequential rule: a read goes to the candidate bucket, made by earlier reads
-    of its shard, with the highest overlap, else to its smallest key. A shard is a range of the smallest key;
-    one shard is the exact rule over all reads, and only for collections that fit a task."""
+    of its shard, with the highest overlap, else to its smallest key. Reads with one smallest key share a
+    shard; a shard of more than limit reads is split by their ids. With shards = 1 nothing is split: that is
+    the exact rule over all reads, and only for collections that fit a task."""
     key0 = smallest(reads, "read_id", "seq", k).select("read_id", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    if shards > 1:
+        sizes = key0.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+        part = F.coalesce(F.pmod(F.xxhash64("read_id"), F.ceil(F.col("_n") / limit)), F.lit(0))
+        key0 = key0.join(F.broadcast(sizes), "shard", "left").select("read_id", F.struct("shard", part.alias("part")).alias("shard"))
     cands = candidates(reads, "read_id", "seq", k).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("key", "off", "rc"))).alias("c"))
     rows = reads.join(key0, "read_id").join(cands, "read_id").select("shard", "read_id", dna.n_to_a(dna.normalize(F.col("seq"))).alias("f"), dna.n_to_a(dna.revcomp(F.col("seq"))).alias("r"), "c")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("read_id", "key", "off", "rc")])

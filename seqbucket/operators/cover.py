@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqbucket.operators.kmers import grams
+from seqbucket.operators.skew import salted_lookup
 from seqbucket.session import materialize
 
 
@@ -24,7 +25,7 @@ def round_winners(posts: DataFrame) -> DataFrame:
     """(key, n): keys that win in every one of their reads, by (n, smallest key): no two of them share a
     read, so all can be taken in one round."""
     sizes = posts.groupBy("key").agg(F.count("*").alias("n"))
-    sized = posts.join(sizes, "key")
+    sized = salted_lookup(posts, sizes, "key", "n", "read_id")
     top = sized.groupBy("read_id").agg(F.max(F.struct(F.col("n"), (-F.col("key")).alias("neg"))).alias("t")).select("read_id", (-F.col("t.neg")).alias("top"))
     wins = posts.join(top, "read_id").groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("top") == F.col("key")).alias("w"))
     return wins.where("w = n").select("key", "n")
@@ -38,7 +39,7 @@ def set_cover(posts: DataFrame) -> DataFrame:
     left, out, n = materialize(posts, "postings"), None, 0
     while not left.isEmpty():
         n += 1
-        taken = left.join(round_winners(left).select("key"), "key").select("read_id", "key", F.lit(n).alias("round"))
+        taken = salted_lookup(left, round_winners(left), "key", "n", "read_id").select("read_id", "key", F.lit(n).alias("round"))
         taken = materialize(taken, "cover")
         out = taken if out is None else out.unionByName(taken)
         left = materialize(left.join(taken.select("read_id"), "read_id", "left_anti"), "postings")

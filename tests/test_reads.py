@@ -133,7 +133,8 @@ def test_fold_in_one_shard(spark, reads):
         want[i] = (best, *c[best])
     got = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(assign.fold(reads, 9), 9).collect()}
     assert got == want
-    assert assign.fold(reads, 9, shards=5).count() == len(want)
+    for limit in (10_000, 7):
+        assert assign.fold(reads, 9, shards=5, limit=limit).count() == len(want)
 
 
 def test_archive_round_trip(spark, rows, reads):
