@@ -4,7 +4,7 @@ Per source, the lengths of all texts are counted, in characters and in bytes. A
 have than its neighbours is a limit of that source; a text of that length which doesn't end as a record ends
 was cut. Away from the limits only texts whose structure is plainly unfinished count as cut: a hunk with
 fewer lines than its head announces, a diff without a body, a word broken by an ellipsis or a replacement
-character, a layout without the line that closes it in nearly all texts of the source."""
+character, a last word that is the beginning of one much more frequent in last lines, a layout without the line that closes it in nearly all texts of the source."""
 
 from __future__ import annotations
 
@@ -19,9 +19,12 @@ from pyspark.sql import Window as W
 
 from seqbucket.session import materialize
 
-#: Neighbours to either side of a length, the least count of a spike, how many times its neighbours' mean
-#: it has, and the share of a source's texts from which a closing line is expected in all of them.
-NEAR, LEAST, TIMES, USUAL = 12, 4, 5.0, 0.8
+#: Neighbours to either side of a length, the least count of a spike, how many times its neighbours' mean it
+#: has, its least share of the source's texts, and the share from which a closing line is expected in all of them.
+NEAR, LEAST, TIMES, SHARE, USUAL = 12, 4, 5.0, 0.004, 0.8
+#: A last word is a fragment of a longer one that begins with it if that stands in so many last lines, and in
+#: so many times more; words beyond that length are left out of this question.
+OFTEN, MORE, LONGEST = 5, 10, 40
 
 WHOLE, OPEN, BROKEN, DOTS = 0, 1, 2, 3
 
@@ -35,6 +38,8 @@ _VERSION = re.compile(r"\d+\.\d+\.\d+\s*\Z")
 _ID = re.compile(r"(?:\A|[\r\n])id [0-9a-f]{40}(?=[\r\n]|\Z)")
 _BY = re.compile(r"[A-Z][A-Za-z]+(?:-[A-Za-z]+)*-by: ")
 _TICKET = re.compile(r"Ticket: [A-Z]+-\d+\s*\Z")
+_PATH = re.compile(r"#\s+\S+\.\w+\Z")
+_WORD = re.compile(r"[^\W\d_]+")
 _END = tuple(".?!。！？:;)>}]\"'`")
 
 
@@ -81,7 +86,7 @@ def _message(lines: list[str], midline: bool) -> int:
     if _TICKET.match(last):
         return WHOLE
     if last.startswith("#"):
-        return OPEN
+        return WHOLE if _PATH.match(last) else BROKEN if midline else OPEN
     if last.endswith(_END):
         return WHOLE
     blank = next((i for i in reversed(range(len(lines))) if not lines[i].strip()), None)
@@ -124,40 +129,64 @@ def ending(text: str) -> tuple[int, bool, bool]:
     return (WHOLE if padded and state == OPEN else state), signed, named
 
 
-_SHAPE = [("row_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("state", pa.int64()), ("signed", pa.int64()), ("named", pa.int64())]
+_SHAPE = [("row_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("chars", pa.int64()), ("bytes", pa.int64()), ("state", pa.int64()), ("signed", pa.int64()), ("named", pa.int64()), ("last_word", pa.string()), ("line_words", pa.list_(pa.string()))]
+
+
+def _last_words(text: str, state: int) -> tuple[str | None, list[str]]:
+    """Of a message without a diff: the word it ends in, where nothing tells whether that is its end; and the
+    words of its last line that isn't blank."""
+    if "diff --git" in text:
+        return None, []
+    line = _LINE.split(text.rstrip())[-1]
+    found = _WORD.findall(line)
+    bare = state == OPEN and found and text.endswith(found[-1]) and len(found[-1]) < LONGEST
+    return (found[-1] if bare else None), sorted({w for w in found if len(w) <= LONGEST})
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(_SHAPE)
     for b in batches:
         out = []
-        for i, s, t in zip(*(c.to_pylist() for c in b.columns)):
+        for i, s, h, t in zip(*(c.to_pylist() for c in b.columns)):
             if t.strip():
                 state, signed, named = ending(t)
-                out.append((i, s, len(t), len(t.encode("utf-8", "surrogatepass")), state, int(signed), int(named)))
+                out.append((i, s, h, len(t), len(t.encode("utf-8", "surrogatepass")), state, int(signed), int(named), *_last_words(t, state)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def shapes(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
-    """(row_id, source, chars, bytes, state, signed, named) of each text that isn't null, empty or blank."""
-    schema = T.StructType([T.StructField(n, T.StringType() if t == pa.string() else T.LongType()) for n, t in _SHAPE])
-    rows = df.select(F.col(row_id).cast("bigint"), F.col(source).cast("string"), F.col(text)).where(F.col(text).isNotNull())
+    """(row_id, source, digest, chars, bytes, state, signed, named, last_word, line_words) of each text that isn't null, empty or blank."""
+    kind = lambda t: T.StringType() if t == pa.string() else T.LongType() if t == pa.int64() else T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField(n, kind(t)) for n, t in _SHAPE])
+    rows = df.select(F.col(row_id).cast("bigint"), F.col(source).cast("string"), F.xxhash64(text), F.col(text)).where(F.col(text).isNotNull())
     return rows.mapInArrow(_shapes, schema)
 
 
 def limits(shape: DataFrame) -> DataFrame:
     """(source, unit, length, n): the spikes of each source's histograms of lengths, as far as a spike in
-    characters and one in bytes at the same length tell the unit: that of the larger count."""
-    each = shape.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("_x"))
-    counts = each.groupBy("source", "_x.unit", "_x.length").agg(F.count("*").alias("n"))
+    characters and one in bytes at the same length tell the unit: that of the larger count. Copies of a text
+    count once, so that a text that is often repeated is no spike."""
+    each = shape.select("source", "digest", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("_x"))
+    once = each.select("source", "_x.unit", "_x.length", "digest").distinct()
+    counts = once.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     near = W.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     mean = (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * NEAR)
-    spikes = counts.withColumn("_mean", mean).where((F.col("n") >= LEAST) & (F.col("n") > TIMES * F.col("_mean") + 1))
+    share = F.col("n") / F.sum("n").over(W.partitionBy("source", "unit"))
+    spikes = counts.select("*", mean.alias("_mean"), share.alias("_share")).where((F.col("n") >= LEAST) & (F.col("n") > TIMES * F.col("_mean") + 1) & (F.col("_share") >= SHARE))
     best = W.partitionBy("source", "length")
     return spikes.withColumn("_most", F.max("n").over(best)).where("n = _most").select("source", "unit", "length", "n")
 
 
+def fragments(shape: DataFrame) -> DataFrame:
+    """(word): words of last lines that begin a much more frequent one. A word is looked up among the
+    prefixes of all others, so nothing is paired."""
+    words = shape.select(F.explode("line_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    shorter = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))
+    longer = words.where(F.length("word") > 1).select(F.explode(shorter).alias("word"), "n").groupBy("word").agg(F.max("n").alias("most"))
+    return words.join(longer, "word").where((F.col("most") >= OFTEN) & (F.col("most") >= MORE * F.col("n"))).select("word")
+
+
 def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     """shapes with at_limit and cut (0 or 1). A source that is null is a source of its own."""
     shape = materialize(shapes(df, row_id, source, text), "shapes")
@@ -166,6 +195,9 @@ def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
         F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_bytes")
     )
     traits = usual.join(spikes, usual["source"].eqNullSafe(spikes["_of"]), "left").select(F.col("source").alias("_source"), "_signs", "_names", "_chars", "_bytes")
+    asked = shape.where("last_word is not null")
+    part = asked.join(fragments(shape).withColumn("_part", F.lit(True)), F.col("last_word") == F.col("word"), "left").drop("word")
+    shape = part.unionByName(shape.where("last_word is null").withColumn("_part", F.lit(None).cast("boolean")))
     rows = shape.join(traits, shape["source"].eqNullSafe(traits["_source"]), "left")
     # dots may stand within the limit, and blanks before them be gone
     # a limit in bytes that falls into a character leaves up to three bytes less
@@ -175,7 +207,7 @@ def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     )
     dotted = lambda c: F.coalesce(F.exists("_" + c, lambda x: F.col(c).between(x - 4, x)), F.lit(False))
     unclosed = (F.col("_signs") & (F.col("signed") == 0)) | (F.col("_names") & (F.col("named") == 0))
-    cut = (F.col("state") == BROKEN) | unclosed | (at_limit & (F.col("state") != WHOLE)) | ((F.col("state") == DOTS) & (dotted("chars") | dotted("bytes")))
+    cut = (F.col("state") == BROKEN) | F.coalesce("_part", F.lit(False)) | unclosed | (at_limit & (F.col("state") != WHOLE)) | ((F.col("state") == DOTS) & (dotted("chars") | dotted("bytes")))
     return rows.select(F.col("row_id").alias(row_id), F.col("source").alias(source), "chars", "bytes", "state", at_limit.cast("int").alias("at_limit"), cut.cast("int").alias("cut"))
 
 

@@ -16,6 +16,8 @@ HUNK = "fix it\n\ndiff --git a/x.c b/x.c\nindex 1..2 100644\n--- a/x.c\n+++ b/x.
         ("Fix.\n\nIt works no", BROKEN),
         ("Fix.\n\nIt works no\n", OPEN),
         ("Fix the thing", OPEN),
+        ("Merge it\n\n# Conflicts:\n#\tsrc/a.c", WHOLE),
+        ("Merge it\n\n# Conflicts:\n#\tsrc/ab", BROKEN),
         ("Fix.\n\n> quoted from the middle of", OPEN),
         ("Fix.\n\nit was quoted from the middle of", OPEN),
         ("Fix.\n\nQUOTED IN CAPITALS, FROM THE", OPEN),
@@ -58,13 +60,14 @@ def corpus():
 
 def test_limits_are_found(spark, rows):
     docs, cut = corpus()
+    docs += [(3000 + i, None, "One subject that is often the same") for i in range(40)]
     docs += [(2000, "limited", None), (2001, "limited", ""), (2002, None, " \n"), (2003, "one", "x" * 100_000)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
     assert [(r["source"], r["unit"], r["length"]) for r in limits(shapes(df, "doc_id", "source", "text")).collect()] == [("limited", "chars", 300)]
     got = {r["doc_id"] for r in judged(df, "doc_id", "source", "text").where("cut = 1").collect()}
     assert got == cut
     share = {r["source"]: (r["n_texts"], r["n_cut"]) for r in rates(df, "doc_id", "source", "text").collect()}
-    assert share["limited"] == (1000, len(cut)) and share[None] == (500, 0) and share["one"] == (1, 0)
+    assert share["limited"] == (1000, len(cut)) and share[None] == (540, 0) and share["one"] == (1, 0)
 
 
 def test_empty(spark):
@@ -76,3 +79,11 @@ def test_nulls_ties_and_repeated_rows(spark, rows):
     df = spark.createDataFrame([(None, None, "A.\n\nIt wor…", 1)] * 2 + [(2, "s", "B.", 2)], "doc_id long, source string, text string, chars int")
     got = rows(judged(df, "doc_id", "source", "text").select("doc_id", "cut"))
     assert got == sorted([(None, 1), (None, 1), (2, 0)], key=repr)
+
+
+def test_a_last_word_that_begins_a_frequent_one(spark):
+    docs = [(i, "s", "very " * i + "long change in the journal") for i in range(20)] + [(100 + i, "s", "so " * 2 * i + "moved into main") for i in range(9)]
+    docs += [(200, "s", "change it in the journa"), (201, "s", "change it in the journa\n"), (202, "s", "move it to mai"), (203, "t", "rare wor"), (204, "s", "x" * 50_000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = {r["doc_id"] for r in judged(df, "doc_id", "source", "text").where("cut = 1").collect()}
+    assert got == {200}  # `main` stands in 9 last lines, fewer than 10 times as many as `mai`
