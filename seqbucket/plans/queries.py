@@ -53,6 +53,7 @@ mers AS (SELECT substr(seq, i, {K}) AS kmer FROM w WHERE regexp_full_match(subst
 nodes AS (SELECT kmer FROM mers GROUP BY kmer HAVING count(*) > 1),
 edges AS (SELECT a.kmer AS src, b.kmer AS dst FROM nodes a JOIN nodes b ON substr(a.kmer, 2) = substr(b.kmer, 1, {K - 1})),
 deg AS (SELECT kmer, (SELECT count(*) FROM edges WHERE dst = kmer) AS n_in, (SELECT count(*) FROM edges WHERE src = kmer) AS n_out FROM nodes)"""
+EVERY = SOLID.replace(" HAVING count(*) > 1", "")
 LCP = "coalesce(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: substr({0}, i, 1) <> substr({1}, i, 1))[1] - 1, least(length({0}), length({1})))"
 HEX = """CASE WHEN {0} = '' THEN '' ELSE array_to_string(list_transform(range(0, CAST(ceil(length({0}) / 4.0) AS BIGINT)), lambda g: printf('%02X',
   CAST(list_sum(list_transform(range(0, 4), lambda j: greatest(strpos('AGCT', substr({0} || 'AAA', g * 4 + j + 1, 1)) - 1, 0) * CAST(power(4, j) AS BIGINT))) AS BIGINT))), '') END"""
@@ -102,9 +103,9 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["run_no", "ordinal"]).withColumn("orientation", library.orientation(F.col("lib")))
 
 
-def solid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Mers that stand at two places at least, and their edges."""
-    mers = grams(seqs(spark, d), "read_id", "seq", K, n_as_a=False).groupBy(F.col("gram").alias("kmer")).agg(F.count("*").alias("n")).where("n > 1").select("kmer")
+def solid(spark: SparkSession, d: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Mers that stand at `least` places or more, and their edges; 1 gives the whole graph."""
+    mers = grams(seqs(spark, d), "read_id", "seq", K, n_as_a=False).groupBy(F.col("gram").alias("kmer")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("kmer")
     nodes = materialize(mers, "nodes")
     return nodes, graph.edges(nodes, K)
 
@@ -257,7 +258,13 @@ def q_count_decay(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {READS}, w AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s), posts AS (SELECT DISTINCT read_id, substr(seq, i, {K}) AS key FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*')) SELECT key, count(*) AS n FROM posts GROUP BY key HAVING count(*) > 1")
 def q_postings(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the posting lists of mers that several reads hold."""
-    return assign.named(cover.postings(seqs(spark, d), K).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return q_postings_all(spark, d).where("n > 1")
+
+
+@query(f"WITH {READS}, w AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s), posts AS (SELECT DISTINCT read_id, substr(seq, i, {K}) AS key FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*')) SELECT key, count(*) AS n FROM posts GROUP BY key")
+def q_postings_all(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the posting lists of all mers."""
+    return assign.named(cover.postings(seqs(spark, d), K).groupBy("key").agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {SOLID} SELECT src, dst FROM edges")
@@ -285,6 +292,27 @@ def q_dbg_paths(spark: SparkSession, d: str) -> DataFrame:
     return assign.named(assign.named(graph.collapsed_paths(*solid(spark, d)), key="start"), key="stop")
 
 
+@query(f"WITH {EVERY} SELECT src, dst FROM edges")
+def q_dbg_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of the graph of all mers, as in the next three."""
+    return assign.named(assign.named(solid(spark, d, 1)[1], key="src"), key="dst")
+
+
+@query(f"WITH {EVERY} SELECT n_in, n_out, count(*) AS n FROM deg GROUP BY ALL")
+def q_dbg_degrees_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(*solid(spark, d, 1)).groupBy("n_in", "n_out").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVERY} SELECT kmer FROM deg WHERE n_in <> 1 AND n_out = 1")
+def q_dbg_path_starts_all(spark: SparkSession, d: str) -> DataFrame:
+    return assign.named(graph.path_starts(graph.degrees(*solid(spark, d, 1))), key="kmer")
+
+
+@query()
+def q_dbg_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    return assign.named(assign.named(graph.collapsed_paths(*solid(spark, d, 1)), key="start"), key="stop")
+
+
 # ---- assignment -----------------------------------------------------------------------------------------
 
 
@@ -359,9 +387,8 @@ def q_reassign_onsies(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_assign_fold(spark: SparkSession, d: str) -> DataFrame:
-    """The sequential rule in shards of about 2000 reads."""
-    rows = seqs(spark, d)
-    return assign.named(assign.fold(rows, shards=max(1, rows.count() // 2000)))
+    """The sequential rule over all reads."""
+    return assign.named(assign.sequential(materialize(seqs(spark, d), "reads")))
 
 
 _POSTS = f"{READS}, w AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s), posts AS (SELECT DISTINCT read_id, substr(seq, i, {K}) AS key FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*'))"

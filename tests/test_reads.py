@@ -10,6 +10,7 @@ from seqbucket.functions.kmer import code_mer, mer_code, mer_key
 from seqbucket.operators import archive, assign, cover, graph
 from seqbucket.operators.kmers import candidates, smallest
 from seqbucket.operators.partition import best_ranges, common_prefix
+from seqbucket.plans import queries
 
 COMP = {"A": "T", "C": "G", "G": "C", "T": "A"}
 
@@ -231,3 +232,29 @@ def test_empty(spark):
     a = assign.popularity(df)
     assert a.collect() == [] and archive.placed(archive.rotated(df, a)).collect() == []
     assert cover.set_cover(cover.postings(df, 15)).collect() == []
+
+
+def test_graph_and_postings_of_all_mers(spark, rows, tmp_path):
+    data = [(1, "ACGTTGCAACGTTGCATGCCA"), (2, "acgttgcaacgttgcatg"), (3, "TTGACCANGTACGATTACAGGATCCA"), (4, "ACG"), (5, "ACGTTGCAACGTTGCAAC"), (6, None)]
+    df = spark.createDataFrame(data, "read_id long, seq string")
+    df.selectExpr("read_id", "1L run_no", "'U' lib_name", "read_id ordinal", "1 mate", "'' header", "seq", "'' qual").write.parquet(f"{tmp_path}/reads.parquet")
+    mers = {i: {s.upper()[p : p + 15] for p in range(len(s) - 14)} for i, s in data if s}
+    mers = {i: {m for m in ms if set(m) <= set(COMP)} for i, ms in mers.items()}
+    posts = {m: sum(m in ms for ms in mers.values()) for m in set().union(*mers.values())}
+    links = {a: [a[1:] + b for b in "ACGT" if a[1:] + b in posts] for a in posts}
+    n_in = {m: sum(m in to for to in links.values()) for m in posts}
+    assert 1 in posts.values() and max(posts.values()) > 1
+    q = lambda name: queries.QUERIES[name](spark, str(tmp_path))
+    assert rows(q("q_postings_all")) == sorted(posts.items(), key=repr)
+    assert rows(q("q_dbg_edges_all").select("src", "dst")) == sorted([(a, b) for a, to in links.items() for b in to], key=repr)
+    assert q("q_dbg_degrees_all").agg(F.sum("n")).collect()[0][0] == len(posts)
+    starts = [m for m in posts if n_in[m] != 1 and len(links[m]) == 1]
+    assert rows(q("q_dbg_path_starts_all")) == sorted([(m,) for m in starts], key=repr)
+
+    def end(m):
+        size = 1
+        while len(links[m]) == 1 and size <= len(posts):
+            m, size = links[m][0], size + 1
+        return (m, size) if size <= len(posts) else (None, None)
+
+    assert rows(q("q_dbg_paths_all").select("start", "stop", "n_nodes")) == sorted([(m, *end(m)) for m in starts], key=repr)
