@@ -3,20 +3,23 @@
 popularity: to the mer that most reads hold; free of order, one count and one lookup.
 overlap: rounds on top of it that move a read to the bucket whose other members share most 8-mers with it.
 fold: the sequential rule, reads in order of id against the buckets so far, in shards of the key space.
+sequential: the same rule over all reads, exactly, in rounds of joins.
 Ties go to the smallest key everywhere."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqbucket.functions import dna
 from seqbucket.functions.kmer import code_mer
-from seqbucket.operators.kmers import candidates, gram_hits, grams, smallest
+from seqbucket.operators.kmers import candidates, gram_hits, grams, slices, smallest
 from seqbucket.operators.skew import salted_lookup
 from seqbucket.session import materialize
 
@@ -124,6 +127,68 @@ def fold(reads: DataFrame, k: int = K, shards: int = 1, limit: int = 10_000) ->
     return rows.groupBy("shard").applyInPandas(place, schema)
 
 
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, read_id, member, seq), sorted by key and read_id -> (key, read_id, score) above 0: the
+    places of seq whose 8-mer an earlier member of the bucket holds. Only one bucket's 8-mers are held."""
+    model, touched, now = np.zeros(1 << 2 * GRAM, bool), [], None
+    for b in batches:
+        keys, ids, member = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+        score = np.zeros(len(keys), np.int64)
+        for i, (key, held) in enumerate(zip(keys, slices(b.column(3).to_pylist(), GRAM))):
+            if key != now:
+                for x in touched:
+                    model[x] = False
+                now, touched = key, []
+            if touched:
+                score[i] = np.count_nonzero(model[held])
+            if member[i] and score[i] < len(held):
+                model[held] = True
+                touched.append(held)
+        hit = np.flatnonzero(score)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in hit], pa.int64()) for c in (keys, ids, score.tolist())], names=["key", "read_id", "score"])
+
+
+def sequential(reads: DataFrame, k: int = K) -> DataFrame:
+    """(read_id, key, off, rc) by the rule of fold over all reads, whatever their number.
+
+    A read's bucket is a function of the buckets of reads before it. Each round works out all reads against the
+    buckets of the round before; where nothing changes, the result is that of the sequential rule, the only
+    one that fits itself. The first read is right from the first round on and each round makes at least one more
+    right, so rounds end; they are as many as the longest chain of reads of which each changes the next. A round
+    scores only buckets that reads came to or left. Only the smallest key of a read opens a bucket, so other
+    keys, and reads before the first that could open, are never looked at."""
+    spark = reads.sparkSession
+    low = materialize(smallest(reads, "read_id", "seq", k), "smallest")
+    opened = low.groupBy("key").agg(F.count("*").alias("n"), F.min("read_id").alias("opener"))
+    pairs = salted_lookup(candidates(reads, "read_id", "seq", k), opened, "key", "n", "read_id").where("opener <= read_id").select("read_id", "key", "off", "rc")
+    pairs = materialize(pairs, "pairs")
+    several = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    pairs = salted_lookup(pairs, several, "key", "n", "read_id").drop("n")
+    turned = F.when(F.col("rc") == 1, dna.revcomp(F.col("seq"))).otherwise(dna.normalize(F.col("seq")))
+    pairs = materialize(pairs.join(reads.select("read_id", "seq"), "read_id").withColumn("seq", dna.n_to_a(turned)), "pairs")
+    asked = pairs.select("read_id").distinct()
+    now = materialize(low.select("read_id", "key").join(asked, "read_id", "left_semi"), "assigned")
+    scores = spark.createDataFrame([], "key long, read_id long, score long")
+    moved = pairs.select("key").distinct()
+    while True:
+        at = F.coalesce(F.col("key") == F.col("_at"), F.lit(False)).alias("member")
+        again = pairs.join(moved, "key", "left_semi").join(now.select("read_id", F.col("key").alias("_at")), "read_id").select("key", "read_id", at, "seq")
+        fresh = again.repartition("key").sortWithinPartitions("key", "read_id").mapInArrow(_scored, "key long, read_id long, score long")
+        scores = materialize(scores.join(moved, "key", "left_anti").unionByName(fresh), "scores")
+        top = scores.groupBy("read_id").agg((-F.max(F.struct("score", (-F.col("key")).alias("neg")))["neg"]).alias("_to"))
+        first = low.select("read_id", F.col("key").alias("_low"))
+        next_ = now.join(first, "read_id").join(top, "read_id", "left").select("read_id", F.coalesce("_to", "_low").alias("key"), F.col("key").alias("was"))
+        next_ = materialize(next_, "assigned")
+        changed = next_.where("key <> was")
+        if changed.isEmpty():
+            break
+        moved = materialize(changed.select(F.explode(F.array("key", "was")).alias("key")).distinct(), "moved")
+        now = next_.select("read_id", "key")
+    places = pairs.select("read_id", "key", "off", "rc").unionByName(low.select("read_id", "key", "off", "rc")).distinct()
+    return places.join(now, ["read_id", "key"]).unionByName(low.join(asked, "read_id", "left_anti").select("read_id", "key", "off", "rc"))
+
+
 def named(assigned: DataFrame, k: int = K, key: str = "key") -> DataFrame:
     """Keys as strings."""
     return assigned.withColumn(key, code_mer(F.col(key), k))

@@ -132,6 +132,15 @@ def grams(df: DataFrame, row_id: str, seq: str, k: int, n_as_a: bool = True, ext
     return _mapped(df, row_id, seq, [row_id, "gram"], f)
 
 
+def slices(texts: list[str], k: int) -> Iterator[np.ndarray]:
+    """The mers of each text, of every place; other letters than A, C, G, T count as A."""
+    codes = _CODE[np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)]
+    all_, at = _rolled(np.where(codes < 4, codes, 0), k), 0
+    for t in texts:
+        yield all_[at : at + max(len(t) - k + 1, 0)]
+        at += len(t)
+
+
 def gram_hits(df: DataFrame, k: int) -> DataFrame:
     """df(read_id, key, off, rc, own, own_rc, f, r) -> (read_id, key, off, rc, own, gram, times, given): the
     different grams of f or, where rc is 1, of r, how often each stands there, and whether it stands too in the

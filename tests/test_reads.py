@@ -258,3 +258,20 @@ def test_graph_and_postings_of_all_mers(spark, rows, tmp_path):
         return (m, size) if size <= len(posts) else (None, None)
 
     assert rows(q("q_dbg_paths_all").select("start", "stop", "n_nodes")) == sorted([(m, *end(m)) for m in starts], key=repr)
+
+
+def test_sequential_rule_over_all_reads(spark, tmp_path):
+    """As many reads as once went to two shards: the registered query gives what one shard gives."""
+    rnd = random.Random(5)
+    genome = "".join(rnd.choice("ACGT") for _ in range(3000))
+    data = []
+    for i in range(4200):
+        a = rnd.randrange(2960)
+        s = [rnd.choice("ACGT") if rnd.random() < 0.02 else c for c in genome[a : a + 40]]
+        data.append((i, rc(s) if i % 2 else "".join(s)))
+    df = spark.createDataFrame(data, "read_id long, seq string").repartition(5)
+    df.selectExpr("read_id", "1L run_no", "'U' lib_name", "read_id ordinal", "1 mate", "'' header", "seq", "'' qual").write.parquet(f"{tmp_path}/reads.parquet")
+    want = {tuple(r) for r in assign.named(assign.fold(df)).select("read_id", "key", "off", "rc").collect()}
+    got = {tuple(r) for r in queries.q_assign_fold(spark, str(tmp_path)).select("read_id", "key", "off", "rc").collect()}
+    assert got == want
+    assert {tuple(r) for r in assign.named(assign.fold(df, shards=2)).select("read_id", "key", "off", "rc").collect()} != want
