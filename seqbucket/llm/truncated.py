@@ -19,9 +19,9 @@ from pyspark.sql import Window as W
 
 from seqbucket.session import materialize
 
-#: Neighbours to either side of a length, the least count of a spike, how many times its neighbours' mean it
-#: has, its least share of the source's texts, and the share from which a closing line is expected in all of them.
-NEAR, LEAST, TIMES, SHARE, USUAL = 12, 4, 5.0, 0.004, 0.8
+#: Neighbours to either side of a length, how many times their mean a spike has, how likely a source without limits
+#: may show one at all, and the share from which a closing line is expected in all of its texts.
+NEAR, TIMES, CHANCE, USUAL = 12, 5.0, 0.001, 0.8
 #: A last word is a fragment of a longer one that begins with it if that stands in so many last lines, and in
 #: so many times more; words beyond that length are left out of this question.
 OFTEN, MORE, LONGEST = 5, 10, 40
@@ -166,14 +166,26 @@ def shapes(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
 def limits(shape: DataFrame) -> DataFrame:
     """(source, unit, length, n): the spikes of each source's histograms of lengths, as far as a spike in
     characters and one in bytes at the same length tell the unit: that of the larger count. Copies of a text
-    count once, so that a text that is often repeated is no spike."""
+    count once, so that a text that is often repeated is no spike.
+
+    A spike is a count n that chance doesn't explain. If a length is as likely as each of its w = 2 * NEAR neighbours,
+    which hold s texts together, n of the n + s texts is binomial with 1 / (w + 1); the tail is bounded by
+    Chernoff's bound and multiplied by the number of lengths of the source. Where neighbours differ more than
+    Poisson counts do (short texts from few patterns), the exponent is divided by their variance over their
+    mean, without the largest of them, which may be a limit too. Nothing depends on the source's size."""
     each = shape.select("source", "digest", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("_x"))
     once = each.select("source", "_x.unit", "_x.length", "digest").distinct()
     counts = once.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
-    near = W.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
-    mean = (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * NEAR)
-    share = F.col("n") / F.sum("n").over(W.partitionBy("source", "unit"))
-    spikes = counts.select("*", mean.alias("_mean"), share.alias("_share")).where((F.col("n") >= LEAST) & (F.col("n") > TIMES * F.col("_mean") + 1) & (F.col("_share") >= SHARE))
+    by = W.partitionBy("source", "unit")
+    near = by.orderBy("length")
+    around, before, after = near.rangeBetween(-NEAR, NEAR), near.rangeBetween(-NEAR, -1), near.rangeBetween(1, NEAR)
+    w, n, s, top = 2.0 * NEAR, F.col("n"), F.col("_s"), F.col("_top")
+    sums = counts.select("*", (F.sum("n").over(around) - n).alias("_s"), (F.sum(n * n).over(around) - n * n).alias("_q"),
+        F.greatest(F.coalesce(F.max("n").over(before), F.lit(0)), F.coalesce(F.max("n").over(after), F.lit(0))).alias("_top"), F.count("*").over(by).alias("_tested"))
+    mean = (s - top) / (w - 1)
+    spread = F.when(s > top, F.greatest(F.lit(1.0), ((F.col("_q") - top * top) / (w - 1) - mean * mean) / mean)).otherwise(1.0)
+    exponent = n * F.log(n * (w + 1) / (n + s)) + F.when(s > 0, s * F.log(s * (w + 1) / (w * (n + s)))).otherwise(0.0)
+    spikes = sums.where((n > TIMES * s / w + 1) & (F.log("_tested") - exponent / spread < F.log(F.lit(CHANCE))))
     best = W.partitionBy("source", "length")
     return spikes.withColumn("_most", F.max("n").over(best)).where("n = _most").select("source", "unit", "length", "n")
 

@@ -87,3 +87,12 @@ def test_a_last_word_that_begins_a_frequent_one(spark):
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
     got = {r["doc_id"] for r in judged(df, "doc_id", "source", "text").where("cut = 1").collect()}
     assert got == {200}  # `main` stands in 9 last lines, fewer than 10 times as many as `mai`
+
+
+def test_limits_at_every_size(spark):
+    """A rare limit in a large source, and chance in a small one whose lengths are uneven."""
+    large = [("large", n, i) for n in range(7950, 8050) for i in range(200 if n == 8000 else 1)] + [("large", n, i) for n in range(100, 700) for i in range(100)]
+    small = [("small", n, i) for n in range(20, 300) for i in range(4 if n == 100 else n % 3 == 0)]
+    uneven = [("uneven", n, i) for n in range(20, 60) for i in range({33: 60, 30: 40, 36: 42}.get(n, 2))]
+    shape = spark.createDataFrame([(s, i * 100_000 + n, n, n) for s, n, i in large + small + uneven], "source string, digest long, chars long, bytes long")
+    assert {(r["source"], r["length"], r["n"]) for r in limits(shape).collect()} == {("large", 8000, 200)}
