@@ -9,6 +9,7 @@ character, a last word that is the beginning of one much more frequent in last l
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,14 @@ _TICKET = re.compile(r"Ticket: [A-Z]+-\d+\s*\Z")
 _PATH = re.compile(r"#\s+\S+\.\w+\Z")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = tuple(".?!。！？:;)>}]\"'`")
+#: Sentence marks and closing signs of scripts without case; Thai, Lao and Khmer letters stand in no sentence with a mark.
+_MARKS = tuple(".?!。．｡！？：；…:;।॥؟؛۔።፧፨။།׃)>}]\"'`）〉》」』】〕］｝”’»")
+_UNMARKED = ("THAI ", "LAO ", "KHMER ")
+
+
+def _caseless(letter: str) -> bool:
+    """Of a script without case whose sentences end in a mark."""
+    return unicodedata.category(letter) == "Lo" and not unicodedata.name(letter, "").startswith(_UNMARKED)
 
 
 def _unbalanced(line: str) -> bool:
@@ -94,7 +103,9 @@ def _message(lines: list[str], midline: bool) -> int:
         return OPEN
     # a quotation may begin and end anywhere; a paragraph of the message's own begins like a sentence
     paragraph = "".join(lines[blank + 1 :]).strip()
-    return BROKEN if paragraph[0].isupper() and paragraph != paragraph.upper() else OPEN
+    if _caseless(paragraph[0]):
+        return OPEN if paragraph.endswith(_MARKS) else BROKEN
+    return BROKEN if paragraph[0].isupper() and (len(paragraph) == 1 or paragraph != paragraph.upper()) else OPEN
 
 
 def ending(text: str) -> tuple[int, bool, bool]:

@@ -96,3 +96,31 @@ def test_limits_at_every_size(spark):
     uneven = [("uneven", n, i) for n in range(20, 60) for i in range({33: 60, 30: 40, 36: 42}.get(n, 2))]
     shape = spark.createDataFrame([(s, i * 100_000 + n, n, n) for s, n, i in large + small + uneven], "source string, digest long, chars long, bytes long")
     assert {(r["source"], r["length"], r["n"]) for r in limits(shape).collect()} == {("large", 8000, 200)}
+
+
+@pytest.mark.parametrize(
+    "text,state",
+    [
+        ("修正\n\n設定画面の上限値を確認した。\n索引の", BROKEN),
+        ("修正\n\n設定画面の上限値を確認した。", WHOLE),
+        ("修正\n\n索引の「上限」", OPEN),
+        ("修正\n\n索引の\n", OPEN),
+        ("索引の", OPEN),
+        ("Fix.\n\nयह काम करत", BROKEN),
+        ("Fix.\n\nयह काम करता है।", OPEN),
+        ("Fix.\n\nไม่มีจุด", OPEN),
+        ("Fix.\n\n> 引用の途中", OPEN),
+        ("Fix.\n\nW", BROKEN),
+        ("Fix.\n\nw", OPEN),
+    ],
+)
+def test_endings_without_case(text, state):
+    assert ending(text)[0] == state
+
+
+def test_planted_cuts_without_case(spark):
+    whole = "修正\n\n設定画面の上限値を確認した。索引の並びも直した。"
+    docs = [(n, "s", whole[:n]) for n in range(1, len(whole) + 1)]
+    got = {r["doc_id"] for r in judged(spark.createDataFrame(docs, "doc_id long, source string, text string"), "doc_id", "source", "text").where("cut = 1").collect()}
+    body = whole.index("設")
+    assert got == {n for n in range(body + 1, len(whole)) if whole[n - 1] != "。"}
