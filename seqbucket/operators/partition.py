@@ -20,43 +20,81 @@ def common_prefix(a: str, b: str, most: int) -> int:
     return most
 
 
+class _Ranges:
+    """The recurrence over rows that are added one by one. Sequences and scores are kept for a window, the starts
+    of ranges for rows whose ranges aren't settled yet."""
+
+    def __init__(self, core: int, window: int, compat: bool = False) -> None:
+        self.core, self.window, self.compat = core, window, compat
+        self.n = self.low = self.base = 0
+        self.seqs: list[str] = []
+        self.score: list[int] = []
+        self.start: list[tuple[int, int]] = []
+
+    def add(self, seq: str) -> None:
+        i, low = self.n, self.low
+        best, at = -2 + (0 if self.compat or not i else self.score[-1]), (i, 0)
+        prefix = len(seq)
+        for j in range(i - 1, max(-1, i - self.window - 1), -1):
+            prefix = common_prefix(seq, self.seqs[j - low], prefix)
+            value = (i - j) * -(-(self.core + prefix) // 4) - 2 + (self.score[j - 1 - low] if j else 0)
+            if value > best:
+                best, at = value, (j, prefix)
+        self.seqs.append(seq)
+        self.score.append(best)
+        self.start.append(at)
+        self.n += 1
+        if len(self.seqs) > 2 * self.window + 2:
+            gone = len(self.seqs) - self.window - 1
+            del self.seqs[:gone], self.score[:gone]
+            self.low += gone
+
+    def settled(self) -> Iterator[tuple[int, int, int]]:
+        """The ranges that no further row can change: those before the place where the ways back from all ends
+        that a later range may follow have met."""
+        ends = set(range(max(self.base - 1, self.n - self.window - 1), self.n))
+        while len(ends) > 1:
+            ends.remove(last := max(ends))
+            ends.add(self.start[last - self.base][0] - 1)
+        return self._upto(ends.pop() if ends else -1)
+
+    def rest(self) -> Iterator[tuple[int, int, int]]:
+        return self._upto(self.n - 1)
+
+    def _upto(self, end: int) -> Iterator[tuple[int, int, int]]:
+        ranges, i = [], end
+        while i >= self.base:
+            first, prefix = self.start[i - self.base]
+            ranges.append((first, i, prefix))
+            i = first - 1
+        del self.start[: end + 1 - self.base]
+        self.base = max(self.base, end + 1)
+        return reversed(ranges)
+
+
 def best_ranges(rows: list[tuple[str, int]], core: int, window: int = WINDOW, compat: bool = False) -> Iterator[tuple[int, int, int]]:
     """(first, last, prefix) of the ranges with the largest saving. rows: (sequence from the core on, offset).
 
     A range of m + 1 rows with prefix p saves m * ceil((core + p) / 4) - 2 bytes. compat: a range of one row
     forgets what the rows before it saved, as the original recurrence has it."""
-    score: list[int] = []
-    start: list[tuple[int, int]] = []
-    for i, (seq, _) in enumerate(rows):
-        best, at = -2 + (0 if compat or not i else score[i - 1]), (i, 0)
-        prefix = None
-        for j in range(i - 1, max(-1, i - window - 1), -1):
-            here = common_prefix(seq, rows[j][0], len(seq))
-            prefix = here if prefix is None else min(prefix, here)
-            value = (i - j) * -(-(core + prefix) // 4) - 2 + (score[j - 1] if j else 0)
-            if value > best:
-                best, at = value, (j, prefix)
-        score.append(best)
-        start.append(at)
-    ranges = []
-    i = len(rows) - 1
-    while i >= 0:
-        ranges.append((start[i][0], i, start[i][1]))
-        i = start[i][0] - 1
-    return reversed(ranges)
+    ranges = _Ranges(core, window, compat)
+    for seq, _ in rows:
+        ranges.add(seq)
+    return ranges.rest()
 
 
 def partition(places: DataFrame, core: int, block: int = 4096, window: int = WINDOW) -> DataFrame:
-    """(key, block, first, last, pref_len): places(key, pos, off, body) in ranges. A bucket is worked on in
-    blocks of its order, so that no task gets an unbounded bucket; ranges end at block borders."""
+    """(key, block, first, last, pref_len): places(key, pos, off, body) in ranges, the best ones of the whole
+    bucket; block is that of the range's first row. A bucket streams through one task, and every block rows the
+    ranges that are settled are given out: a window and the unsettled ends are held, not the bucket."""
     names = ["block", "first", "last", "pref_len"]
     schema = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, first, held = None, 0, _Ranges(core, window)
 
-        def ranges() -> list[tuple]:
-            return [(*at, held[0][0] + a, held[0][0] + b, p) for a, b, p in best_ranges([x[1:] for x in held], core, window)]
+        def out_of(ranges: Iterator[tuple[int, int, int]]) -> list[tuple]:
+            return [(at, (first + a) // block, first + a, first + b, p) for a, b, p in ranges]
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.string(), *[pa.int64()] * 4]
@@ -64,16 +102,18 @@ def partition(places: DataFrame, core: int, block: int = 4096, window: int = WIN
 
         for b in batches:
             out = []
-            for key, block, pos, rest, off in zip(*(c.to_pylist() for c in b.columns)):
-                if (key, block) != at:
-                    out += ranges() if held else []
-                    at, held = (key, block), []
-                held.append((pos, rest, off))
+            for key, pos, rest in zip(*(c.to_pylist() for c in b.columns)):
+                if key != at:
+                    out += out_of(held.rest())
+                    at, first, held = key, pos, _Ranges(core, window)
+                held.add(rest)
+                if held.n % block == 0:
+                    out += out_of(held.settled())
             if out:
                 yield batch(out)
-        if held:
-            yield batch(ranges())
+        if out := out_of(held.rest()):
+            yield batch(out)
 
     rest = F.expr("substring(body, 1, length(body) - off)")
-    rows = places.select("key", F.floor(F.col("pos") / block).alias("block"), "pos", rest.alias("rest"), "off")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "pos").mapInArrow(best, schema)
+    rows = places.select("key", "pos", rest.alias("rest"))
+    return rows.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(best, schema)

@@ -9,7 +9,7 @@ from seqbucket.functions import dna, library
 from seqbucket.functions.kmer import code_mer, mer_code, mer_key
 from seqbucket.operators import archive, assign, cover, graph
 from seqbucket.operators.kmers import candidates, smallest
-from seqbucket.operators.partition import best_ranges, common_prefix
+from seqbucket.operators.partition import best_ranges, common_prefix, partition
 from seqbucket.plans import queries
 
 COMP = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -275,3 +275,13 @@ def test_sequential_rule_over_all_reads(spark, tmp_path):
     got = {tuple(r) for r in queries.q_assign_fold(spark, str(tmp_path)).select("read_id", "key", "off", "rc").collect()}
     assert got == want
     assert {tuple(r) for r in assign.named(assign.fold(df, shards=2)).select("read_id", "key", "off", "rc").collect()} != want
+
+
+def test_partition_over_block_borders(spark):
+    rnd = random.Random(4)
+    bodies = {k: sorted("".join(rnd.choice("AC") for _ in range(12)) for _ in range(n)) for k, n in (("A", 100), ("B", 37), ("C", 1))}
+    df = spark.createDataFrame([(k, i, 0, b) for k, bs in bodies.items() for i, b in enumerate(bs)], "key string, pos long, off long, body string")
+    for block in (5, 16):
+        got = sorted(tuple(r) for r in partition(df, 4, block=block, window=6).collect())
+        assert got == [(k, a // block, a, b, p) for k, bs in bodies.items() for a, b, p in best_ranges([(x, 0) for x in bs], 4, 6)]
+    assert any(a // 16 != b // 16 for _, _, a, b, _ in got)
