@@ -1,7 +1,7 @@
 """FASTA and FASTQ files as DataFrames, one row per record, and back.
 
-read_fasta and the four-line fast path of read_fastq are Spark text scans, split inside files. `fastx` is a data source that reads
-records of several lines, compressed files and mates in lock-step, one task per file or pair of files."""
+read_fasta is a Spark text scan, split inside files. read_fastq uses `fastx`, a data source that reads records of
+several lines, compressed files and mates in lock-step, one task per file or pair of files: a FASTQ file isn't split."""
 
 from __future__ import annotations
 
