@@ -23,6 +23,8 @@ FORMATS = {
 }
 ORIENTATIONS = ("same", "away", "toward", "none")
 STRANDS = ("SA", "AS", "S", "A", "U")
+#: The largest number that format_id can give.
+MAX_ID = 1 | (len(ORIENTATIONS) - 1) << 1 | (len(STRANDS) - 1) << 3
 
 
 def parse(name: str) -> tuple[int, int, int]:

@@ -65,7 +65,8 @@ def ordinals(places: DataFrame, sizes: DataFrame) -> DataFrame:
     tops = tops.select("_g", "_p", (F.sum("_t").over(W.orderBy("_g", "_p")) - F.col("_t")).alias("_base"))
     inner = F.sum("n").over(W.partitionBy("_g", "_p").orderBy("key")) - F.col("n")
     starts = sizes.withColumn("_g", first).withColumn("_p", prefix).withColumn("_in", inner).join(F.broadcast(tops), ["_g", "_p"])
-    return places.join(starts.select("key", (F.col("_base") + F.col("_in")).alias("_start")), "key").withColumn("ordinal", F.col("_start") + F.col("pos")).drop("_start")
+    starts = starts.select("key", "n", (F.col("_base") + F.col("_in")).alias("_start"))
+    return salted_lookup(places, starts, "key", "n", "read_id").withColumn("ordinal", F.col("_start") + F.col("pos")).drop("_start", "n")
 
 
 def sequence() -> Column:
@@ -84,14 +85,28 @@ def write(rows: DataFrame, path: str) -> None:
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """Rows that break the archive's rules, with the rule: offset beyond the body, a body with other letters
-    than A, C, G, T, a place of N outside the read."""
+    """Rows that break a rule of the archive, with the rule: no key, or a key that isn't of the letters A, C, G, T (key), an offset beyond
+    the body (offset), a body with other letters than A, C, G, T (letters), a place of N outside the read (nlocs).
+    Null columns break their rule; a null nlocs is no place at all."""
     size = F.length("body")
     rule = (
-        F.when((F.col("off") < 0) | (F.col("off") > size), "offset")
+        F.when(~F.coalesce(F.col("key").rlike(r"\A[ACGT]+\z"), F.lit(False)), "key")
+        .when(F.coalesce((F.col("off") < 0) | (F.col("off") > size), F.lit(True)), "offset")
         .when(F.col("body").rlike("[^ACGT]"), "letters")
         .when(F.exists("nlocs", lambda p: (p < 0) | (p >= size + F.length("key"))), "nlocs")
     )
     return rows.withColumn("fault", rule).where("fault is not null")
 
 
+def chunk_faults(places: DataFrame) -> DataFrame:
+    """(key, sub_id, fault): chunks that break a rule. `range`: places don't run from 256 * sub_id on without a gap, or a chunk
+    but the last of its bucket isn't full; `order`: offsets fall where places rise. A chunk has CHUNK rows at most, so it is looked at whole."""
+    rows = places.groupBy("key", "sub_id").agg(F.count("*").alias("_n"), F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.countDistinct("pos").alias("_d"), F.sort_array(F.collect_list(F.struct("pos", "off"))).alias("_o"))
+    last = rows.groupBy("key").agg(F.max("sub_id").alias("_last"))
+    rows = rows.join(last, "key")
+    begin = F.col("sub_id") * CHUNK
+    gap = (F.col("_a") != begin) | (F.col("_d") != F.col("_n")) | (F.col("_b") != begin + F.col("_n") - 1) | ((F.col("_n") < CHUNK) & (F.col("sub_id") < F.col("_last")))
+    falls = F.exists(F.sequence(F.lit(1), F.size("_o")), lambda i: (i > 1) & (F.try_element_at("_o", i)["off"] < F.try_element_at("_o", F.greatest(i - 1, F.lit(1)))["off"]))
+    return rows.withColumn("fault", F.when(gap, "range").when(falls, "order")).where("fault is not null").select("key", "sub_id", "fault")
+
+

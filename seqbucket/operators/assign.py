@@ -2,8 +2,7 @@
 
 popularity: to the mer that most reads hold; free of order, one count and one lookup.
 overlap: rounds on top of it that move a read to the bucket whose other members share most 8-mers with it.
-fold: the sequential rule, reads in order of id against the buckets so far, in shards of the key space.
-sequential: the same rule over all reads, exactly, in rounds of joins.
+sequential: reads in order of id against the buckets so far, over all reads, exactly, in rounds of joins.
 Ties go to the smallest key everywhere."""
 
 from __future__ import annotations
@@ -11,28 +10,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqbucket.functions import dna
 from seqbucket.functions.kmer import code_mer
-from seqbucket.operators.kmers import candidates, gram_hits, grams, slices, smallest
+from seqbucket.operators.kmers import candidates, gram_hits, held_grams, slices, smallest
 from seqbucket.operators.skew import salted_lookup
-from seqbucket.session import materialize
+from seqbucket.session import materialize, release
 
 K, GRAM = 15, 8
 
 
-def popularity(reads: DataFrame, k: int = K, both: bool = True) -> DataFrame:
+def shared_mers(reads: DataFrame, k: int = K, both: bool = True) -> DataFrame:
+    """(key, pop): the mers that several reads hold, on either strand with both, and how many do."""
+    return materialize(candidates(reads, "read_id", "seq", k, both).groupBy("key").agg(F.count("*").alias("pop")).where("pop > 1"), "popularity")
+
+
+def popularity(reads: DataFrame, k: int = K, both: bool = True, shared: DataFrame | None = None) -> DataFrame:
     """reads(read_id, seq) -> (read_id, key, off, rc): of the mers of a read the one that most reads hold,
-    on either strand. Reads shorter than k are left out."""
-    all_ = candidates(reads, "read_id", "seq", k, both)
+    on either strand. Reads shorter than k are left out. shared: shared_mers of these reads, if they are at hand."""
     # a mer of one read only can win only as the smallest of a read that shares none
-    shared = materialize(all_.groupBy("key").agg(F.count("*").alias("pop")).where("pop > 1"), "popularity")
-    hits = salted_lookup(all_, shared, "key", "pop", "read_id").select("read_id", "key", "off", "rc", "pop")
+    shared = shared_mers(reads, k, both) if shared is None else shared
+    hits = salted_lookup(candidates(reads, "read_id", "seq", k, both), shared, "key", "pop", "read_id").select("read_id", "key", "off", "rc", "pop")
     lone = smallest(reads, "read_id", "seq", k, both).withColumn("pop", F.lit(1).cast("bigint"))
     best = F.max_by(F.struct("key", "off", "rc"), F.struct(F.col("pop"), -F.col("key"), -F.col("off")))
     return hits.unionByName(lone).groupBy("read_id").agg(best.alias("b")).select("read_id", "b.key", "b.off", "b.rc")
@@ -59,74 +60,47 @@ def without_onsies(assigned: DataFrame) -> DataFrame:
     return assigned.join(lone.select("read_id"), "read_id", "left_anti")
 
 
-def bucket_model(reads: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(key, gram, n): the 8-mers of each bucket's stored reads, and how many of its reads hold them."""
-    held = grams(stored(reads, assigned).select("read_id", "f"), "read_id", "f", GRAM).distinct()
-    return held.join(assigned.select("read_id", "key"), "read_id").groupBy("key", "gram").agg(F.count("*").alias("n"))
+def bucket_model(reads: DataFrame, assigned: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(key, gram, n): the 8-mers of each bucket's stored reads, and how many of its reads hold them. keys(key): only of
+    these buckets. A read's 8-mers carry their bucket and are made different in its task, so there is one shuffle."""
+    held = stored(reads, assigned if keys is None else assigned.join(keys, "key", "left_semi"))
+    return held_grams(held.select("key", "f"), "key", "f", GRAM).groupBy("key", "gram").agg(F.count("*").alias("n"))
 
 
-def overlap_scores(reads: DataFrame, assigned: DataFrame, movers: DataFrame | None = None, k: int = K) -> DataFrame:
+def overlap_scores(reads: DataFrame, assigned: DataFrame, movers: DataFrame | None = None, k: int = K, shared: DataFrame | None = None) -> DataFrame:
     """(read_id, key, off, rc, score): for each candidate bucket that another read is in, the places of the
-    read, in the candidate's direction, whose 8-mer another read of the bucket holds."""
+    read, in the candidate's direction, whose 8-mer another read of the bucket holds.
+
+    How many reads hold a bucket's key is known from shared_mers, so both lookups, of candidates among buckets and of
+    their 8-mers among the buckets' models, split hot keys. Only buckets that a candidate names get a model."""
     who = reads if movers is None else reads.join(movers.select("read_id"), "read_id", "left_semi")
-    sizes = bucket_sizes(assigned)
+    shared = shared_mers(reads, k) if shared is None else shared
+    sizes = bucket_sizes(assigned).join(shared, "key", "left").withColumn("pop", F.coalesce("pop", F.lit(1).cast("bigint")))
+    sizes = materialize(sizes, "sizes")
     mine = assigned.select("read_id", F.col("key").alias("own"), F.col("rc").alias("own_rc"))
-    cands = salted_lookup(candidates(who, "read_id", "seq", k), sizes.withColumn("n_rows", F.lit(1)), "key", "n_rows", "read_id")
-    cands = cands.join(mine, "read_id").where("key <> own or n > 1").drop("n", "n_rows")
+    cands = salted_lookup(candidates(who, "read_id", "seq", k), sizes, "key", "pop", "read_id")
+    cands = materialize(cands.join(mine, "read_id").where("key <> own or n > 1").drop("n", "pop"), "candidates")
     turned = who.select("read_id", dna.n_to_a(dna.normalize(F.col("seq"))).alias("f"), dna.n_to_a(dna.revcomp(F.col("seq"))).alias("r"))
-    hits = gram_hits(cands.join(turned, "read_id"), GRAM).join(bucket_model(reads, assigned), ["key", "gram"])
+    model = bucket_model(reads, assigned, cands.select("key").distinct()).join(sizes.select("key", "pop"), "key")
     # what the read itself gave to its own bucket's model doesn't count
-    hits = hits.where("n > 1 or key <> own or given = 0")
+    hits = salted_lookup(gram_hits(cands.join(turned, "read_id"), GRAM), model, "key", "pop", "read_id", also=("gram",)).where("n > 1 or key <> own or given = 0")
     return hits.groupBy("read_id", "key", "off", "rc").agg(F.sum("times").alias("score"))
 
 
 def overlap(reads: DataFrame, k: int = K, rounds: int = 1, movers: str = "all") -> DataFrame:
     """(read_id, key, off, rc) after rounds of moving reads to the bucket of the highest score; a read
     without any score above 0 stays. movers `onsies` moves only reads that are alone."""
-    now = materialize(popularity(reads, k), "assigned")
+    shared = shared_mers(reads, k)
+    now = materialize(popularity(reads, k, shared=shared), "assigned")
     for _ in range(rounds):
         who = onsies(now) if movers == "onsies" else None
         best = F.max_by(F.struct("key", "off", "rc"), F.struct(F.col("score"), -F.col("key")))
-        moved = overlap_scores(reads, now, who, k).groupBy("read_id").agg(best.alias("b"))
+        moved = overlap_scores(reads, now, who, k, shared).groupBy("read_id").agg(best.alias("b"))
         now = now.join(moved, "read_id", "left").select("read_id", *(F.coalesce(f"b.{c}", c).alias(c) for c in ("key", "off", "rc")))
         now = materialize(now, "assigned")
     return now
 
 
-def fold(reads: DataFrame, k: int = K, shards: int = 1, limit: int = 10_000) -> DataFrame:
-    """(read_id, key, off, rc) by the sequential rule: a read goes to the candidate bucket, made by earlier reads
-    of its shard, with the highest overlap, else to its smallest key. Reads with one smallest key share a
-    shard; a shard of more than limit reads is split by their ids. With shards = 1 nothing is split: that is
-    the exact rule over all reads, and only for collections that fit a task."""
-    key0 = smallest(reads, "read_id", "seq", k).select("read_id", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    if shards > 1:
-        sizes = key0.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-        part = F.coalesce(F.pmod(F.xxhash64("read_id"), F.ceil(F.col("_n") / limit)), F.lit(0))
-        key0 = key0.join(F.broadcast(sizes), "shard", "left").select("read_id", F.struct("shard", part.alias("part")).alias("shard"))
-    cands = candidates(reads, "read_id", "seq", k).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("key", "off", "rc"))).alias("c"))
-    rows = reads.join(key0, "read_id").join(cands, "read_id").select("shard", "read_id", dna.n_to_a(dna.normalize(F.col("seq"))).alias("f"), dna.n_to_a(dna.revcomp(F.col("seq"))).alias("r"), "c")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("read_id", "key", "off", "rc")])
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        models: dict[int, set[str]] = {}
-        out = []
-        for row in group.sort_values("read_id").itertuples():
-            turned = [[s[i : i + GRAM] for i in range(len(s) - GRAM + 1)] for s in (row.f, row.r)]
-            best, top = None, 0
-            for c in row.c:
-                model = models.get(c["key"])
-                if model:
-                    score = sum(g in model for g in turned[c["rc"]])
-                    if score > top:
-                        best, top = c, score
-            best = best or row.c[0]
-            models.setdefault(best["key"], set()).update(turned[best["rc"]])
-            out.append((row.read_id, best["key"], best["off"], best["rc"]))
-        return pd.DataFrame(out, columns=["read_id", "key", "off", "rc"])
-
-    return rows.groupBy("shard").applyInPandas(place, schema)
-
-
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (key, read_id, member, seq), sorted by key and read_id -> (key, read_id, score) above 0: the
     places of seq whose 8-mer an earlier member of the bucket holds. Only one bucket's 8-mers are held."""
@@ -150,7 +124,8 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sequential(reads: DataFrame, k: int = K) -> DataFrame:
-    """(read_id, key, off, rc) by the rule of fold over all reads, whatever their number.
+    """(read_id, key, off, rc) by the sequential rule over all reads: a read goes to the candidate bucket, made by earlier
+    reads, with the highest overlap, else to its smallest key.
 
     A read's bucket is a function of the buckets of reads before it. Each round works out all reads against the
     buckets of the round before; where nothing changes, the result is that of the sequential rule, the only
@@ -171,11 +146,12 @@ def sequential(reads: DataFrame, k: int = K) -> DataFrame:
     now = materialize(low.select("read_id", "key").join(asked, "read_id", "left_semi"), "assigned")
     scores = spark.createDataFrame([], "key long, read_id long, score long")
     moved = pairs.select("key").distinct()
+    before: list[DataFrame] = []
     while True:
         at = F.coalesce(F.col("key") == F.col("_at"), F.lit(False)).alias("member")
         again = pairs.join(moved, "key", "left_semi").join(now.select("read_id", F.col("key").alias("_at")), "read_id").select("key", "read_id", at, "seq")
         fresh = again.repartition("key").sortWithinPartitions("key", "read_id").mapInArrow(_scored, "key long, read_id long, score long")
-        scores = materialize(scores.join(moved, "key", "left_anti").unionByName(fresh), "scores")
+        old, scores = scores, materialize(scores.join(moved, "key", "left_anti").unionByName(fresh), "scores")
         top = scores.groupBy("read_id").agg((-F.max(F.struct("score", (-F.col("key")).alias("neg")))["neg"]).alias("_to"))
         first = low.select("read_id", F.col("key").alias("_low"))
         next_ = now.join(first, "read_id").join(top, "read_id", "left").select("read_id", F.coalesce("_to", "_low").alias("key"), F.col("key").alias("was"))
@@ -185,6 +161,8 @@ def sequential(reads: DataFrame, k: int = K) -> DataFrame:
             break
         moved = materialize(changed.select(F.explode(F.array("key", "was")).alias("key")).distinct(), "moved")
         now = next_.select("read_id", "key")
+        release(*before)
+        before = [old, next_]
     places = pairs.select("read_id", "key", "off", "rc").unionByName(low.select("read_id", "key", "off", "rc")).distinct()
     return places.join(now, ["read_id", "key"]).unionByName(low.join(asked, "read_id", "left_anti").select("read_id", "key", "off", "rc"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqbucket.operators.kmers import grams
 from seqbucket.operators.skew import salted_lookup
-from seqbucket.session import materialize
+from seqbucket.session import materialize, release
 
 
 def postings(reads: DataFrame, k: int) -> DataFrame:
@@ -35,12 +35,14 @@ def set_cover(posts: DataFrame) -> DataFrame:
     """(read_id, key, round): every read that has a key goes to one. Each round takes all keys that are the
     largest among the keys of each of their reads, as the one-by-one rule would, since taking one doesn't
     change another's reads; their reads leave all postings. At least the largest key of all wins, so the
-    rounds end."""
+    rounds end; they are as many as the longest chain of keys of which each shares reads with the next larger one. Of
+    the postings only those of the current round are kept, so disk is two rounds' postings and the rows given out."""
     left, out, n = materialize(posts, "postings"), None, 0
     while not left.isEmpty():
         n += 1
         taken = salted_lookup(left, round_winners(left), "key", "n", "read_id").select("read_id", "key", F.lit(n).alias("round"))
         taken = materialize(taken, "cover")
         out = taken if out is None else out.unionByName(taken)
-        left = materialize(left.join(taken.select("read_id"), "read_id", "left_anti"), "postings")
+        before, left = left, materialize(left.join(taken.select("read_id"), "read_id", "left_anti"), "postings")
+        release(before)
     return out if out is not None else posts.select("read_id", "key", F.lit(0).alias("round"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqbucket.session import materialize
+from seqbucket.session import materialize, release
 
 
 def edges(nodes: DataFrame, k: int) -> DataFrame:
@@ -55,5 +55,6 @@ def collapsed_paths(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return done.unionByName(walks.select("start", F.lit(None).cast("bigint").alias("stop"), F.lit(None).cast("bigint").alias("n_nodes")))
         a, b = hop.alias("a"), hop.alias("b")
         joined = a.join(b, F.col("a.dst") == F.col("b.src"), "left")
-        hop = materialize(joined.select("a.src", F.coalesce("b.dst", "a.dst").alias("dst"), (F.col("a.len") + F.coalesce("b.len", F.lit(0))).alias("len")), "hops")
+        before, hop = hop, materialize(joined.select("a.src", F.coalesce("b.dst", "a.dst").alias("dst"), (F.col("a.len") + F.coalesce("b.len", F.lit(0))).alias("len")), "hops")
+        release(before)
         steps *= 2

@@ -115,7 +115,31 @@ def smallest(df: DataFrame, row_id: str, seq: str, k: int = 15, both: bool = Tru
     return _mapped(df, row_id, seq, [row_id, "key", "off", "rc"], f)
 
 
-def grams(df: DataFrame, row_id: str, seq: str, k: int, n_as_a: bool = True, extra: str | None = None) -> DataFrame:
+def held_grams(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """(key, gram): the different mers of each row, under the row's key; other letters than A, C, G, T count as A."""
+
+    def f(ids, codes, starts):
+        all_ = _rolled(np.where(codes < 4, codes, 0), k)
+        at, owner = _places(starts, len(all_), k)
+        packed = np.unique(owner << 2 * k | all_[at])
+        return ids[packed >> 2 * k], packed & ((1 << 2 * k) - 1)
+
+    return _mapped(df, key, seq, [key, "gram"], f)
+
+
+def read_mers(df: DataFrame, row_id: str, seq: str, k: int) -> DataFrame:
+    """(row_id, off, key, rc_key): the mer at each place of each read, rolled on from the one before, and its
+    reverse complement. Other letters than A, C, G, T count as A on either strand; reads shorter than k have none."""
+
+    def f(ids, codes, starts):
+        forward, backward = _both(codes, k)
+        at, owner = _places(starts, len(forward), k)
+        return ids[owner], at - starts[owner], forward[at], backward[at]
+
+    return _mapped(df, row_id, seq, [row_id, "off", "key", "rc_key"], f)
+
+
+def grams(df: DataFrame, row_id: str, seq: str, k: int, n_as_a: bool = True) -> DataFrame:
     """(row_id, gram): every mer of every place; with n_as_a false, places with another letter than A, C,
     G, T are left out."""
 

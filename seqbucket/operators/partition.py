@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqbucket.functions import dna
+
 WINDOW = 256
 
 
@@ -117,3 +119,18 @@ def partition(places: DataFrame, core: int, block: int = 4096, window: int = WIN
     rest = F.expr("substring(body, 1, length(body) - off)")
     rows = places.select("key", "pos", rest.alias("rest"))
     return rows.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(best, schema)
+
+
+def running_prefix(places: DataFrame, most: int) -> DataFrame:
+    """(key, pos, back, low): for each row of places(key, pos, off, body) and each of the 1 to `most` rows before it in its bucket, the
+    smallest common prefix of the rows from that one on with the row, which is the least of the neighbours' common prefixes.
+    Rows meet by their place, so a bucket of any size is spread over tasks."""
+    rest = F.expr("substring(body, 1, length(body) - off)")
+    rows = places.select("key", "pos", rest.alias("rest"))
+    prev = rows.select("key", (F.col("pos") + 1).alias("pos"), F.col("rest").alias("prev"))
+    near = rows.join(prev, ["key", "pos"]).select("key", "pos", dna.lcp(F.col("rest"), F.col("prev"), F.length("rest")).cast("bigint").alias("lcp"))
+    # the prefix of neighbours counts for the rows up to most - 1 places on
+    seen = near.select("key", F.col("pos").alias("_at"), "lcp", F.explode(F.sequence(F.col("pos"), F.col("pos") + most - 1)).alias("pos"))
+    steps = seen.groupBy("key", "pos").agg(F.sort_array(F.collect_list(F.struct((F.col("pos") - F.col("_at") + 1).alias("back"), "lcp"))).alias("_s"), F.max("_at").alias("_top")).where("_top = pos")
+    low = F.transform("_s", lambda x: F.struct(x["back"].alias("back"), F.array_min(F.transform(F.filter("_s", lambda y: y["back"] <= x["back"]), lambda y: y["lcp"])).alias("low")))
+    return steps.select("key", "pos", F.explode(low).alias("_x")).select("key", "pos", "_x.back", "_x.low")

@@ -11,26 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from seqbucket.session import materialize, tasks
-
-#: Codes of one accumulator block.
-BLOCK = 4096
-
-
-def salted_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: str, limit: int = 100_000) -> DataFrame:
-    """rows joined to keyed (one row per key) on key, where column n of keyed is the number of rows with
-    that key. A key with more than limit rows is split over ceil(n / limit) salts chosen by the hash of
-    column spread, and its row of keyed stands once per salt; there are at most len(rows) / limit such
-    keys, and only they and their number of salts are broadcast. Rows without a partner are dropped."""
-    salts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
-    hot = keyed.where(F.col(n) > limit).select(F.col(key).alias("_hot"), salts.alias("_salts"))
-    left = (
-        rows.join(F.broadcast(hot), rows[key].eqNullSafe(hot["_hot"]), "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts"))).cast("int"))
-        .drop("_hot", "_salts")
-    )
-    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+from seqbucket.session import materialize
+
+#: Codes of one accumulator block; keys that a lookup splits at most.
+BLOCK, HOT = 4096, 4096
+
+
+def salted_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: str, limit: int = 100_000, also: tuple[str, ...] = ()) -> DataFrame:
+    """rows joined to keyed on key, where column n of keyed is the number of rows with that key. keyed has one row
+    per key, or one per key and `also`, further columns of the join, with the same n in all rows of a key.
+
+    Of the keys with more than limit rows the HOT largest are split over ceil(n / limit) salts chosen by the hash of column
+    spread, and their rows of keyed stand once per salt. Only these keys, HOT at most however large the
+    tables are, are broadcast; any other key has at most max(limit, rows / HOT) rows. Rows without a partner are dropped."""
+    large = keyed.where(F.col(n) > limit).select(key, n)
+    large = large.groupBy(key).agg(F.max(n).alias(n)) if also else large
+    hot = large.orderBy(F.desc(n), key).limit(HOT).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("_salts"))
+    split = lambda df: df.join(F.broadcast(hot), df[key].eqNullSafe(F.col("_hot")), "left")
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts"))).cast("int")
+    left = split(rows).withColumn("_salt", salt).drop("_hot", "_salts")
+    right = split(keyed).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts")
+    return left.join(right, [key, *also, "_salt"]).drop("_salt")
 
 
 def dense_codes(rows: DataFrame) -> DataFrame:
@@ -88,23 +89,20 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([(at, held)])
 
 
-def distinct_per_key(rows: DataFrame, key: str, items: str, row_id: str, limit: int = 100_000, per_task: int = 2_000_000) -> DataFrame:
+def distinct_per_key(rows: DataFrame, key: str, items: str, row_id: str, limit: int = 100_000) -> DataFrame:
     """(key, n_items): for each non-null key the number of different non-null values in the arrays `items`
     of all its rows. A key without any item is left out; a null array counts as empty.
 
     Keys get dense codes; (code, item) pairs are hashed on both, so every task gets an equal split of the
     distinct pairs however hot a key is; a split adds its codes up with bincount into one dense block of
-    4096 counters at a time; the blocks are summed by slot. Repeats fall away map-side before the shuffle."""
-    base = (
-        rows.select(F.col(key).alias("_key"), F.col(row_id).alias("_row"), F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("_ids"))
-        .where("_key is not null and size(_ids) > 0")
-    )
-    keys = base.groupBy("_key").agg(F.count("*").alias("_rows"), F.sum(F.size("_ids").cast("bigint")).alias("_n"))
+    4096 counters at a time; the blocks are summed by slot. Repeats fall away map-side, and the pairs are shuffled
+    once. The table is read twice: for the dictionary only its keys and whether there is an item, then whole."""
+    base = rows.where(F.col(key).isNotNull() & F.exists(items, lambda x: x.isNotNull()))
+    keys = base.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"))
     coded = materialize(dense_codes(keys), "dictionary")
-    total = coded.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    encoded = salted_lookup(base, coded.select("_key", "_rows", "code"), "_key", "_rows", "_row", limit)
-    pairs = encoded.select("code", F.explode("_ids").alias("_id")).distinct()
-    splits = pairs.repartition(tasks(rows.sparkSession, total, per_task), "code", "_id") if total > per_task else pairs
+    base = base.select(F.col(key).alias("_key"), F.col(row_id).alias("_row"), F.col(items).alias("_ids"))
+    encoded = salted_lookup(base, coded, "_key", "_rows", "_row", limit)
+    splits = encoded.select("code", F.explode("_ids").alias("_id")).where("_id is not null").distinct()
     blocks = splits.select("code").sortWithinPartitions("code").mapInArrow(_accumulate, _PARTIAL)
     sums = (
         blocks.select("block", F.explode(F.arrays_zip("slots", "counts")).alias("_c"))

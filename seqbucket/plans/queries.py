@@ -14,10 +14,10 @@ from pyspark.sql import Window as W
 from seqbucket.functions import dna, library
 from seqbucket.functions.kmer import code_mer, mer_key
 from seqbucket.operators import archive, assign, cover, graph, partition
-from seqbucket.operators.kmers import candidates, grams
+from seqbucket.operators.kmers import candidates, grams, read_mers
 from seqbucket.operators.skew import dense_codes
 from seqbucket.plans.problems import KEY_SQL
-from seqbucket.session import materialize, table
+from seqbucket.session import materialize, scratch, table
 from seqbucket.sources import fastx
 from seqbucket.streaming import arrivals
 
@@ -48,12 +48,11 @@ PAIRS = f"""{READS}, p AS (SELECT a.run_no, a.ordinal, coalesce(a.lib, 'IU') AS
   FROM s a JOIN s b ON a.run_no = b.run_no AND a.ordinal = b.ordinal AND a.mate = 1 AND b.mate = 2),
 pf AS (SELECT p.*, orientation FROM p JOIN libformats ON lib = lib_name)"""
 MERGED = f"{NORM.format('s1')} || CASE WHEN orientation IN (1, 2) THEN {RC.format('s2')} ELSE {NORM.format('s2')} END"
-SOLID = f"""{READS}, w AS (SELECT seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s),
+GRAPH = f"""{READS}, w AS (SELECT seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s),
 mers AS (SELECT substr(seq, i, {K}) AS kmer FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*')),
-nodes AS (SELECT kmer FROM mers GROUP BY kmer HAVING count(*) > 1),
+nodes AS (SELECT DISTINCT kmer FROM mers),
 edges AS (SELECT a.kmer AS src, b.kmer AS dst FROM nodes a JOIN nodes b ON substr(a.kmer, 2) = substr(b.kmer, 1, {K - 1})),
-deg AS (SELECT kmer, (SELECT count(*) FROM edges WHERE dst = kmer) AS n_in, (SELECT count(*) FROM edges WHERE src = kmer) AS n_out FROM nodes)"""
-EVERY = SOLID.replace(" HAVING count(*) > 1", "")
+deg AS (SELECT kmer, coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out FROM nodes LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON i.dst = kmer LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = kmer)"""
 LCP = "coalesce(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: substr({0}, i, 1) <> substr({1}, i, 1))[1] - 1, least(length({0}), length({1})))"
 HEX = """CASE WHEN {0} = '' THEN '' ELSE array_to_string(list_transform(range(0, CAST(ceil(length({0}) / 4.0) AS BIGINT)), lambda g: printf('%02X',
   CAST(list_sum(list_transform(range(0, 4), lambda j: greatest(strpos('AGCT', substr({0} || 'AAA', g * 4 + j + 1, 1)) - 1, 0) * CAST(power(4, j) AS BIGINT))) AS BIGINT))), '') END"""
@@ -74,21 +73,28 @@ def query(sql: str | None = None) -> Callable:
 # ---- shared views ---------------------------------------------------------------------------------------
 
 
-def all_reads(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "reads").where("seq is not null")
-    return t.select("read_id", "run_no", F.upper("lib_name").alias("lib"), "ordinal", "mate", "header", dna.ingest(F.col("seq")).alias("seq"), "qual").distinct()
+def all_reads(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """read_id, seq and the columns asked for, once per read: a redelivered row repeats all of them, so only these columns are read
+    and made distinct. lib is lib_name in upper case."""
+    t = table(spark, d, "reads").where("seq is not null").withColumn("lib", F.upper("lib_name"))
+    return t.select("read_id", dna.ingest(F.col("seq")).alias("seq"), *more).distinct()
 
 
-def reads(spark: SparkSession, d: str) -> DataFrame:
-    return all_reads(spark, d).where("seq <> ''")
+def reads(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return all_reads(spark, d, *more).where("seq <> ''")
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).select("read_id", "seq")
+    return reads(spark, d)
+
+
+def kept(spark: SparkSession, d: str) -> DataFrame:
+    """seqs, for operators that read them several times."""
+    return materialize(seqs(spark, d), "reads")
 
 
 def assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = seqs(spark, d)
+    rows = kept(spark, d)
     return rows, assign.popularity(rows)
 
 
@@ -96,17 +102,18 @@ def rotated(spark: SparkSession, d: str) -> DataFrame:
     return archive.rotated(*assigned(spark, d))
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    r = reads(spark, d)
-    a = r.where("mate = 1").select("run_no", "ordinal", F.coalesce("lib", F.lit("IU")).alias("lib"), F.col("read_id").alias("id1"), F.col("header").alias("h1"), F.col("seq").alias("s1"), F.col("qual").alias("q1"))
-    b = r.where("mate = 2").select("run_no", "ordinal", F.col("read_id").alias("id2"), F.col("seq").alias("s2"), F.col("qual").alias("q2"))
+def pairs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Mates of one run and ordinal; more: `header` of the first (h1), `qual` of both (q1, q2)."""
+    r = reads(spark, d, "run_no", "ordinal", "mate", "lib", *more)
+    names = [n for n in ("seq", "qual", "header") if n == "seq" or n in more]
+    a = r.where("mate = 1").select("run_no", "ordinal", F.coalesce("lib", F.lit("IU")).alias("lib"), F.col("read_id").alias("id1"), *(F.col(n).alias(f"{n[0]}1") for n in names))
+    b = r.where("mate = 2").select("run_no", "ordinal", F.col("read_id").alias("id2"), *(F.col(n).alias(f"{n[0]}2") for n in names if n != "header"))
     return a.join(b, ["run_no", "ordinal"]).withColumn("orientation", library.orientation(F.col("lib")))
 
 
-def solid(spark: SparkSession, d: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Mers that stand at `least` places or more, and their edges; 1 gives the whole graph."""
-    mers = grams(seqs(spark, d), "read_id", "seq", K, n_as_a=False).groupBy(F.col("gram").alias("kmer")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("kmer")
-    nodes = materialize(mers, "nodes")
+def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All different mers, and their edges."""
+    nodes = materialize(grams(seqs(spark, d), "read_id", "seq", K, n_as_a=False).select(F.col("gram").alias("kmer")).distinct(), "nodes")
     return nodes, graph.edges(nodes, K)
 
 
@@ -159,14 +166,34 @@ def q_lcp(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(prev, "rank").select("seq", dna.lcp(F.col("seq"), F.col("prev"), F.length("seq")).cast("bigint").alias("lcp"))
 
 
-@query(f"""WITH {FORMS}, g AS (SELECT 0 AS rc, f AS x, unnest(range(1, greatest(l - 4, 1))) AS i FROM n UNION ALL SELECT 1, r, unnest(range(1, greatest(l - 4, 1))) FROM n)
-SELECT CAST(rc AS BIGINT) AS rc, substr(x, i, 6) AS gram, count(*) AS n FROM g GROUP BY ALL""")
+_GRAMS = f"{FORMS}, g AS (SELECT read_id, CAST(0 AS BIGINT) AS rc, f AS x, unnest(range(1, greatest(l - 4, 1))) AS i FROM n UNION ALL SELECT read_id, 1, r, unnest(range(1, greatest(l - 4, 1))) FROM n)"
+
+
+def _both_grams(spark: SparkSession, d: str, k: int = 6) -> DataFrame:
+    """(read_id, rc, gram) of every place, of the reads and of their reverse complements."""
+    rows = seqs(spark, d)
+    both = [grams(rows.select("read_id", dna.n_to_a(f(F.col("seq"))).alias("seq")), "read_id", "seq", k).withColumn("rc", F.lit(i).cast("bigint")) for i, f in enumerate((dna.normalize, dna.revcomp))]
+    return both[0].unionByName(both[1])
+
+
+@query(f"WITH {_GRAMS} SELECT rc, substr(x, i, 6) AS gram, count(*) AS n FROM g GROUP BY ALL")
 def q_gram_profile(spark: SparkSession, d: str) -> DataFrame:
     """Counts of 6-mers of either strand."""
-    rows = seqs(spark, d)
-    both = [rows.select("read_id", dna.n_to_a(f(F.col("seq"))).alias("seq")) for f in (dna.normalize, dna.revcomp)]
-    counted = [grams(x, "read_id", "seq", 6).groupBy("gram").agg(F.count("*").alias("n")).select(F.lit(i).cast("bigint").alias("rc"), code_mer(F.col("gram"), 6).alias("gram"), "n") for i, x in enumerate(both)]
-    return counted[0].unionByName(counted[1])
+    return assign.named(_both_grams(spark, d).groupBy("rc", "gram").agg(F.count("*").alias("n")), 6, "gram")
+
+
+@query(f"WITH {_GRAMS} SELECT read_id, rc, substr(x, i, 6) AS gram, count(*) AS n FROM g GROUP BY ALL")
+def q_gram_vector(spark: SparkSession, d: str) -> DataFrame:
+    """The vector of 6-mer counts of each read and of its reverse complement; zeros are left out."""
+    return assign.named(_both_grams(spark, d).groupBy("read_id", "rc", "gram").agg(F.count("*").alias("n")), 6, "gram")
+
+
+@query(f"""WITH {PLACED}, t AS (SELECT key, pos, substr(body, 1, length(body) - off) AS rest FROM pl),
+p AS (SELECT a.key, a.pos, b.pos AS back, {LCP.format('a.rest', 'b.rest')} AS lcp FROM t a JOIN t b ON a.key = b.key AND b.pos BETWEEN a.pos - 8 AND a.pos - 1)
+SELECT key, pos, pos - back AS back, CAST(min(lcp) OVER (PARTITION BY key, pos ORDER BY back DESC) AS BIGINT) AS low FROM p""")
+def q_running_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """For each read of a bucket the smallest common prefix with the 1 to 8 reads before it."""
+    return partition.running_prefix(archive.placed(rotated(spark, d)), 8)
 
 
 # ---- mates and libraries --------------------------------------------------------------------------------
@@ -186,7 +213,7 @@ def q_pair_merge_seq(spark: SparkSession, d: str) -> DataFrame:
 def q_merge_pairs(spark: SparkSession, d: str) -> DataFrame:
     """With the first mate's header, and the second's qualities turned as its bases are."""
     qual = F.concat("q1", F.when(F.col("orientation").isin(1, 2), F.reverse("q2")).otherwise(F.col("q2")))
-    return pairs(spark, d).select("id1", "h1", dna.merged(F.col("s1"), F.col("s2"), F.col("orientation")).alias("v"), qual.alias("qual"))
+    return pairs(spark, d, "header", "qual").select("id1", "h1", dna.merged(F.col("s1"), F.col("s2"), F.col("orientation")).alias("v"), qual.alias("qual"))
 
 
 @query(f"WITH {PAIRS} SELECT id1, s1 || s2 AS v FROM p")
@@ -208,7 +235,7 @@ FROM (SELECT coalesce(lib, CASE WHEN mate IS NULL THEN 'U' ELSE 'IU' END) AS lib
 def q_libformat(spark: SparkSession, d: str) -> DataFrame:
     """Formats of the reads' libraries, packed, unpacked and in words, with their numbers of reads."""
     lib = F.coalesce("lib", F.when(F.col("mate").isNull(), "U").otherwise("IU")).alias("lib")
-    t = all_reads(spark, d).groupBy(lib).agg(F.count("*").alias("n"))
+    t = all_reads(spark, d, "lib", "mate").groupBy(lib).agg(F.count("*").alias("n"))
     parts = library.lib_type(F.col("lib")), library.orientation(F.col("lib")), library.strandedness(F.col("lib"))
     number = library.format_id(*parts)
     back = library.unpacked(number)
@@ -225,12 +252,11 @@ def q_libformat_valid(spark: SparkSession, d: str) -> DataFrame:
 # ---- mers -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {FORMS} SELECT read_id, CAST(l - {K - 1} AS BIGINT) AS n, substr(f, 1, {K}) AS first_kmer, substr(f, l - {K - 1}, {K}) AS last_kmer, substr(r, 1, {K}) AS rc_kmer FROM n WHERE l >= {K}")
+@query(f"WITH {FORMS}, o AS (SELECT *, unnest(range(0, greatest(l - {K - 1}, 0))) AS off FROM n) SELECT read_id, off, substr(f, off + 1, {K}) AS kmer, substr(r, l - {K} - off + 1, {K}) AS rc_kmer FROM o")
 def q_kmers(spark: SparkSession, d: str) -> DataFrame:
-    f, r = dna.n_to_a(dna.normalize(F.col("seq"))), dna.n_to_a(dna.revcomp(F.col("seq")))
-    size = F.length("seq")
-    rows = seqs(spark, d).where(size >= K)
-    return rows.select("read_id", (size - (K - 1)).cast("bigint").alias("n"), F.substring(f, 1, K).alias("first_kmer"), F.substring(f, -K, K).alias("last_kmer"), F.substring(r, 1, K).alias("rc_kmer"))
+    """The mer at each place of each read, and its reverse complement."""
+    t = read_mers(seqs(spark, d), "read_id", "seq", K)
+    return assign.named(assign.named(t.withColumnRenamed("key", "kmer").withColumnRenamed("rc_key", "rc_kmer"), key="kmer"), key="rc_kmer")
 
 
 @query(f"WITH {CANDS} SELECT read_id, count(*) AS n, CAST(sum(rc) AS BIGINT) AS n_rc, min(key) AS low, max(key) AS high, CAST(sum(off) AS BIGINT) AS offs FROM one GROUP BY read_id")
@@ -241,7 +267,7 @@ def q_candidates(spark: SparkSession, d: str) -> DataFrame:
     return assign.named(assign.named(t, key="low"), key="high")
 
 
-@query(f"WITH {SOLID} SELECT n, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM mers GROUP BY kmer) GROUP BY n")
+@query(f"WITH {GRAPH} SELECT n, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM mers GROUP BY kmer) GROUP BY n")
 def q_kmer_count(spark: SparkSession, d: str) -> DataFrame:
     """The spectrum: how many different mers stand at n places."""
     counts = grams(seqs(spark, d), "read_id", "seq", K, n_as_a=False).groupBy("gram").agg(F.count("*").alias("n"))
@@ -255,62 +281,42 @@ def q_count_decay(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("key").agg(F.sum("cnt").alias("n")).where("n > 1").select("key", F.expr("n div 2").alias("n"))
 
 
-@query(f"WITH {READS}, w AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s), posts AS (SELECT DISTINCT read_id, substr(seq, i, {K}) AS key FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*')) SELECT key, count(*) AS n FROM posts GROUP BY key HAVING count(*) > 1")
-def q_postings(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths of the posting lists of mers that several reads hold."""
-    return q_postings_all(spark, d).where("n > 1")
+_POSTS = f"{READS}, w AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s), posts AS (SELECT DISTINCT read_id, substr(seq, i, {K}) AS key FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*'))"
 
 
-@query(f"WITH {READS}, w AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s), posts AS (SELECT DISTINCT read_id, substr(seq, i, {K}) AS key FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*')) SELECT key, count(*) AS n FROM posts GROUP BY key")
-def q_postings_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"WITH {_POSTS} SELECT key, count(*) AS n FROM posts GROUP BY key")
+def q_postings(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the posting lists of all mers."""
     return assign.named(cover.postings(seqs(spark, d), K).groupBy("key").agg(F.count("*").alias("n")))
 
 
-@query(f"WITH {SOLID} SELECT src, dst FROM edges")
+@query(f"WITH {GRAPH} SELECT src, dst FROM edges")
 def q_dbg_edges(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(assign.named(solid(spark, d)[1], key="src"), key="dst")
+    """Of the graph of all mers, as in the next three."""
+    return assign.named(assign.named(graph_of(spark, d)[1], key="src"), key="dst")
 
 
-@query(f"WITH {SOLID} SELECT n_in, n_out, count(*) AS n FROM deg GROUP BY ALL")
+@query(f"WITH {GRAPH} SELECT n_in, n_out, count(*) AS n FROM deg GROUP BY ALL")
 def q_dbg_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(*solid(spark, d)).groupBy("n_in", "n_out").agg(F.count("*").alias("n"))
+    return graph.degrees(*graph_of(spark, d)).groupBy("n_in", "n_out").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SOLID} SELECT kmer FROM deg WHERE n_in <> 1 AND n_out = 1")
+@query(f"WITH {GRAPH} SELECT kmer FROM deg WHERE n_in <> 1 AND n_out = 1")
 def q_dbg_path_starts(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(graph.path_starts(graph.degrees(*solid(spark, d))), key="kmer")
+    return assign.named(graph.path_starts(graph.degrees(*graph_of(spark, d))), key="kmer")
 
 
-@query(f"""WITH RECURSIVE {SOLID},
-one AS (SELECT src, dst FROM edges WHERE src IN (SELECT kmer FROM deg WHERE n_out = 1)),
-walk AS (SELECT kmer AS start, kmer AS here, CAST(1 AS BIGINT) AS n_nodes FROM deg WHERE n_in <> 1 AND n_out = 1
-  UNION ALL SELECT start, dst, n_nodes + 1 FROM walk JOIN one ON here = src WHERE n_nodes < 5000)
-SELECT start, CASE WHEN max(n_nodes) < 5000 THEN arg_max(here, n_nodes) END AS stop, CASE WHEN max(n_nodes) < 5000 THEN max(n_nodes) END AS n_nodes FROM walk GROUP BY start""")
+@query(f"""WITH RECURSIVE {GRAPH},
+one AS MATERIALIZED (SELECT src, dst FROM edges JOIN deg ON src = kmer AND n_out = 1),
+begins AS (SELECT kmer FROM deg WHERE n_in <> 1 AND n_out = 1),
+most AS MATERIALIZED (SELECT count(*) AS n FROM nodes),
+walk AS (SELECT kmer AS start, kmer AS here, CAST(1 AS BIGINT) AS n_nodes FROM begins
+  UNION ALL SELECT start, dst, n_nodes + 1 FROM walk JOIN one ON here = src WHERE n_nodes <= (SELECT n FROM most)),
+ends AS (SELECT start, here AS stop, n_nodes FROM walk WHERE here NOT IN (SELECT src FROM one))
+SELECT kmer AS start, stop, n_nodes FROM begins LEFT JOIN ends ON start = kmer""")
 def q_dbg_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Collapsed paths."""
-    return assign.named(assign.named(graph.collapsed_paths(*solid(spark, d)), key="start"), key="stop")
-
-
-@query(f"WITH {EVERY} SELECT src, dst FROM edges")
-def q_dbg_edges_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of the graph of all mers, as in the next three."""
-    return assign.named(assign.named(solid(spark, d, 1)[1], key="src"), key="dst")
-
-
-@query(f"WITH {EVERY} SELECT n_in, n_out, count(*) AS n FROM deg GROUP BY ALL")
-def q_dbg_degrees_all(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(*solid(spark, d, 1)).groupBy("n_in", "n_out").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {EVERY} SELECT kmer FROM deg WHERE n_in <> 1 AND n_out = 1")
-def q_dbg_path_starts_all(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(graph.path_starts(graph.degrees(*solid(spark, d, 1))), key="kmer")
-
-
-@query()
-def q_dbg_paths_all(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(assign.named(graph.collapsed_paths(*solid(spark, d, 1)), key="start"), key="stop")
+    """Collapsed paths; one that runs into a cycle has no stop."""
+    return assign.named(assign.named(graph.collapsed_paths(*graph_of(spark, d)), key="start"), key="stop")
 
 
 # ---- assignment -----------------------------------------------------------------------------------------
@@ -376,22 +382,19 @@ def q_overlap_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SCORES} SELECT a.read_id, coalesce(b.key, a.key) AS key, coalesce(b.off, a.off) AS off, coalesce(b.rc, a.rc) AS rc FROM asg a LEFT JOIN best b ON a.read_id = b.read_id")
 def q_assign_overlap(spark: SparkSession, d: str) -> DataFrame:
     """One round of moving reads to the bucket they overlap most."""
-    return assign.named(assign.overlap(seqs(spark, d)))
+    return assign.named(assign.overlap(kept(spark, d)))
 
 
 @query(f"""WITH {_SCORES} SELECT a.read_id, coalesce(b.key, a.key) AS key, coalesce(b.off, a.off) AS off, coalesce(b.rc, a.rc) AS rc
 FROM asg a JOIN sz ON a.key = sz.key LEFT JOIN best b ON a.read_id = b.read_id AND sz.n = 1""")
 def q_reassign_onsies(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(assign.overlap(seqs(spark, d), movers="onsies"))
+    return assign.named(assign.overlap(kept(spark, d), movers="onsies"))
 
 
 @query()
 def q_assign_fold(spark: SparkSession, d: str) -> DataFrame:
     """The sequential rule over all reads."""
-    return assign.named(assign.sequential(materialize(seqs(spark, d), "reads")))
-
-
-_POSTS = f"{READS}, w AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM s), posts AS (SELECT DISTINCT read_id, substr(seq, i, {K}) AS key FROM w WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]*'))"
+    return assign.named(assign.sequential(kept(spark, d)))
 
 
 @query(f"WITH {_POSTS} SELECT key, count(*) AS n FROM posts GROUP BY key ORDER BY n DESC, key LIMIT 1")
@@ -450,12 +453,12 @@ def q_canonical_sorted(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FORMS} SELECT least(seq, v) AS canon, count(*) FILTER (mate = 1) AS n_first, count(*) FILTER (mate = 2) AS n_second FROM s JOIN n USING (read_id) WHERE mate IN (1, 2) GROUP BY 1 HAVING count(*) FILTER (mate = 1) <> count(*) FILTER (mate = 2)")
 def q_canon_compare(spark: SparkSession, d: str) -> DataFrame:
     """First and second mates as multisets of canonical sequences: what one has more often than the other."""
-    r = reads(spark, d).where("mate in (1, 2)").groupBy(dna.canonical(F.col("seq")).alias("canon"))
+    r = reads(spark, d, "mate").where("mate in (1, 2)").groupBy(dna.canonical(F.col("seq")).alias("canon"))
     return r.agg(F.count_if(F.col("mate") == 1).alias("n_first"), F.count_if(F.col("mate") == 2).alias("n_second")).where("n_first <> n_second")
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:
-    path = fastx.scratch(spark, "archive")
+    path = scratch(spark, "archive")
     archive.write(rotated(spark, d), path)
     return spark.read.parquet(path)
 
@@ -474,11 +477,29 @@ def q_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return sums.agg(F.sum("a").alias("n_reads"), F.sum("b").alias("n_back"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("n_differ"))
 
 
-@query(f"WITH {ASSIGNED} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_faults FROM asg")
+_DAMAGE = f"""{PLACED}, damaged AS (SELECT read_id, CASE read_id % 5 WHEN 0 THEN '' ELSE key END AS key, CASE read_id % 5 WHEN 1 THEN length(body) + 1 ELSE off END AS off,
+  CASE read_id % 5 WHEN 2 THEN 'N' || body ELSE body END AS body, read_id % 5 = 3 AS beyond FROM rot)"""
+
+
+@query(f"""WITH {_DAMAGE} SELECT read_id, CASE WHEN key = '' THEN 'key' WHEN off > length(body) THEN 'offset' WHEN regexp_matches(body, '[^ACGT]') THEN 'letters' ELSE 'nlocs' END AS fault
+FROM damaged WHERE key = '' OR off > length(body) OR regexp_matches(body, '[^ACGT]') OR beyond""")
 def q_archive_check(spark: SparkSession, d: str) -> DataFrame:
-    rows = rotated(spark, d)
-    ids = rows.select("read_id", F.lit(0).cast("bigint").alias("bad")).unionByName(archive.faults(rows).select("read_id", F.lit(1).cast("bigint").alias("bad")))
-    return ids.agg(F.count_if(F.col("bad") == 0).alias("n_rows"), F.sum("bad").alias("n_faults"))
+    """The rules of an archive's rows, over rows of which four in five are damaged, each rule by some."""
+    hit = lambda i: F.col("read_id") % 5 == i
+    rows = rotated(spark, d).withColumn("off", F.when(hit(1), F.length("body") + 1).otherwise(F.col("off")))
+    rows = rows.withColumn("key", F.when(hit(0), "").otherwise(F.col("key")))
+    rows = rows.withColumn("nlocs", F.when(hit(3), F.array(F.length("body") + F.length("key"))).otherwise(F.col("nlocs")))
+    return archive.faults(rows.withColumn("body", F.when(hit(2), F.concat(F.lit("N"), "body")).otherwise(F.col("body")))).select("read_id", "fault")
+
+
+@query(f"""WITH {PLACED}, moved AS (SELECT key, sub_id, CASE WHEN sub_id % 2 = 0 THEN -off ELSE off END AS off, CASE WHEN sub_id % 2 = 1 THEN pos + 1 ELSE pos END AS pos FROM ch),
+steps AS (SELECT key, sub_id, pos, off < lag(off) OVER (PARTITION BY key, sub_id ORDER BY pos) AS falls FROM moved)
+SELECT key, sub_id, CASE WHEN sub_id % 2 = 1 THEN 'range' ELSE 'order' END AS fault FROM steps GROUP BY key, sub_id HAVING sub_id % 2 = 1 OR bool_or(falls)""")
+def q_chunk_check(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of an archive's chunks, over even chunks with their offsets turned round and odd ones moved by a place."""
+    even = F.col("sub_id") % 2 == 0
+    rows = archive.placed(rotated(spark, d)).withColumn("off", F.when(even, -F.col("off")).otherwise(F.col("off")))
+    return archive.chunk_faults(rows.withColumn("pos", F.when(even, F.col("pos")).otherwise(F.col("pos") + 1)))
 
 
 @query(f"WITH {PLACED}, ord AS (SELECT read_id, row_number() OVER (ORDER BY CASE WHEN n = 1 THEN 0 ELSE 1 END, key, pos) - 1 AS ordinal FROM ch JOIN (SELECT key, count(*) AS n FROM ch GROUP BY key) USING (key)) SELECT '>' || ordinal || chr(10) || u AS record FROM ord JOIN n USING (read_id)")
@@ -506,7 +527,7 @@ def q_short_reads(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {READS} SELECT run_no, min(length(seq)) AS shortest, max(length(seq)) AS longest, count(*) AS n, CAST(min(length(seq)) = max(length(seq)) AS BIGINT) AS uniform FROM s GROUP BY run_no")
 def q_length_check(spark: SparkSession, d: str) -> DataFrame:
     size = F.length("seq").cast("bigint")
-    t = reads(spark, d).groupBy("run_no").agg(F.min(size).alias("shortest"), F.max(size).alias("longest"), F.count("*").alias("n"))
+    t = reads(spark, d, "run_no").groupBy("run_no").agg(F.min(size).alias("shortest"), F.max(size).alias("longest"), F.count("*").alias("n"))
     return t.withColumn("uniform", (F.col("shortest") == F.col("longest")).cast("bigint"))
 
 
@@ -515,39 +536,60 @@ def q_scan_fasta(spark: SparkSession, d: str) -> DataFrame:
     """fasta_records written as FASTA files, 60 characters a line, and read back."""
     t = table(spark, d, "fasta_records").where("header is not null and seq is not null").select("rec_id", "header", "seq").distinct()
     name = F.expr("substring(regexp_replace(header, '[\\\\r\\\\n]+', ' '), 2)")
-    path = fastx.write_fasta(t.select(name.alias("header"), F.regexp_replace("seq", "[\\r\\n]", "").alias("seq")), fastx.scratch(spark, "fasta"), width=60)
+    path = fastx.write_fasta(t.select(name.alias("header"), F.regexp_replace("seq", "[\\r\\n]", "").alias("seq")), scratch(spark, "fasta"), width=60)
     return fastx.read_fasta(spark, path).select("header", "seq")
 
 
 @query(f"WITH {READS} SELECT coalesce(header, '') AS header, seq, qual FROM s WHERE length(qual) = length(seq) AND NOT regexp_matches(qual, '[^!-~]')")
 def q_scan_fastq(spark: SparkSession, d: str) -> DataFrame:
     """Reads with proper qualities written as FASTQ files and read back."""
-    t = reads(spark, d).where("length(qual) = length(seq) and not rlike(qual, '[^!-~]')").select(F.coalesce("header", F.lit("")).alias("header"), "seq", "qual")
-    return fastx.read_fastq(spark, fastx.write_fastq(t, fastx.scratch(spark, "fastq"))).select("header", "seq", "qual")
+    t = reads(spark, d, "header", "qual").where("length(qual) = length(seq) and not rlike(qual, '[^!-~]')").select(F.coalesce("header", F.lit("")).alias("header"), "seq", "qual")
+    return fastx.read_fastq(spark, fastx.write_fastq(t, scratch(spark, "fastq"))).select("header", "seq", "qual")
 
 
-METHODS = ("archive_dump", "forge_api", "mail_patch", "mirror_sync", "ticket_bridge")
+_SIZES = "SELECT coalesce(lang, '-') AS dataset, coalesce(source, '-') AS method, sum(n_chars) AS size FROM documents GROUP BY 1, 2"
 
 
-@query(f"SELECT coalesce(lang, '-') AS dataset, {', '.join(f'CAST(sum(n_chars) FILTER (source = {chr(39)}{m}{chr(39)}) AS BIGINT) AS {m}' for m in METHODS)} FROM documents GROUP BY 1")
-def q_size_report(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes per data set (lang), a column per method (source)."""
-    t = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("-")).alias("dataset"))
-    return t.pivot("source", list(METHODS)).agg(F.sum("n_chars"))
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(dataset, method, size): lang is the data set, source the method; null is `-`."""
+    t = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("-")).alias("dataset"), F.coalesce("source", F.lit("-")).alias("method"))
+    return t.agg(F.sum("n_chars").alias("size"))
 
 
-@query("SELECT date_trunc('day', loaded_at) AS window_start, run_no, count(*) AS n, CAST(sum(coalesce(length(seq), 0)) AS BIGINT) AS n_bases FROM reads WHERE loaded_at IS NOT NULL GROUP BY ALL")
-def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries of reads per day and run, counted by a stream."""
-    counts = arrivals.window_counts(arrivals.arriving(spark, f"{d}/reads.parquet"))
-    return arrivals.run_to_end(counts, fastx.scratch(spark, "stream"), fastx.scratch(spark, "stream-checkpoint"))
+def _methods(spark: SparkSession, d: str, most: int = 200) -> list[str]:
+    """All methods of the data, each a column of the report; more than `most` of them are an error."""
+    found = [r["method"] for r in _sizes(spark, d).select("method").distinct().orderBy("method").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} methods make no table")
+    return found
+
+
+@query(f"SELECT * FROM (PIVOT ({_SIZES}) ON method USING CAST(sum(size) AS BIGINT) GROUP BY dataset)")
+def q_size_report(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes per data set, a column per method."""
+    return _sizes(spark, d).groupBy("dataset").pivot("method", _methods(spark, d)).agg(F.sum("size"))
 
 
-@query(f"SELECT array_to_string([coalesce(lang, '-'), {', '.join(f'coalesce(CAST(CAST(sum(n_chars) FILTER (source = {chr(39)}{m}{chr(39)}) AS BIGINT) AS VARCHAR), {chr(39)}{chr(39)})' for m in METHODS)}], ' & ') AS line FROM documents GROUP BY coalesce(lang, '-')")
+@query(f"""WITH z AS ({_SIZES}), m AS (SELECT DISTINCT method FROM z), x AS (SELECT DISTINCT dataset FROM z)
+SELECT dataset || ' & ' || string_agg(coalesce(CAST(CAST(size AS BIGINT) AS VARCHAR), ''), ' & ' ORDER BY method) AS line FROM x CROSS JOIN m LEFT JOIN z USING (dataset, method) GROUP BY dataset""")
 def q_size_latex(spark: SparkSession, d: str) -> DataFrame:
     """The size report as lines of a table."""
     t = q_size_report(spark, d)
-    return t.select(F.concat_ws(" & ", "dataset", *(F.coalesce(F.col(m).cast("string"), F.lit("")) for m in METHODS)).alias("line"))
+    return t.select(F.concat_ws(" & ", "dataset", *(F.coalesce(F.col(f"`{m}`").cast("string"), F.lit("")) for m in t.columns[1:])).alias("line"))
+
+
+@query(f"WITH z AS ({_SIZES}) SELECT dataset, '{{' || string_agg('\"' || method || '\":' || CAST(CAST(size AS BIGINT) AS VARCHAR), ',' ORDER BY method) || '}}' AS report FROM z WHERE size IS NOT NULL GROUP BY dataset")
+def q_size_json(spark: SparkSession, d: str) -> DataFrame:
+    """The size report as one JSON object per data set."""
+    pairs = F.array_sort(F.collect_list(F.struct("method", F.col("size").cast("bigint"))))
+    return _sizes(spark, d).where("size is not null").groupBy("dataset").agg(F.to_json(F.map_from_entries(pairs)).alias("report"))
+
+
+@query("SELECT date_trunc('day', loaded_at) AS window_start, run_no, count(*) AS n, CAST(sum(coalesce(length(seq), 0)) AS BIGINT) AS n_bases FROM reads WHERE loaded_at IS NOT NULL GROUP BY ALL")
+def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of reads per day and run, counted by a stream."""
+    counts = arrivals.window_counts(arrivals.arriving(spark, f"{d}/reads.parquet"))
+    return arrivals.run_to_end(counts, scratch(spark, "stream"), scratch(spark, "stream-checkpoint"))
 
 
 @query(f"WITH {READS} SELECT read_id, row_number() OVER (ORDER BY md5(CAST(read_id AS VARCHAR) || ':7'), read_id) AS rank FROM s")

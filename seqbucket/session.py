@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -26,24 +28,57 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or, only where that is
-    unset (tests), a temporary folder that is then set as the checkpoint folder."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset, a local
+    session (tests) gets a temporary folder that is then set as the checkpoint folder; on a cluster, whose machines
+    would each write to a folder of their own, it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target, fs = _file(spark, path)
+    fs.deleteOnExit(target)
+    return path
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as the session's Hadoop configuration has them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: its lineage is cut, and what is used twice
-    is computed once. The files outlive any executor."""
+    is computed once. The files outlive any executor; they go with the session, or before that with release."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote for these tables: the state of a round that the next has replaced. Plans
+    that read them can't run afterwards."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (lambda: None, None))
+        if ref() is df:
+            target, fs = _file(df.sparkSession, path)
+            fs.delete(target, True)
+
+
+#: Where materialize wrote a table, by the table's identity.
+_paths: dict[int, tuple] = {}
 
 
 def tasks(spark: SparkSession, rows: int, per_task: int) -> int:

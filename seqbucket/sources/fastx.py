@@ -11,7 +11,6 @@ import gzip
 import io
 import lzma
 import os
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from seqbucket.session import shared_dir
+from seqbucket.session import scratch
 
 SCHEMA = "file string, pair int, ordinal bigint, mate int, header string, seq string, qual string"
 
@@ -29,10 +28,6 @@ class FastxError(ValueError):
     pass
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def write_fasta(df: DataFrame, path: str, width: int | None = None) -> str:
     """df(header, seq), headers without `>`; lines of width characters."""
     lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n") if width else F.col("seq")

@@ -9,7 +9,7 @@ from seqbucket.functions import dna, library
 from seqbucket.functions.kmer import code_mer, mer_code, mer_key
 from seqbucket.operators import archive, assign, cover, graph
 from seqbucket.operators.kmers import candidates, smallest
-from seqbucket.operators.partition import best_ranges, common_prefix, partition
+from seqbucket.operators.partition import best_ranges, common_prefix, partition, running_prefix
 from seqbucket.plans import queries
 
 COMP = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -117,25 +117,55 @@ def test_popularity_whatever_the_order(spark, reads):
         assert got == want
 
 
-def test_fold_in_one_shard(spark, reads):
+def in_order(data, k):
+    """The sequential rule, a read at a time."""
     models: dict = {}
-    want = {}
-    for i, s in sample():
-        if len(s) < 9:
+    out = {}
+    for i, s in sorted(data):
+        if len(s) < k:
             continue
-        c, turned = cand(s, 9), ("".join(x if x in COMP else "A" for x in s), rc(s).replace("N", "A"))
+        c, turned = cand(s, k), ("".join(x if x in COMP else "A" for x in s), rc(s).replace("N", "A"))
         g = [[t[p : p + 8] for p in range(len(t) - 7)] for t in turned]
         best, top = min(c), 0
         for m in sorted(c):
-            score = sum(x in models.get(m, ()) for x in g[c[m][1]])
+            model = models.get(m)
+            score = sum(x in model for x in g[c[m][1]]) if model else 0
             if score > top:
                 best, top = m, score
         models.setdefault(best, set()).update(g[c[best][1]])
-        want[i] = (best, *c[best])
-    got = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(assign.fold(reads, 9), 9).collect()}
-    assert got == want
-    for limit in (10_000, 7):
-        assert assign.fold(reads, 9, shards=5, limit=limit).count() == len(want)
+        out[i] = (best, *c[best])
+    return out
+
+
+def test_sequential_rule(spark, reads):
+    got = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(assign.sequential(reads, 9), 9).collect()}
+    assert got == in_order(sample(), 9)
+
+
+def scores(data, at, k):
+    """For each read the places whose 8-mer another read of a candidate bucket holds, by brute force."""
+    turned = {i: ("".join(x if x in COMP else "A" for x in s), rc(s).replace("N", "A")) for i, s in data}
+    g = lambda t: [t[p : p + 8] for p in range(len(t) - 7)]
+    out = {}
+    for i, s in data:
+        for m, (off, d) in cand(s, k).items() if len(s) >= k else ():
+            held = {x for j, (key, _, r) in at.items() if key == m and j != i for x in g(turned[j][r])}
+            if n := sum(x in held for x in g(turned[i][d])):
+                out[i, m] = (off, d, n)
+    return out
+
+
+@pytest.mark.parametrize("limit", [100_000, 5])
+def test_overlap_scores_split_hot_keys(spark, monkeypatch, limit):
+    """A third of the reads hold one key; with a limit of 5 rows it is split in both lookups."""
+    data = sample(60) + [(2000 + i, "ACGTTGCAACGTAAGG" + "ACGT"[i % 4] * (i % 9)) for i in range(40)]
+    df = spark.createDataFrame(data, "read_id long, seq string").repartition(3)
+    lookup = assign.salted_lookup
+    monkeypatch.setattr(assign, "salted_lookup", lambda *a, **o: lookup(*a, **{**o, "limit": limit}))
+    at = assign.popularity(df, 9)
+    where = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(at, 9).collect()}
+    got = {(r["read_id"], r["key"]): (r["off"], r["rc"], r["score"]) for r in assign.named(assign.overlap_scores(df, at, k=9), 9).collect()}
+    assert got == scores(data, where, 9)
 
 
 def test_archive_round_trip(spark, rows, reads):
@@ -148,6 +178,8 @@ def test_archive_round_trip(spark, rows, reads):
     assert rows(back.select("read_id", "off")) == rows(packed.select("read_id", "off"))
     broken = packed.withColumn("off", F.lit(99))
     assert broken.count() == archive.faults(broken).count()
+    for column, rule in (("key", "key"), ("off", "offset"), ("body", "offset")):
+        assert {r["fault"] for r in archive.faults(packed.withColumn(column, F.lit(None).cast(packed.schema[column].dataType))).collect()} == {rule}
 
 
 def test_more_than_a_chunk_of_equal_reads(spark):
@@ -155,6 +187,11 @@ def test_more_than_a_chunk_of_equal_reads(spark):
     placed = archive.placed(archive.rotated(df, assign.popularity(df)))
     assert sorted(r["n"] for r in placed.groupBy("sub_id").agg(F.count("*").alias("n")).collect()) == [88, 256, 256]
     assert sorted(r["delta"] for r in archive.deltas(placed).select("delta").collect())[:597] == [0] * 597
+    assert archive.chunk_faults(placed).collect() == []
+    gone = archive.chunk_faults(placed.where("pos <> 300")).collect()
+    assert [(r["sub_id"], r["fault"]) for r in gone] == [(1, "range")]
+    falls = archive.chunk_faults(placed.withColumn("off", F.when(F.col("pos") == 599, F.col("off") - 1).otherwise(F.col("off")))).collect()
+    assert [(r["sub_id"], r["fault"]) for r in falls] == [(2, "order")]
     sizes = placed.groupBy("key").agg(F.count("*").alias("n"))
     assert sorted(r["ordinal"] for r in archive.ordinals(placed, sizes).collect()) == list(range(600))
 
@@ -216,7 +253,35 @@ def test_partition_saves_most():
     assert list(best_ranges([], core)) == [] and list(best_ranges(rows, core, compat=True))
 
 
+def test_running_prefix(spark, rows):
+    bodies = {"A": ["AAAC", "AACC", "AACG", "C", "CA"], "B": ["G"], "C": [""] * 4}
+    df = spark.createDataFrame([(k, i, 0, b) for k, bs in bodies.items() for i, b in enumerate(bs)], "key string, pos long, off long, body string")
+    shared = lambda x: min(common_prefix(x[-1], y, 99) for y in x[:-1])
+    want = [(k, i, m, shared(bs[i - m : i + 1])) for k, bs in bodies.items() for i in range(len(bs)) for m in range(1, min(i, 3) + 1)]
+    assert rows(running_prefix(df, 3)) == sorted(want, key=repr)
+
+
+def test_release(spark, tmp_path):
+    from seqbucket.session import materialize, release
+
+    df = materialize(spark.range(3), "x")
+    path = df.inputFiles()[0]
+    release(df, spark.range(1))
+    assert not __import__("os").path.exists(path.removeprefix("file://"))
+
+
+def test_shared_dir_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from seqbucket.session import shared_dir
+
+    conf = N(get=lambda *_: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(N(sparkContext=N(master="spark://a:7077", getConf=lambda: conf), conf=conf))
+
+
 def test_libraries(spark):
+    assert library.MAX_ID == max(k | o << 1 | s << 3 for k in (0, 1) for o in range(4) for s in range(5))
     numbers = {"IU": 37, "ISF": 5, "ISR": 13, "U": 38, "OU": 35, "OSF": 3, "OSR": 11, "SF": 22, "MU": 33, "MSF": 17, "MSR": 25, "SR": 30}
     df = spark.createDataFrame([(n.lower(),) for n in numbers] + [("zz",), (None,)], "n string")
     parts = library.lib_type(F.col("n")), library.orientation(F.col("n")), library.strandedness(F.col("n"))
@@ -245,11 +310,11 @@ def test_graph_and_postings_of_all_mers(spark, rows, tmp_path):
     n_in = {m: sum(m in to for to in links.values()) for m in posts}
     assert 1 in posts.values() and max(posts.values()) > 1
     q = lambda name: queries.QUERIES[name](spark, str(tmp_path))
-    assert rows(q("q_postings_all")) == sorted(posts.items(), key=repr)
-    assert rows(q("q_dbg_edges_all").select("src", "dst")) == sorted([(a, b) for a, to in links.items() for b in to], key=repr)
-    assert q("q_dbg_degrees_all").agg(F.sum("n")).collect()[0][0] == len(posts)
+    assert rows(q("q_postings")) == sorted(posts.items(), key=repr)
+    assert rows(q("q_dbg_edges").select("src", "dst")) == sorted([(a, b) for a, to in links.items() for b in to], key=repr)
+    assert q("q_dbg_degrees").agg(F.sum("n")).collect()[0][0] == len(posts)
     starts = [m for m in posts if n_in[m] != 1 and len(links[m]) == 1]
-    assert rows(q("q_dbg_path_starts_all")) == sorted([(m,) for m in starts], key=repr)
+    assert rows(q("q_dbg_path_starts")) == sorted([(m,) for m in starts], key=repr)
 
     def end(m):
         size = 1
@@ -257,11 +322,11 @@ def test_graph_and_postings_of_all_mers(spark, rows, tmp_path):
             m, size = links[m][0], size + 1
         return (m, size) if size <= len(posts) else (None, None)
 
-    assert rows(q("q_dbg_paths_all").select("start", "stop", "n_nodes")) == sorted([(m, *end(m)) for m in starts], key=repr)
+    assert rows(q("q_dbg_paths").select("start", "stop", "n_nodes")) == sorted([(m, *end(m)) for m in starts], key=repr)
 
 
 def test_sequential_rule_over_all_reads(spark, tmp_path):
-    """As many reads as once went to two shards: the registered query gives what one shard gives."""
+    """As many reads as once went to two shards: the registered query gives what the rule gives, a read at a time."""
     rnd = random.Random(5)
     genome = "".join(rnd.choice("ACGT") for _ in range(3000))
     data = []
@@ -271,10 +336,9 @@ def test_sequential_rule_over_all_reads(spark, tmp_path):
         data.append((i, rc(s) if i % 2 else "".join(s)))
     df = spark.createDataFrame(data, "read_id long, seq string").repartition(5)
     df.selectExpr("read_id", "1L run_no", "'U' lib_name", "read_id ordinal", "1 mate", "'' header", "seq", "'' qual").write.parquet(f"{tmp_path}/reads.parquet")
-    want = {tuple(r) for r in assign.named(assign.fold(df)).select("read_id", "key", "off", "rc").collect()}
+    want = {(i, *x) for i, x in in_order(data, 15).items()}
     got = {tuple(r) for r in queries.q_assign_fold(spark, str(tmp_path)).select("read_id", "key", "off", "rc").collect()}
     assert got == want
-    assert {tuple(r) for r in assign.named(assign.fold(df, shards=2)).select("read_id", "key", "off", "rc").collect()} != want
 
 
 def test_partition_over_block_borders(spark):

@@ -16,8 +16,8 @@ def test_distinct_per_key_with_a_hot_key(spark, rows):
             if k is not None and x is not None:
                 want.setdefault(k, set()).add(x)
     df = spark.createDataFrame(data, "post_id long, mer string, ids array<long>").withColumn("code", F.lit(1)).withColumn("_n", F.lit(2))
-    for limit, per_task in ((100_000, 2_000_000), (50, 10)):
-        got = rows(distinct_per_key(df, "mer", "ids", "post_id", limit, per_task))
+    for limit in (100_000, 50):
+        got = rows(distinct_per_key(df, "mer", "ids", "post_id", limit))
         assert got == sorted(((k, len(v)) for k, v in want.items()), key=repr)
 
 
@@ -45,6 +45,18 @@ def test_lookup_splits_hot_keys(spark, rows):
     assert rows(got) == rows(left.select("id", F.upper("k").alias("v")))
 
 
+def test_lookup_of_several_rows_a_key(spark, rows, monkeypatch):
+    """Two keys are hot, only the larger may be split; the key's rows of keyed stand once per salt."""
+    from seqbucket.operators import skew
+
+    monkeypatch.setattr(skew, "HOT", 1)
+    left = spark.range(1000).select("id", F.when(F.col("id") < 600, "hot").when(F.col("id") < 900, "warm").otherwise("cold").alias("k"), (F.col("id") % 3).alias("g"))
+    n = left.groupBy("k").agg(F.count("*").alias("n"))
+    right = left.select("k", "g").distinct().where("g < 2").join(n, "k").withColumn("v", F.concat("k", F.col("g")))
+    got = salted_lookup(left, right, "k", "n", "id", limit=100, also=("g",))
+    assert rows(got.select("id", "v")) == rows(left.where("g < 2").select("id", F.concat("k", F.col("g"))))
+
+
 def test_dense_codes(spark):
     got = sorted(r["code"] for r in dense_codes(spark.range(1000).repartition(7)).collect())
     assert got == list(range(1000))
