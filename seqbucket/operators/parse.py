@@ -1,16 +1,19 @@
 """Rows that fail to parse: text of an export into typed read records, and the failures with their reasons.
 
-    text   := record (line-break record)*        many records, or
-    text   := record                             one record (single): line breaks are content
+    text   := record (line-break record)*        many records; bare columns have no line break
+    text   := record*                            a block of records whose starts are known: line breaks are content
     record := column ("," column)*
-    column := '"' (char | '""')* '"' | bare      bare has no quote; with many records, no line break
-"""
+    column := '"' (char | '""')* '"' | bare      bare has no quote
+
+A record whose quotes are broken ends at an anchor, where reading goes on. In a block the anchors are the known
+starts of its records. Where they aren't known, an anchor is a line that begins like a record and at which one with four columns parses."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +27,8 @@ _QUOTED = re.compile(r'"((?:[^"]|"")*)"')
 _BARE = re.compile(r'[^",]*')
 _BARE_LINE = re.compile(r'[^",\r\n]*')
 _BREAK = re.compile(r"\r\n|\r|\n")
-#: A line that begins like a record: type of stream, comma, first character of a header.
-_ANCHOR = re.compile(r'(?:\r\n|\r|\n)(?="?(?:FASTA|FASTQ)_TYPE"?,"?[>@][^\s",])')
+#: A line that begins like a record: type of stream, comma, first character of a header and one that isn't white space.
+_LIKELY = re.compile(r'(?:\r\n|\r|\n)(?="?(?:FASTA|FASTQ)_TYPE"?,"?[>@]\S)')
 _QUAL = re.compile(r"[!-~]*\Z")
 
 
@@ -45,16 +48,17 @@ class Record:
 
 
 class Grammar:
-    """Recursive descent over one text; a record with broken quotes is closed at the next place where a
-    line begins like a record, and reading goes on from there."""
+    """Recursive descent over one text. starts: where the records of a block begin, in ascending order from 0."""
 
-    def __init__(self, text: str, single: bool):
-        self.text, self.single, self.pos = text, single, 0
-        self.bare = _BARE if single else _BARE_LINE
+    def __init__(self, text: str, starts: list[int] | None = None):
+        self.text, self.pos, self.end = text, 0, len(text)
+        self.anchors = None if starts is None else [*starts, len(text)]
+        self.bare = _BARE_LINE if starts is None else _BARE
 
     def records(self) -> Iterator[Record]:
-        if self.single:
-            yield self.record()
+        if self.anchors is not None:
+            for self.pos, self.end in zip(self.anchors, self.anchors[1:]):
+                yield self.record()
             return
         while self.pos < len(self.text):
             yield self.record()
@@ -67,36 +71,50 @@ class Grammar:
             self.columns(rec)
         except Malformed as e:
             rec.reason, rec.at = "quoting", e.at
-            self.recover(rec)
+            self.pos = self.next_anchor(rec.start)
         rec.end = self.pos
-        return rec if rec.reason else judged(rec, self.text)
+        return rec if rec.reason else judged(rec)
 
     def columns(self, rec: Record) -> None:
         while True:
             rec.starts.append(self.pos)
             rec.columns.append(self.column())
-            if self.pos >= len(self.text) or self.text[self.pos] != ",":
+            if self.pos >= self.end or self.text[self.pos] != ",":
                 break
             self.pos += 1
-        if self.pos < len(self.text) and (self.single or not _BREAK.match(self.text, self.pos)):
+        if self.pos < self.end and (self.anchors is not None or not _BREAK.match(self.text, self.pos)):
             raise Malformed(self.pos)
 
     def column(self) -> str:
-        if self.text.startswith('"', self.pos):
-            if not (m := _QUOTED.match(self.text, self.pos)):
+        if self.text.startswith('"', self.pos, self.end):
+            if not (m := _QUOTED.match(self.text, self.pos, self.end)):
                 raise Malformed(self.pos)
             self.pos = m.end()
             return m[1].replace('""', '"')
-        m = self.bare.match(self.text, self.pos)
+        m = self.bare.match(self.text, self.pos, self.end)
         self.pos = m.end()
         return m[0]
 
-    def recover(self, rec: Record) -> None:
-        m = None if self.single else _ANCHOR.search(self.text, rec.start)
-        self.pos = m.start() if m else len(self.text)
+    def next_anchor(self, start: int) -> int:
+        """Where the record that began at start ends, its quotes being broken."""
+        if self.anchors is not None:
+            return self.end
+        for m in _LIKELY.finditer(self.text, start):
+            if self.parses(m.end()):
+                return m.start()
+        return len(self.text)
+
+    def parses(self, at: int) -> bool:
+        """Whether a record with four columns stands there, by the same descent."""
+        probe, self.pos = Record(at), at
+        try:
+            self.columns(probe)
+        except Malformed:
+            return False
+        return len(probe.columns) == 4
 
 
-def judged(rec: Record, text: str) -> Record:
+def judged(rec: Record) -> Record:
     """The first failing rule about columns and values, with its place."""
 
     def fail(reason: str, column: int) -> Record:
@@ -133,24 +151,31 @@ _ARROW = [("record_no", pa.int64()), ("reason", pa.string()), ("error_pos", pa.i
 ]
 
 
-def _rows(text: str | None, single: bool) -> Iterator[tuple]:
-    if not text:
-        yield (0, "columns", 0, None, None, None, None, text)
-        return
-    for n, r in enumerate(Grammar(text, single).records()):
-        if r.reason:
-            yield (n, r.reason, r.at, None, None, None, None, text[r.start : r.end])
-        else:
-            yield (n, None, None, *r.columns, None)
+def _row(number: int, rec: Record, text: str) -> tuple:
+    if rec.reason:
+        return (number, rec.reason, rec.at - rec.start, None, None, None, None, text[rec.start : rec.end])
+    return (number, None, None, *rec.columns, None)
+
+
+def _block(texts: list[str]) -> Iterator[tuple]:
+    """One row for each text: they are read side by side as a block, and a broken one ends where the next begins."""
+    joined = "".join(texts)
+    ends = list(accumulate(map(len, texts)))
+    for rec in Grammar(joined, [0, *ends[:-1]] if texts else []).records():
+        yield _row(0, rec, joined)
+
+
+def _many(text: str) -> Iterator[tuple]:
+    yield from (_row(n, rec, text) for n, rec in enumerate(Grammar(text).records()))
 
 
 def parse_records(df: DataFrame, row_id: str, text: str | Column, single: bool = True) -> DataFrame:
     """One row per record of each text: row_id, record_no (from 0 in its text), then either reason,
-    error_pos (characters from the text's start) and raw, or stream_type, header, seq and qual.
+    error_pos (characters from the record's start) and raw, or stream_type, header, seq and qual.
 
-    single: a text is one record, and line breaks in it are content; otherwise records end at line
-    breaks outside quotes, and after broken quotes reading resumes at the next line that begins like a
-    record. A null or empty text is one failure, `columns`. Rows are independent: no shuffle, no state.
+    single: a text is one record, and line breaks in it are content; the texts of a batch are parsed as one
+    block. Otherwise a text holds many records, which end at line breaks outside quotes or, with broken quotes, at the next line
+    at which a record parses. A null or empty text is one failure, `columns`. Rows are independent: no shuffle, no state.
     Nothing is trimmed, and a text of any length is read whole. Columns of df other than these two are
     left out, so none can clash."""
     source = df.select(F.col(row_id).cast("bigint").alias("_id"), (F.col(text) if isinstance(text, str) else text).alias("_text"))
@@ -159,17 +184,27 @@ def parse_records(df: DataFrame, row_id: str, text: str | Column, single: bool =
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [
-                (i, *row)
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                for row in _rows(t, single)
-            ]
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            full = [(i, t) for i, t in zip(ids, texts) if t]
+            out = [(i, 0, "columns", 0, None, None, None, None, t) for i, t in zip(ids, texts) if not t]
+            if single:
+                out += [(i, *row) for (i, _), row in zip(full, _block([t for _, t in full]))]
+            else:
+                out += [(i, *row) for i, t in full for row in _many(t)]
             cols = list(zip(*out)) or [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return source.mapInArrow(parse, schema)
 
 
+def exports(df: DataFrame, file: str, line: str, text: str, lines: int = 256) -> DataFrame:
+    """(file, block, text): the lines of each file in their order, `lines` of them side by side as one text. Blocks are bounded, so
+    a file that holds most of the rows is spread; null and empty lines, and lines without a file or number, are left out."""
+    rows = df.where(F.col(file).isNotNull() & F.col(line).isNotNull() & (F.col(text) != "")).select(file, F.col(line).alias("_line"), F.col(text).alias("_text")).distinct()
+    groups = rows.groupBy(file, F.floor(F.col("_line") / lines).alias("block")).agg(F.sort_array(F.collect_list(F.struct("_line", "_text"))).alias("_l"))
+    return groups.select(file, "block", F.array_join(F.col("_l._text"), "\n").alias("text"))
+
+
 def valid(parsed: DataFrame, row_id: str) -> DataFrame:
     return parsed.where("reason is null").select(row_id, "record_no", "stream_type", "header", "seq", "qual")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqbucket.functions.kmer import mer_key
 from seqbucket.operators import parse, skew
-from seqbucket.session import table
+from seqbucket.session import materialize, table
 
 KEY_SQL = """CASE WHEN regexp_full_match(mer, '[ACGTacgt]{15}')
   THEN least(upper(mer), translate(reverse(upper(mer)), 'ACGT', 'TGCA')) END"""
@@ -22,6 +22,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return parse.failed(_parsed(spark, d), "raw_id").select("raw_id", "reason").distinct()
 
 
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that fail, with the reason and the place of the error, in characters from 0."""
+    return parse.failed(_parsed(spark, d), "raw_id").select("raw_id", "reason", "error_pos").distinct()
+
+
+def p3_exports(spark: SparkSession, d: str) -> DataFrame:
+    """(file_name, n_valid, n_failed): the lines of each export read as one text, block by block, without knowing where its records begin."""
+    blocks = parse.exports(table(spark, d, "raw_records"), "file_name", "line_no", "payload").withColumn("block_id", F.xxhash64("file_name", "block"))
+    blocks = materialize(blocks, "exports")
+    found = parse.parse_records(blocks, "block_id", "text", single=False).groupBy("block_id").agg(F.count_if(F.col("reason").isNull()).alias("n_valid"), F.count_if(F.col("reason").isNotNull()).alias("n_failed"))
+    return blocks.select("block_id", "file_name").join(found, "block_id").groupBy("file_name").agg(F.sum("n_valid").alias("n_valid"), F.sum("n_failed").alias("n_failed"))
+
+
 def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     return parse.valid(_parsed(spark, d), "raw_id").drop("record_no").distinct()
 
@@ -47,7 +60,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.heavy_keys(p6_reads(spark, d), "mer", "n_reads")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p6_found, p6_lists, p6_reads)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_errors, p3_exports, p3_loaded, p6_found, p6_lists, p6_reads)}
 
 _COL = '"(?:[^"]|"")*"|[^",]*'
 _UNQUOTE = "CASE WHEN starts_with({0}, '\"') THEN replace(substr({0}, 2, length({0}) - 2), '\"\"', '\"') ELSE {0} END"
@@ -61,7 +74,7 @@ cut AS (
   FROM raw),
 cols AS (SELECT raw_id, payload, quotes_ok, four, {", ".join(f"{_UNQUOTE.format(f'c{i}')} AS {n}" for i, n in enumerate(("stream_type", "header", "seq", "qual"), 1))} FROM cut),
 judged AS (
-  SELECT raw_id, stream_type, header, seq, qual, CASE
+  SELECT raw_id, payload, stream_type, header, seq, qual, CASE
     WHEN payload IS NULL OR payload = '' THEN 'columns'
     WHEN NOT quotes_ok THEN 'quoting'
     WHEN NOT four THEN 'columns'
@@ -72,11 +85,20 @@ judged AS (
       OR NOT regexp_full_match(regexp_replace(qual, '[\\r\\n]', '', 'g'), '[!-~]*')) THEN 'qual' END AS reason
   FROM cols)
 """
+_ERROR_SQL = f"""
+, whole AS (SELECT raw_id, reason, coalesce(payload, '') AS t, regexp_extract(coalesce(payload, ''), '^(?:(?:{_COL}),)*') AS done FROM judged),
+rest AS (SELECT *, substr(t, length(done) + 1) AS tail, regexp_extract_all(done, '(?:{_COL}),') AS cols FROM whole WHERE reason IS NOT NULL)
+SELECT raw_id, reason, CAST(CASE reason
+  WHEN 'quoting' THEN length(done) + CASE WHEN starts_with(tail, '"') THEN length(regexp_extract(tail, '^"(?:[^"]|"")*"')) ELSE length(regexp_extract(tail, '^[^",]*')) END
+  WHEN 'columns' THEN coalesce(list_sum(list_transform(cols[1:4], lambda x: length(x))), 0)
+  WHEN 'header' THEN length(cols[1]) WHEN 'qual' THEN length(done) ELSE 0 END AS BIGINT) AS error_pos FROM rest
+"""
 _READS_SQL = f"""
 WITH pairs AS (SELECT DISTINCT key, id FROM (SELECT {KEY_SQL} AS key, unnest(rlist) AS id FROM postings) WHERE key IS NOT NULL AND id IS NOT NULL)
 """
 SQL = {
     "p3_found": _PARSED_SQL + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p3_errors": _PARSED_SQL + _ERROR_SQL,
     "p3_loaded": _PARSED_SQL + "SELECT raw_id, stream_type, header, seq, qual FROM judged WHERE reason IS NULL",
     "p6_lists": _READS_SQL
     + """, parted AS (SELECT key, id, CAST(ceil(count(*) OVER (PARTITION BY key) / 4096.0) AS BIGINT) AS parts FROM pairs),

@@ -1,8 +1,9 @@
 """Parsing of export records: reasons, edge cases, recovery."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from seqbucket.operators.parse import Grammar, failed, parse_records, valid
+from seqbucket.operators.parse import Grammar, exports, failed, parse_records, valid
 
 CASES = [
     ("FASTA_TYPE,>a,ACGT,", None),
@@ -45,10 +46,13 @@ def test_empty_table(spark):
     assert parse_records(df, "raw_id", "payload").collect() == []
 
 
+def read(text, starts=None):
+    return [(r.reason, r.columns if not r.reason else text[r.start : r.end]) for r in Grammar(text, starts).records()]
+
+
 def test_recovers_at_the_next_record():
     text = 'FASTA_TYPE,>a,AC,\nFASTQ_TYPE,"@b,GG,II\nFASTA_TYPE,">c, x",GT,\n\nFASTQ_TYPE,@d,A,I\n'
-    got = [(r.reason, r.columns if not r.reason else text[r.start : r.end]) for r in Grammar(text, single=False).records()]
-    assert got == [
+    assert read(text) == [
         (None, ["FASTA_TYPE", ">a", "AC", ""]),
         ("quoting", 'FASTQ_TYPE,"@b,GG,II'),
         (None, ["FASTA_TYPE", ">c, x", "GT", ""]),
@@ -57,6 +61,30 @@ def test_recovers_at_the_next_record():
     ]
 
 
+def test_anchors_are_parsed_before_they_count():
+    """What follows the first line break only looks like a record; the header after the second begins with a comma."""
+    text = 'FASTQ_TYPE,"@b,GG,II\nFASTA_TYPE,>c\nFASTA_TYPE,">,x",AC,\nFASTA_TYPE,>d"e,A,'
+    assert read(text) == [("quoting", 'FASTQ_TYPE,"@b,GG,II\nFASTA_TYPE,>c'), (None, ["FASTA_TYPE", ">,x", "AC", ""]), ("quoting", 'FASTA_TYPE,>d"e,A,')]
+
+
+def test_a_block_resumes_at_its_records():
+    """An open quote doesn't reach into the next record, whatever stands there; each text is one row in its place."""
+    texts = [p for p, _ in CASES if p]
+    starts = [sum(map(len, texts[:i])) for i in range(len(texts))]
+    got = [reason for reason, _ in read("".join(texts), starts)]
+    assert got == [want for p, want in CASES if p]
+    assert read("", []) == []
+
+
+def test_exports(spark, rows):
+    lines = ["FASTA_TYPE,>a,AC,", 'FASTQ_TYPE,"@b,GG,II', 'FASTA_TYPE,">c, x",GT,', None, "", "x"]
+    df = spark.createDataFrame([(f, i, t, "x") for f in ("f", None) for i, t in enumerate(lines * 100)] + [("f", 0, lines[0], "x")], "file_name string, line_no long, payload string, text string")
+    blocks = exports(df, "file_name", "line_no", "payload", lines=7)
+    assert all(r["text"].count("\n") < 7 for r in blocks.collect())
+    found = parse_records(blocks.withColumn("id", F.col("block")), "id", "text", single=False)
+    assert rows(found.groupBy("reason").count()) == sorted([("columns", 100), ("quoting", 100), (None, 200)], key=repr)
+
+
 @pytest.mark.parametrize("size", [100_000])
 def test_very_long_text(spark, size):
     df = spark.createDataFrame([(1, "FASTQ_TYPE,@a," + "A" * size + "," + "I" * size), (2, '"' * (2 * size + 1))], "raw_id long, payload string")
