@@ -21,12 +21,21 @@ def _arrivals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of mer_counts whose key is in known_mers or in an earlier record."""
-    return seen.seen_before(*_arrivals(spark, d)).withColumnRenamed("order_id", "entry_id")
+    records, known, rows = _arrivals(spark, d)
+    return seen.seen_before(records, seen.build(known, rows), rows).withColumnRenamed("order_id", "entry_id")
 
 
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
-    """How often the sets alone answer wrongly: in theory and as audited over all first occurrences."""
-    return seen.error_rates(*_arrivals(spark, d))
+    """How often the sets answer wrongly, in theory and as audited over all first occurrences, at three sizes of the
+    target range; p1_found takes the last."""
+    records, known, rows = _arrivals(spark, d)
+    found = [seen.error_rates(records, known, rows, bits=bits) for bits in (8, 16, seen.BITS)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def p1_keys(spark: SparkSession, d: str) -> DataFrame:
+    """(keys, asked, wrong): different keys that the sets hold, first occurrences among the records, and those answered `seen`."""
+    return seen.error_rates(*_arrivals(spark, d)).select("keys", "asked", "wrong")
 
 
 def p2_top(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +116,7 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncated.limits(truncated.shapes(*_texts(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_round_trip, p8_found, p8_spans, p9_found, p9_limits, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_rates, p2_found, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_round_trip, p8_found, p8_spans, p9_found, p9_limits, p9_rates)}
 
 _TOP_SQL = f"""
 WITH seqs AS (SELECT seq AS item, count(DISTINCT read_id) AS n FROM reads WHERE seq IS NOT NULL GROUP BY seq ORDER BY n DESC, item LIMIT 20),
@@ -136,10 +145,13 @@ _SEEN_SQL = f"""
 WITH recs AS (SELECT DISTINCT entry_id, {KEY_SQL} AS key FROM mer_counts),
 known AS (SELECT DISTINCT {KEY_SQL} AS key FROM known_mers),
 firsts AS (SELECT key, min(entry_id) AS first FROM recs WHERE key IS NOT NULL GROUP BY key)
-SELECT entry_id FROM recs JOIN firsts USING (key) WHERE entry_id > first OR key IN (SELECT key FROM known WHERE key IS NOT NULL)
 """
 SQL = {
-    "p1_found": _SEEN_SQL,
+    "p1_found": _SEEN_SQL + "SELECT entry_id FROM recs JOIN firsts USING (key) WHERE entry_id > first OR key IN (SELECT key FROM known WHERE key IS NOT NULL)",
+    "p1_keys": _SEEN_SQL
+    + """, fresh AS (SELECT * FROM firsts WHERE key NOT IN (SELECT key FROM known WHERE key IS NOT NULL)),
+again AS (SELECT entry_id FROM recs JOIN firsts USING (key) WHERE entry_id > first OR key IN (SELECT key FROM known WHERE key IS NOT NULL))
+SELECT (SELECT count(*) FROM fresh) + (SELECT count(key) FROM known) AS keys, (SELECT count(*) FROM fresh) AS asked, (SELECT count(*) FROM fresh JOIN again ON entry_id = first) AS wrong""",
     "p2_found": _TOP_SQL,
     "p4_found": _SPANS_SQL + "SELECT rec_id, start_pos, end_pos FROM found",
     "p4_share": _SPANS_SQL
