@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,17 +40,30 @@ def p1_keys(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_rates(*_arrivals(spark, d)).select("keys", "asked", "wrong")
 
 
-def p2_top(spark: SparkSession, d: str) -> DataFrame:
-    """(kind, item, n, n_low, n_high): the 20 seq values of most reads, and the 20 keys with the largest
-    sum of postings.cnt, with exact weights and the summary's bounds."""
-    reads = frequent.top(table(spark, d, "reads"), "read_id", "seq")
-    postings = table(spark, d, "postings").withColumn("key", mer_key(F.col("mer")))
-    mers = frequent.top(postings, "post_id", "key", "cnt")
+def _kinds(spark: SparkSession, d: str, f: Callable[..., DataFrame]) -> DataFrame:
+    """f of the values of reads.seq by their reads, and of the keys of postings by the sum of cnt."""
+    reads = f(table(spark, d, "reads"), "read_id", "seq")
+    mers = f(table(spark, d, "postings").withColumn("key", mer_key(F.col("mer"))), "post_id", "key", "cnt")
     return reads.select(F.lit("seq").alias("kind"), "*").unionByName(mers.select(F.lit("cnt").alias("kind"), "*"))
 
 
+def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, item, n, n_low, n_high, sure): the 20 seq values of most reads, and the 20 keys with the largest
+    sum of postings.cnt, with exact weights, the summary's bounds, and whether these are the heaviest for sure."""
+    return _kinds(spark, d, frequent.top)
+
+
+def p2_top(spark: SparkSession, d: str) -> DataFrame:
+    return p2_bounds(spark, d).select("kind", "item", "n", "sure")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_top(spark, d).select("kind", "item")
+    return p2_bounds(spark, d).select("kind", "item")
+
+
+def p2_heavy(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, item, n): all items that hold more than a thousandth of the weight of all deliveries."""
+    return _kinds(spark, d, frequent.above)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,13 +131,19 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncated.limits(truncated.shapes(*_texts(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_rates, p2_found, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_round_trip, p8_found, p8_spans, p9_found, p9_limits, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_rates, p2_bounds, p2_found, p2_heavy, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_round_trip, p8_found, p8_spans, p9_found, p9_limits, p9_rates)}
 
 _TOP_SQL = f"""
 WITH seqs AS (SELECT seq AS item, count(DISTINCT read_id) AS n FROM reads WHERE seq IS NOT NULL GROUP BY seq ORDER BY n DESC, item LIMIT 20),
 posts AS (SELECT DISTINCT post_id, {KEY_SQL} AS item, cnt FROM postings),
-mers AS (SELECT item, sum(cnt) AS n FROM posts WHERE item IS NOT NULL AND cnt IS NOT NULL GROUP BY item ORDER BY n DESC, item LIMIT 20)
-SELECT 'seq' AS kind, item FROM seqs UNION ALL SELECT 'cnt' AS kind, item FROM mers
+mers AS (SELECT item, CAST(sum(cnt) AS BIGINT) AS n FROM posts WHERE item IS NOT NULL AND cnt IS NOT NULL GROUP BY item ORDER BY n DESC, item LIMIT 20)
+"""
+_HEAVY_SQL = f"""
+WITH posts AS (SELECT DISTINCT post_id, {KEY_SQL} AS item, cnt FROM postings),
+seqs AS (SELECT seq AS item, count(DISTINCT read_id) AS n FROM reads WHERE seq IS NOT NULL GROUP BY seq),
+mers AS (SELECT item, CAST(sum(cnt) AS BIGINT) AS n FROM posts WHERE item IS NOT NULL AND cnt > 0 GROUP BY item)
+SELECT 'seq' AS kind, item, n FROM seqs WHERE n * 1000 > (SELECT count(seq) FROM reads)
+UNION ALL SELECT 'cnt', item, n FROM mers WHERE n * 1000 > (SELECT sum(cnt) FROM postings WHERE cnt > 0 AND {KEY_SQL} IS NOT NULL)
 """
 _SPANS_SQL = """
 WITH recs AS (SELECT DISTINCT rec_id, seq FROM fasta_records WHERE seq IS NOT NULL),
@@ -152,7 +173,9 @@ SQL = {
     + """, fresh AS (SELECT * FROM firsts WHERE key NOT IN (SELECT key FROM known WHERE key IS NOT NULL)),
 again AS (SELECT entry_id FROM recs JOIN firsts USING (key) WHERE entry_id > first OR key IN (SELECT key FROM known WHERE key IS NOT NULL))
 SELECT (SELECT count(*) FROM fresh) + (SELECT count(key) FROM known) AS keys, (SELECT count(*) FROM fresh) AS asked, (SELECT count(*) FROM fresh JOIN again ON entry_id = first) AS wrong""",
-    "p2_found": _TOP_SQL,
+    "p2_found": _TOP_SQL + "SELECT 'seq' AS kind, item FROM seqs UNION ALL SELECT 'cnt' AS kind, item FROM mers",
+    "p2_heavy": _HEAVY_SQL,
+    "p2_top": _TOP_SQL + "SELECT 'seq' AS kind, item, n, CAST(1 AS BIGINT) AS sure FROM seqs UNION ALL SELECT 'cnt', item, n, 1 FROM mers",
     "p4_found": _SPANS_SQL + "SELECT rec_id, start_pos, end_pos FROM found",
     "p4_share": _SPANS_SQL
     + """SELECT rec_id, n_chars, n_shared, CASE WHEN n_chars > 0 THEN n_shared / n_chars ELSE 0.0 END AS share
