@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from seqbucket.llm.spans import shared_share, shared_spans
+from seqbucket.llm.spans import _mix, _windows, compact_windows, gram_hashes, shared_share, shared_spans
 
 
 def brute(records, span):
@@ -28,14 +30,35 @@ def brute(records, span):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("hashes", [1, 3])
 @pytest.mark.parametrize("span,gram", [(16, 8), (16, 16), (10, 3), (64, 32)])
-def test_against_brute_force(spark, rows, span, gram):
+def test_windows_of_a_cartesian_tree(span, gram, hashes):
+    """Each stretch lies in one window, that of its root: the leftmost smallest token, whatever finds it."""
+    rnd = random.Random(span)
+    texts = ["".join(rnd.choice("AC") for _ in range(n)) for n in (200, span, 0, span - 1, 90)] + ["A" * 150]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    first, last, signature = compact_windows(codes, starts, span, gram, hashes)
+    covered = [p for a, b in zip(first, last) for p in range(a, b + 1)]
+    assert covered == [a + i for a, t in zip(starts, texts) for i in range(len(t) - span + 1)]
+    if hashes == 1:
+        tokens, roots = gram_hashes(codes, gram), {}
+        for a, b, s in zip(first, last, signature):
+            for p in range(a, b + 1):
+                h = [int(x) for x in (_mix(tokens[p : p + span - gram + 1]) | np.uint64(1))]
+                assert min(h) == s
+                roots.setdefault((a, b), set()).add(p + h.index(min(h)))
+        assert all(len(r) == 1 for r in roots.values())
+
+
+@pytest.mark.parametrize("span,gram,more", [(16, 8, {}), (16, 16, {}), (10, 3, {}), (64, 32, {}), (16, 8, {"hashes": 3}), (16, 8, {"texts": 1}), (16, 8, {"group": 2}), (10, 3, {"texts": 2, "group": 4, "hashes": 2})])
+def test_against_brute_force(spark, rows, span, gram, more):
     rnd = random.Random(span + gram)
     parts = ["".join(rnd.choice("ACGT") for _ in range(rnd.randrange(span, 3 * span))) for _ in range(6)] + ["N" * (2 * span), "é€😀" * span]
     records = [(i, "".join(rnd.choice(parts) if rnd.random() < 0.6 else "".join(rnd.choice("ACGTn ") for _ in range(40)) for _ in range(rnd.randrange(5)))) for i in range(40)]
     records += [(100, None), (101, ""), (102, parts[0]), (102, parts[0]), (103, parts[0][:span]), (104, "Q" * (4 * span)), (105, "Z" * 3)]
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in records], "rec_id long, seq string, start_pos int, text string").repartition(3)
-    assert rows(shared_spans(df, "rec_id", "seq", span, gram)) == brute(records, span)
+    assert rows(shared_spans(df, "rec_id", "seq", span, gram, **more)) == brute(records, span)
 
 
 def test_share(spark, rows):
@@ -65,6 +88,19 @@ def test_texts_in_pieces(spark, rows, monkeypatch):
             assert "".join(map(chr, codes[a:b])) == texts[r][f : f + b - a]
 
 
+def test_one_letter_and_a_hot_passage(spark, rows):
+    """A run of one letter makes a row, not one a character; a passage that most records hold is sent once a batch."""
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("ACGT") for _ in range(150))
+    texts = ["A" * 3000, "C" + "A" * 2000] + ["".join(rnd.choice("ACGT") for _ in range(80)) + passage for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["rec_id", "text"])
+    out = pa.Table.from_batches(list(_windows(iter([batch]), 64, 32, 1, 256))).to_pandas()
+    asked = out[(out["kind"] == 1) & out["text"].fillna("").map(lambda t: t in passage or set(t) == {"A"})]
+    assert asked.groupby("text").size().max() == 1 and len(asked) < 25
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_id long, seq string").repartition(3)
+    assert rows(shared_spans(df, "rec_id", "seq")) == brute(list(enumerate(texts)), 64)
+
+
 def test_empty(spark):
     assert shared_spans(spark.createDataFrame([], "rec_id long, seq string"), "rec_id", "seq").collect() == []
 
