@@ -27,7 +27,7 @@ from seqbucket.operators.skew import salted_lookup
 from seqbucket.session import materialize
 
 #: Length of a token, hashes, characters worked on at once. One hash loses no shared stretch; more make groups smaller and windows more.
-GRAM, HASHES, CHARS = 32, 1, 1 << 18
+GRAM, HASHES, CHARS = 24, 1, 1 << 18
 #: Different texts of one signature in a batch, and rows of one in a task, beyond which its stretches are compared each for itself.
 TEXTS, GROUP = 256, 50_000
 
@@ -92,16 +92,18 @@ def _smaller(h: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 
     All places jump at once: between a place and the one it points at nothing is smaller, so it may go on to where that one points."""
     n = len(h)
-    out = []
+    place, out = np.arange(n), []
     for step, differs in ((-1, np.greater), (1, np.greater_equal)):
-        to = np.arange(n, dtype=np.int32) + np.int32(step)
+        to = place + step
         to[[0, -1]] = 0, n - 1
-        at = np.arange(1, n - 1, dtype=np.int32)
+        # neighbours first, without looking places up
+        at = np.flatnonzero(differs(h[:-2], h[1:-1]) if step < 0 else differs(h[2:], h[1:-1])) + 1
         while len(at):
-            there = to[at]
-            on = differs(h[there], h[at]) & (np.abs(at - there) < reach)
-            at, there = at[on], there[on]
-            to[at] = to[there]
+            there = to[to[at]]
+            to[at] = there
+            on = differs(h[there], h[at])
+            on &= (at - there) * -step < reach
+            at = at[on]
         out.append(to)
     return out[0], out[1]
 
