@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqbucket.operators.skew import salted_lookup
+from seqbucket.operators.skew import HOT, salted_lookup
 from seqbucket.session import materialize, tasks
 
 #: Length of the first prefixes, rows that a bucket may have, and full buckets of a task.
@@ -101,30 +101,31 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def radix_buckets(parts: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
-    """parts with a column bucket, a prefix of canon. A prefix whose rows are more than limit, and are not
-    all the same record, gives way to prefixes twice as long; the first are step characters. Only the oversized prefixes of a
-    level are broadcast, len(parts) / limit of them at most; levels end when none is left."""
-    cut = lambda depth: F.substring("canon", 1, depth)
-    depth, out = step, parts.withColumn("bucket", cut(step)).withColumn("_open", F.lit(True))
+    """parts with a column bucket, a prefix of the bytes of canon. A prefix whose rows are more than limit, and are not
+    all the same record, gives way to prefixes twice as long; the first are step bytes. A level reads only the rows that the one before left
+    open, and levels end when none is left. The oversized prefixes of a level, rows / limit of them at most, are
+    broadcast only if they are no more than HOT; else rows meet them in a shuffle."""
+    cut = lambda depth: F.substring(F.col("canon").cast("binary"), 1, depth)
+    depth, out, open_ = step, None, parts
     while True:
-        sizes = out.where("_open").groupBy("bucket").agg(F.count("*").alias("_n"), F.min("canon").alias("_low"), F.max("canon").alias("_high"))
-        over = materialize(sizes.where((F.col("_n") > limit) & (F.col("_low") != F.col("_high"))).select(F.col("bucket").alias("_over")), "oversized")
-        if over.isEmpty():
-            return out.drop("_open")
+        rows = open_.withColumn("bucket", cut(depth))
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("canon").alias("_low"), F.max("canon").alias("_high"))
+        over = materialize(sizes.where((F.col("_n") > limit) & (F.col("_low") != F.col("_high"))).select("bucket", "_n"), "oversized")
+        n = over.count()
+        side = F.broadcast(over.select("bucket")) if n <= HOT else over.select("bucket")
+        fits = rows.join(side, "bucket", "left_anti") if n else rows
+        out = fits if out is None else out.unionByName(fits)
+        if not n:
+            return out
+        open_ = materialize(rows.join(side, "bucket", "left_semi").drop("bucket"), "open")
         depth *= 2
-        out = (
-            out.join(F.broadcast(over), F.col("_open") & (F.col("bucket") == F.col("_over")), "left")
-            .withColumn("_open", F.col("_over").isNotNull())
-            .withColumn("bucket", F.when(F.col("_open"), cut(depth)).otherwise(F.col("bucket")))
-            .drop("_over")
-        )
 
 
 def collapse(records: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """records(id, canon), one row per id -> (canon, first, n): one row per different record, with the smallest id and
     the number of copies. Rows without id or canon are left out."""
     source = records.where("id is not null and canon is not null")
-    # a batch adds up what is equal in it; the second round adds up over the partitions, at most a row per batch
+    # a batch adds up what is equal in it; the tries add up over the batches, at most a row for each
     parts = materialize(source.select("id", "canon").mapInArrow(_combine, _PART), "parts")
     rows = parts.count()
     buckets = radix_buckets(parts, limit, step)
@@ -143,9 +144,11 @@ def canonical_records(df: DataFrame, row_id: str, header: str, seq: str) -> Data
 
 def copies(records: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     """records(id, canon) -> (keep_id, copy_id): each id that isn't the smallest of its group. Groups with
-    more than limit copies are looked up over several salts."""
+    more than limit copies are looked up over several salts. Rows meet their group by a digest, and count as its copies
+    where the whole of canon is equal. records are written once and read twice."""
     digest = F.struct(F.xxhash64("canon").alias("a"), F.xxhash64(F.lit(1), "canon").alias("b"))
-    groups = collapse(records, limit, step).where("n > 1").select(digest.alias("_d"), F.col("first").alias("keep_id"), F.col("n").alias("_n"))
-    rows = records.where("canon is not null").select("id", digest.alias("_d"))
-    found = salted_lookup(rows, materialize(groups, "groups"), "_d", "_n", "id", limit)
-    return found.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    kept = materialize(records.where("id is not null and canon is not null").select("id", "canon"), "records")
+    groups = collapse(kept, limit, step).where("n > 1").select(digest.alias("_d"), F.col("canon").alias("_canon"), F.col("first").alias("keep_id"), F.col("n").alias("_n"))
+    # two groups of one digest, which chance won't bring, are two rows of one key
+    found = salted_lookup(kept.select("id", "canon", digest.alias("_d")), materialize(groups, "groups"), "_d", "_n", "id", limit)
+    return found.where("canon = _canon and id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))

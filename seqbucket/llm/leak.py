@@ -10,12 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of a phrase; bytes of text in a shard, and words at most; distance of sampled positions; characters of items in one pass.
-PHRASE, SHARD, SHARD_WORDS, SAMPLE, ITEM_CHARS = 12, 6 << 20, 2 << 20, 16, 8 << 20
+from seqbucket.session import materialize
+
+#: Words of a phrase; bytes of text in a shard, and words at most; distance of sampled positions; words of items in one block.
+PHRASE, SHARD, SHARD_WORDS, SAMPLE, ITEM_WORDS = 12, 6 << 20, 2 << 20, 16, 1 << 20
 
 _LOWER = np.zeros(256, np.uint64)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -175,7 +179,7 @@ Piece = tuple[int, int, np.ndarray]
 
 
 class Phrases:
-    """All phrases of size consecutive words of the items, as hashes."""
+    """All phrases of size consecutive words of some items, as hashes."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], size: int):
         self.ids = np.array([i for i, _ in items], np.int64)
@@ -183,49 +187,98 @@ class Phrases:
         self.hashes = np.concatenate([np.zeros((0, size), np.uint64), *(np.lib.stride_tricks.sliding_window_view(w, size) for _, w in items)])
         self.item = np.repeat(np.arange(len(items)), [len(w) - size + 1 for _, w in items])
 
-    def hits(self, pieces: list[Piece]) -> np.ndarray:
-        """Rows (text, item, word) of all places of all phrases."""
-        index = FMIndex([h for _, _, h in pieces])
+    def hits(self, index: FMIndex, pieces: list[Piece]) -> np.ndarray:
+        """Rows (text, item id, word) of all places of all phrases."""
         low, high = index.count(self.hashes)
         n = high - low
         rows = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         piece, word = index.locate(rows)
         text, base = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
-        return np.stack([text[piece], np.repeat(self.item, n), word + base[piece]], axis=1)
+        return np.stack([text[piece], np.repeat(self.ids[self.item], n), word + base[piece]], axis=1)
+
+
+_ITEM = [("id", pa.int64()), ("words", pa.binary())]
+
+
+def item_words(items: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
+    """(id, words): the word hashes of each item of size words or more, eight bytes a word."""
+    source = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [(i, all_words(t.encode("utf-8", "surrogatepass"))[0]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            held = [(i, w.tobytes()) for i, w in held if len(w) >= size]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, (_, t) in enumerate(_ITEM)], names=[n for n, _ in _ITEM])
+
+    return source.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("words", T.BinaryType())]))
+
 
+class Asked:
+    """The items' words in the files of a table that all machines can read. A task goes through them block by block for
+    each of its shards; if they all fit in a block, it keeps that."""
 
-def _spans(docs: list[tuple[int, bytes]], found: list[tuple], hits: np.ndarray, asked: Phrases) -> Iterator[tuple[int, int, int, int]]:
+    def __init__(self, files: list[str], size: int):
+        self.files, self.size, self.kept = files, size, None
+
+    def blocks(self) -> Iterator[Phrases]:
+        if self.kept is not None:
+            yield from self.kept
+            return
+        held, n, out = [], 0, 0
+        for name in self.files:
+            fs, path = FileSystem.from_uri(name)
+            with fs.open_input_file(path) as f:
+                for b in ParquetFile(f).iter_batches(batch_size=256):
+                    for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                        held.append((i, np.frombuffer(w, np.uint64)))
+                        n += len(held[-1][1])
+                        if n >= ITEM_WORDS:
+                            yield Phrases(held, self.size)
+                            held, n, out = [], 0, out + 1
+        last = Phrases(held, self.size)
+        if not out:
+            self.kept = [last] if held else []
+        if held:
+            yield last
+
+
+def _spans(docs: list[tuple[int, bytes]], found: list[tuple], hits: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
     """Hits of one item in one text that overlap or touch, merged; in characters."""
     if not len(hits):
         return
     doc, item, word = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))].T
-    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(word) > asked.size)])
+    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(word) > size)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(doc)]]) - 1
     chars, at = None, -1
-    for d, i, a, b in zip(doc[first].tolist(), item[first].tolist(), word[first].tolist(), (word[last] + asked.size - 1).tolist()):
+    for d, i, a, b in zip(doc[first].tolist(), item[first].tolist(), word[first].tolist(), (word[last] + size - 1).tolist()):
         if d != at:
             at = d
             chars = np.cumsum((np.frombuffer(docs[d][1], np.uint8) & 0xC0) != 0x80, dtype=np.int64)
         _, starts, ends = found[d]
-        yield docs[d][0], int(asked.ids[i]), int(chars[starts[a]]) - 1, int(chars[ends[b] - 1])
+        yield docs[d][0], i, int(chars[starts[a]]) - 1, int(chars[ends[b] - 1])
 
 
-def _search(docs: list[tuple[int, bytes]], asked: Phrases) -> Iterator[tuple[int, int, int, int]]:
-    """Spans of a shard's texts. A text of many words is indexed in pieces that overlap by a phrase less a word."""
+def _search(docs: list[tuple[int, bytes]], asked: Asked) -> Iterator[tuple[int, int, int, int]]:
+    """Spans of a shard's texts. The shard is indexed once, for all blocks of items. A text of many words is indexed in pieces that overlap by a phrase less a word."""
     found = [all_words(data) for _, data in docs]
     over = asked.size - 1
-    hits, pieces, held = [], [], 0
+    hits, pieces, held = [np.zeros((0, 3), np.int64)], [], 0
+
+    def search() -> None:
+        index = FMIndex([h for _, _, h in pieces])
+        hits.extend(block.hits(index, pieces) for block in asked.blocks())
+
     for d, (h, _, _) in enumerate(found):
         for at in range(0, max(1, len(h) - over), SHARD_WORDS):
             pieces.append((d, at, h[at : at + SHARD_WORDS + over]))
             held += len(pieces[-1][2])
             if held >= SHARD_WORDS:
-                hits.append(asked.hits(pieces))
+                search()
                 pieces, held = [], 0
     if pieces:
-        hits.append(asked.hits(pieces))
-    yield from _spans(docs, found, np.concatenate(hits), asked)
+        search()
+    yield from _spans(docs, found, np.concatenate(hits), asked.size)
 
 
 def leaked_spans(corpus: DataFrame, row_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = PHRASE) -> DataFrame:
@@ -233,42 +286,31 @@ def leaked_spans(corpus: DataFrame, row_id: str, text: str, items: DataFrame, it
     text, whatever is between the words; hits of one item that overlap or touch are one span. A text may
     hold several items. Null texts, items without an id, and texts or items of fewer words have no rows; repeated rows repeat theirs.
 
-    The corpus is read once per ITEM_CHARS characters of items: these, a bounded block, go to every task as
-    hashes; tasks index their rows shard by shard and keep one shard at a time. No shuffle."""
-    spark = corpus.sparkSession
+    The corpus is read once; tasks index their rows shard by shard and keep one shard at a time. The items are hashed by Spark and written to
+    the shared folder; each shard is asked for them block by block, ITEM_WORDS words at a time. Nothing goes through the driver but the files' names, and nothing is shuffled."""
     source = corpus.select(F.col(row_id).cast("bigint"), F.col(text)).where(F.col(text).isNotNull())
-    asked = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
-    total = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // ITEM_CHARS))
+    asked = Asked(materialize(item_words(items, item_id, item_text, size), "items").inputFiles(), size)
     arrow = pa.schema(_HIT)
-    schema = T.StructType([T.StructField(n, T.LongType()) for n, _ in _HIT])
-    out = None
-    for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # about ITEM_CHARS characters
-        hashed = [(r["id"], words(r["text"].encode("utf-8", "surrogatepass"))[0]) for r in rows]
-        sent = spark.sparkContext.broadcast(Phrases([(i, w) for i, w in hashed if len(w) >= size], size))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            def flush(docs: list) -> Iterator[pa.RecordBatch]:
-                found = list(zip(*_search(docs, sent.value))) if docs and len(sent.value.ids) else []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=arrow)
-
-            docs: list = []
-            held = 0
-            for b in batches:
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    data = t.encode("utf-8", "surrogatepass")
-                    docs.append((i, data))
-                    held += len(data)
-                    if held >= SHARD:
-                        yield from flush(docs)
-                        docs, held = [], 0
-            yield from flush(docs)
-
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(docs: list) -> Iterator[pa.RecordBatch]:
+            found = list(zip(*_search(docs, asked))) if docs else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=arrow)
+
+        docs: list = []
+        held = 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = t.encode("utf-8", "surrogatepass")
+                docs.append((i, data))
+                held += len(data)
+                if held >= SHARD:
+                    yield from flush(docs)
+                    docs, held = [], 0
+        yield from flush(docs)
+
+    return source.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n, _ in _HIT]))
 
 
 def leaked(corpus: DataFrame, row_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = PHRASE) -> DataFrame:

@@ -167,6 +167,14 @@ WITH recs AS (SELECT DISTINCT entry_id, {KEY_SQL} AS key FROM mer_counts),
 known AS (SELECT DISTINCT {KEY_SQL} AS key FROM known_mers),
 firsts AS (SELECT key, min(entry_id) AS first FROM recs WHERE key IS NOT NULL GROUP BY key)
 """
+_WORDS_SQL = """
+WITH words AS (
+  SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
+asked AS (
+  SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items),
+held AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 10, 1))) AS i, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: w[i:i + 11])) AS p FROM words),
+phrases AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: w[i:i + 11])) AS p FROM asked)
+"""
 SQL = {
     "p1_found": _SEEN_SQL + "SELECT entry_id FROM recs JOIN firsts USING (key) WHERE entry_id > first OR key IN (SELECT key FROM known WHERE key IS NOT NULL)",
     "p1_keys": _SEEN_SQL
@@ -183,12 +191,15 @@ FROM (SELECT rec_id, length(seq) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n
   FROM recs LEFT JOIN (SELECT rec_id, sum(end_pos - start_pos) AS n FROM found GROUP BY rec_id) USING (rec_id))""",
     "p5_found": _CANON_SQL + "SELECT keep_id, rec_id AS copy_id FROM canon JOIN grouped USING (letters, attributes) WHERE rec_id <> keep_id",
     "p5_records": _CANON_SQL + "SELECT keep_id AS rec_id, n AS n_copies FROM grouped",
-    "p8_found": """
-WITH words AS (
-  SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
-asked AS (
-  SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items),
-held AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: w[i:i + 11])) AS p FROM words),
-phrases AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: w[i:i + 11])) AS p FROM asked)
-SELECT DISTINCT doc_id, item_id FROM held JOIN phrases USING (p)""",
+    "p8_found": _WORDS_SQL + "SELECT DISTINCT doc_id, item_id FROM held JOIN phrases USING (p)",
+    "p8_spans": _WORDS_SQL
+    + """, hits AS (SELECT DISTINCT doc_id, item_id, i FROM held JOIN phrases USING (p)),
+steps AS (SELECT doc_id, item_id, i, CASE WHEN i > lag(i) OVER w + 12 THEN 1 ELSE 0 END AS step FROM hits WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY i)),
+runs AS (SELECT doc_id, item_id, i, sum(step) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS run FROM steps),
+spans AS (SELECT doc_id, item_id, min(i) AS a, max(i) + 11 AS b FROM runs GROUP BY doc_id, item_id, run),
+parts AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')) AS part, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), 1) AS n
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM spans)),
+ends AS (SELECT doc_id, part, sum(length(part)) OVER w AS stop, count(*) FILTER (regexp_matches(part, '^[A-Za-z0-9]')) OVER w AS i FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+marks AS (SELECT doc_id, i, CAST(stop - length(part) AS BIGINT) AS start_char, CAST(stop AS BIGINT) AS end_char FROM ends WHERE regexp_matches(part, '^[A-Za-z0-9]'))
+SELECT s.doc_id, item_id, x.start_char, y.end_char FROM spans s JOIN marks x ON x.doc_id = s.doc_id AND x.i = s.a JOIN marks y ON y.doc_id = s.doc_id AND y.i = s.b""",
 }

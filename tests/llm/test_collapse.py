@@ -49,6 +49,21 @@ def test_splits_and_hot_groups(spark, rows):
     assert rows(copies(df, limit=20, step=2)) == sorted(((min(v), x) for v in groups.values() for x in v if x != min(v)), key=repr)
 
 
+def test_oversized_prefixes_beyond_a_broadcast(spark, rows, monkeypatch):
+    from seqbucket.llm import collapse as module
+
+    rnd = random.Random(9)
+    data = [(i, "".join(rnd.choice("acé") for _ in range(5))) for i in range(2000)]
+    groups: dict = {}
+    for i, c in data:
+        groups.setdefault(c, []).append(i)
+    monkeypatch.setattr(module, "HOT", 1)
+    df = spark.createDataFrame(data, "id long, canon string").repartition(4)
+    parts = module.radix_buckets(df, limit=5, step=1)
+    assert parts.count() == 2000 and all(r["canon"].encode().startswith(r["bucket"]) for r in parts.collect())
+    assert rows(collapse(df, limit=5, step=1).select("first", "n")) == sorted(((min(v), len(v)) for v in groups.values()), key=repr)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, canon string")
     assert collapse(df).collect() == [] and copies(df).collect() == []

@@ -80,7 +80,8 @@ def test_pieces_overlap(monkeypatch):
     monkeypatch.setattr(leak, "SHARD_WORDS", 7)
     rng = np.random.default_rng(5)
     h = rng.integers(0, 3, 200).astype(np.uint64)
-    asked = leak.Phrases([(4, h[50:70])], 3)
+    asked = leak.Asked([], 3)
+    asked.kept = [leak.Phrases([(4, h[50:70])], 3)]
     data = b"a " * 200
     monkeypatch.setattr(leak, "all_words", lambda _: (h, np.arange(0, 400, 2), np.arange(1, 400, 2)))
     phrases = {tuple(x) for x in np.lib.stride_tricks.sliding_window_view(h[50:70], 3).tolist()}
@@ -91,6 +92,27 @@ def test_pieces_overlap(monkeypatch):
     assert {w for i in hit for w in range(i, i + 3)} <= covered
 
 
+def test_items_in_blocks(spark, tmp_path, monkeypatch):
+    """Every block is asked for on one index; items that fit in a block are read once."""
+    from seqbucket.llm import leak
+
+    rnd = random.Random(3)
+    items = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(30))) for i in range(40)]
+    t = spark.createDataFrame([*items, (99, "a b"), (None, items[0][1]), (98, None)], "item_id long, text string").repartition(3)
+    files = leak.item_words(t, "item_id", "text", 12)
+    files.write.parquet(str(tmp_path / "items"))
+    names = spark.read.parquet(str(tmp_path / "items")).inputFiles()
+    made = []
+    monkeypatch.setattr(leak, "FMIndex", lambda texts, f=leak.FMIndex: made.append(1) or f(texts))
+    docs = [(1, items[3][1].encode()), (2, (items[7][1] + " x " + items[39][1]).encode())]
+    for words, blocks in ((100, 10), (1 << 20, 1)):
+        monkeypatch.setattr(leak, "ITEM_WORDS", words)
+        asked = leak.Asked(names, 12)
+        assert len(list(asked.blocks())) >= blocks and (asked.kept is not None) == (blocks == 1)
+        made.clear()
+        assert {(d, i) for d, i, _, _ in leak._search(docs, asked)} == {(1, 3), (2, 7), (2, 39)} and len(made) == 1
+
+
 def test_nulls_and_repeated_rows(spark, rows):
     text = "a b c d e f g h i j k l"
     d = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
