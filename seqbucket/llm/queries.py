@@ -94,6 +94,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """The ids with the characters that each covers."""
+    return tokenize.encode(table(spark, d, "documents"), "doc_id", "text", offsets=True)
+
+
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.round_trip(table(spark, d, "documents"), "doc_id", "text")
 
@@ -126,12 +131,17 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncated.rates(*_texts(spark, d))
 
 
+def p9_routes(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts of each source were cut by a limit or by a transfer."""
+    return truncated.routes(*_texts(spark, d))
+
+
 def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     """The lengths at which each source cuts."""
     return truncated.limits(truncated.shapes(*_texts(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_rates, p2_bounds, p2_found, p2_heavy, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_round_trip, p8_found, p8_spans, p9_found, p9_limits, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_rates, p2_bounds, p2_found, p2_heavy, p2_top, p4_found, p4_share, p5_found, p5_records, p7_ids, p7_offsets, p7_round_trip, p8_found, p8_spans, p9_found, p9_limits, p9_rates, p9_routes)}
 
 _TOP_SQL = f"""
 WITH seqs AS (SELECT seq AS item, count(DISTINCT read_id) AS n FROM reads WHERE seq IS NOT NULL GROUP BY seq ORDER BY n DESC, item LIMIT 20),
@@ -202,4 +212,14 @@ parts AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0
 ends AS (SELECT doc_id, part, sum(length(part)) OVER w AS stop, count(*) FILTER (regexp_matches(part, '^[A-Za-z0-9]')) OVER w AS i FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 marks AS (SELECT doc_id, i, CAST(stop - length(part) AS BIGINT) AS start_char, CAST(stop AS BIGINT) AS end_char FROM ends WHERE regexp_matches(part, '^[A-Za-z0-9]'))
 SELECT s.doc_id, item_id, x.start_char, y.end_char FROM spans s JOIN marks x ON x.doc_id = s.doc_id AND x.i = s.a JOIN marks y ON y.doc_id = s.doc_id AND y.i = s.b""",
+    "p9_limits": """
+WITH t AS (SELECT DISTINCT source, text FROM documents WHERE regexp_matches(text, '[^\\s\\p{Z}]')),
+x AS (SELECT source, 'chars' AS unit, length(text) AS length FROM t UNION ALL SELECT source, 'bytes', strlen(text) FROM t),
+c AS (SELECT source, unit, length, count(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER a - n AS s, sum(n * n) OVER a - n * n AS q, count(*) OVER p AS tested, greatest(coalesce(max(n) OVER b, 0), coalesce(max(n) OVER f, 0)) AS top FROM c
+  WINDOW p AS (PARTITION BY source, unit), a AS (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING),
+    b AS (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 1 FOLLOWING AND 12 FOLLOWING)),
+m AS (SELECT *, CASE WHEN s > top THEN greatest(1.0, ((q - top * top) / 23.0 - ((s - top) / 23.0) ** 2) / ((s - top) / 23.0)) ELSE 1.0 END AS spread,
+  n * ln(n * 25.0 / (n + s)) + CASE WHEN s > 0 THEN s * ln(s * 25.0 / (24.0 * (n + s))) ELSE 0.0 END AS exponent FROM s)
+SELECT source, unit, length, n FROM m WHERE n > 5.0 * s / 24 + 1 AND ln(tested) - exponent / spread < ln(0.001) QUALIFY n = max(n) OVER (PARTITION BY source, length)""",
 }

@@ -1,10 +1,13 @@
 """Text cut off by field limits, and by transfers that broke off.
 
-Per source, the lengths of all texts are counted, in characters and in bytes. A length that many more texts
-have than its neighbours is a limit of that source; a text of that length which doesn't end as a record ends
-was cut. Away from the limits only texts whose structure is plainly unfinished count as cut: a hunk with
-fewer lines than its head announces, a diff without a body, a word broken by an ellipsis or a replacement
-character, a last word that is the beginning of one much more frequent in last lines, a layout without the line that closes it in nearly all texts of the source."""
+Limits. Per source, the lengths of all texts are counted, in characters and in bytes. A length that many more texts
+have than its neighbours is a limit of that source; a text of that length that ends without a terminal mark was cut by it.
+
+Transfers. A transfer may break off at any length and leaves no spike, so its texts are told by what is missing. What a source's texts are like is
+counted too: a shape of last line, or lines, that nearly all of them have close its layout, and a text without them is cut. So is one that
+is plainly unfinished: a hunk with fewer lines than its head announces, a diff without a body, a trailer without its
+value, a word broken by an ellipsis or a replacement character, a paragraph without its sentence mark, a last word that is the beginning of one much more
+frequent in last lines. Column `by` says which way a text was found."""
 
 from __future__ import annotations
 
@@ -21,24 +24,22 @@ from pyspark.sql import Window as W
 from seqbucket.session import materialize
 
 #: Neighbours to either side of a length, how many times their mean a spike has, how likely a source without limits
-#: may show one at all, and the share from which a closing line is expected in all of its texts.
-NEAR, TIMES, CHANCE, USUAL = 12, 5.0, 0.001, 0.8
+#: may show one at all, the share from which a line is expected in all of its
+#: texts, and texts without it that every source is taken to have besides (three standard errors, so that a few texts prove nothing).
+NEAR, TIMES, CHANCE, USUAL, SURE = 12, 5.0, 0.001, 0.8, 9
 #: A last word is a fragment of a longer one that begins with it if that stands in so many last lines, and in
-#: so many times more; words beyond that length are left out of this question.
+#: so many times more; longer words, and longer lines of a layout, are left out of these questions.
 OFTEN, MORE, LONGEST = 5, 10, 40
 
 WHOLE, OPEN, BROKEN, DOTS = 0, 1, 2, 3
 
 _LINE = re.compile(r"\r\n|\r|\n")
-_PADDED = re.compile(r"(?:\r\n|\r|\n)[ \t]*Ticket: [0-9]+\s*\Z")
 _HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
 _DIFF = re.compile(r"diff --git a/(\S+) b/(\S+)\Z")
 _BINARY = re.compile(r"Binary files \S+ and \S+ differ\s*\Z")
-_SIGNED = re.compile(r"--\s*\Z")
-_VERSION = re.compile(r"\d+\.\d+\.\d+\s*\Z")
-_ID = re.compile(r"(?:\A|[\r\n])id [0-9a-f]{40}(?=[\r\n]|\Z)")
-_BY = re.compile(r"[A-Z][A-Za-z]+(?:-[A-Za-z]+)*-by: ")
-_TICKET = re.compile(r"Ticket: [A-Z]+-\d+\s*\Z")
+_TRAILER = re.compile(r"[A-Z][A-Za-z]*(-[A-Za-z]+)*:(?: (\S.*))?")
+_FIELD = re.compile(r"[A-Z][A-Za-z-]*:\s+\S")
+_RUN = re.compile(r"[^\W_]+")
 _PATH = re.compile(r"#\s+\S+\.\w+\Z")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = tuple(".?!。！？:;)>}]\"'`")
@@ -56,11 +57,25 @@ def _unbalanced(line: str) -> bool:
     return line.count("(") > line.count(")") or line.count('"') % 2 == 1 or line.count("`") % 2 == 1
 
 
+def _trailer(line: str) -> int | None:
+    """A line `Key: value`: WHOLE if the value ends as an address or a number does, BROKEN if it doesn't though it is one word or the key is
+    of several, or if there is none; None if the line is no such one."""
+    m = _TRAILER.fullmatch(line)
+    if not m:
+        return None
+    value = m[2] or ""
+    one = len(value.split()) <= 1
+    if value.endswith(">") or (value and one and value[-1].isdigit()):
+        return WHOLE
+    return BROKEN if one or m[1] else None
+
+
 def _patch(lines: list[str], midline: bool) -> int:
     """lines from the last `diff --git` on; midline: no line break follows."""
     if not (m := _DIFF.match(lines[0].rstrip())) or len(lines) == 1:
         return BROKEN
     heads = [i for i, x in enumerate(lines) if x.startswith("@@ ")]
+    last = lines[-1]
     if heads:
         m = _HUNK.match(lines[heads[-1]])
         if not m:
@@ -68,15 +83,14 @@ def _patch(lines: list[str], midline: bool) -> int:
         old, new = (int(x) if x is not None else 1 for x in m.groups())
         for line in lines[heads[-1] + 1 :]:
             if old <= 0 and new <= 0:
-                break
+                return OPEN if _trailer(last.strip()) is None else _trailer(last.strip())
             if line[:1] != "+":
                 old -= line[:1] != "\\"
             if line[:1] != "-":
                 new -= line[:1] != "\\"
         if old > 0 or new > 0:
             return BROKEN
-        return BROKEN if midline and _unbalanced(lines[-1]) else OPEN
-    last = lines[-1]
+        return BROKEN if midline and _unbalanced(last) else OPEN
     if any(x.startswith("GIT binary patch") for x in lines):
         blocks = [x for x in lines if x.startswith(("literal ", "delta "))]
         return WHOLE if len(blocks) == 2 and len(last) == 66 else BROKEN
@@ -90,10 +104,9 @@ def _patch(lines: list[str], midline: bool) -> int:
 def _message(lines: list[str], midline: bool) -> int:
     """Lines of a message without its head, the last not blank."""
     last = lines[-1].strip()
-    if _BY.match(last):
-        return WHOLE if last.endswith(">") else BROKEN
-    if _TICKET.match(last):
-        return WHOLE
+    state = _trailer(last) if len(lines) > 1 else None
+    if state is not None:
+        return state
     if last.startswith("#"):
         return WHOLE if _PATH.match(last) else BROKEN if midline else OPEN
     if last.endswith(_END):
@@ -108,39 +121,65 @@ def _message(lines: list[str], midline: bool) -> int:
     return BROKEN if paragraph[0].isupper() and (len(paragraph) == 1 or paragraph != paragraph.upper()) else OPEN
 
 
-def ending(text: str) -> tuple[int, bool, bool]:
-    """How a non-blank text ends (WHOLE, OPEN: nothing tells, BROKEN, DOTS: three dots), whether it is signed at the end like a mail,
-    and whether it has a line that names its id."""
-    m = _PADDED.search(text[-400:])
-    padded = m is not None
-    body = (text[: len(text) - (len(text[-400:]) - m.start())] if padded else text).rstrip("\r\n")
+def ending(text: str) -> int:
+    """How a non-blank text ends: WHOLE, OPEN (nothing tells), BROKEN, or DOTS (three dots)."""
+    body = text.rstrip("\r\n")
     lines = _LINE.split(body)
     tail = body.rstrip()
-    named = _ID.search(text) is not None
-    while len(lines) > 1 and not lines[-1].strip() and not lines[-1]:
-        lines.pop()
-    signed = len(lines) > 1 and bool(_VERSION.match(lines[-1])) and bool(_SIGNED.match(lines[-2]))
-    midline = text == text.rstrip("\r\n")
+    midline = text == body
     if midline and (tail.endswith(("�", " [")) or (tail.endswith("…") and tail[-2:-1].strip())):
-        return BROKEN, signed, named
+        return BROKEN
     if midline and tail.endswith("..."):
-        return DOTS, signed, named
-    if signed:
-        return WHOLE, signed, named
+        return DOTS
     diffs = [i for i, x in enumerate(lines) if x.startswith("diff --git")]
     if diffs:
-        state = _patch(lines[diffs[-1] :], midline)
-    else:
-        if lines[0].startswith("commit "):
-            blank = next((i for i, x in enumerate(lines) if not x.strip()), None)
-            lines = lines[blank + 1 :] if blank is not None else []
-        while lines and not lines[-1].strip():
-            lines.pop()
-        state = BROKEN if not lines else WHOLE if named and lines[-1].startswith("id ") else _message(lines, midline)
-    return (WHOLE if padded and state == OPEN else state), signed, named
+        # a line of one blank is a hunk's
+        return _patch(lines[diffs[-1] :], midline)
+    while len(lines) > 1 and not lines[-1].strip():
+        lines.pop()
+    blank = next((i for i, x in enumerate(lines) if not x.strip()), len(lines))
+    if sum(bool(_FIELD.match(x)) for x in lines[:blank]) > 1:
+        # a head of fields is no message
+        lines = lines[blank + 1 :]
+    return _message(lines, midline) if lines else BROKEN
+
 
+def _shape(text: str) -> str:
+    """Digits as 9, letters as a, runs of both by their length: lines that differ only in their words and numbers are alike."""
+    return _RUN.sub(lambda m: "9" if m[0].isdigit() else "a" if m[0].isalpha() else f"x{len(m[0])}", text)
 
-_SHAPE = [("row_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("chars", pa.int64()), ("bytes", pa.int64()), ("state", pa.int64()), ("signed", pa.int64()), ("named", pa.int64()), ("last_word", pa.string()), ("line_words", pa.list_(pa.string()))]
+
+def _head(line: str) -> str | None:
+    """What a layout repeats in a line: a word and the shape of a number or mark after it, the name of a field, or signs alone."""
+    words = line.split(None, 2)
+    shape = _shape(words[1]) if len(words) == 2 else ""
+    if re.search(r"9|x\d", shape):
+        return f"{words[0]} {shape}"
+    return words[0] if words[0].endswith(":") or not _RUN.search(line) else None
+
+
+def layout(text: str) -> tuple[list[str], str | None, str | None]:
+    """The heads of the lines that are in no diff, the last line's if it has a shape in it, and the last line's shape. Heads and shapes of more than LONGEST characters
+    are no part of a layout."""
+    lines = [x for x in _LINE.split(text) if x.strip()]
+    heads, old, new, skip = set(), 0, 0, False
+    for x in lines:
+        if old > 0 or new > 0:
+            old -= x[:1] not in ("+", "\\")
+            new -= x[:1] not in ("-", "\\")
+        elif x.startswith("diff --git"):
+            skip = True
+        elif m := _HUNK.match(x):
+            old, new = (int(v) if v is not None else 1 for v in m.groups())
+            skip = False
+        elif not skip:
+            heads.add(_head(x) or "")
+    last = lines[-1].strip()
+    shape, head = _shape(last) if len(last) <= LONGEST else None, _head(last)
+    return sorted(h for h in heads if 0 < len(h) <= LONGEST), head if head and " " in head else None, shape
+
+
+_SHAPE = [("row_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("chars", pa.int64()), ("bytes", pa.int64()), ("state", pa.int64()), ("heads", pa.list_(pa.string())), ("last_head", pa.string()), ("last_shape", pa.string()), ("last_word", pa.string()), ("line_words", pa.list_(pa.string()))]
 
 
 def _last_words(text: str, state: int) -> tuple[str | None, list[str]]:
@@ -160,14 +199,14 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, s, h, t in zip(*(c.to_pylist() for c in b.columns)):
             if t.strip():
-                state, signed, named = ending(t)
-                out.append((i, s, h, len(t), len(t.encode("utf-8", "surrogatepass")), state, int(signed), int(named), *_last_words(t, state)))
+                state = ending(t)
+                out.append((i, s, h, len(t), len(t.encode("utf-8", "surrogatepass")), state, *layout(t), *_last_words(t, state)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def shapes(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
-    """(row_id, source, digest, chars, bytes, state, signed, named, last_word, line_words) of each text that isn't null, empty or blank."""
+    """(row_id, source, digest, chars, bytes, state, heads, last_head, last_shape, last_word, line_words) of each text that isn't null, empty or blank."""
     kind = lambda t: T.StringType() if t == pa.string() else T.LongType() if t == pa.int64() else T.ArrayType(T.StringType())
     schema = T.StructType([T.StructField(n, kind(t)) for n, t in _SHAPE])
     rows = df.select(F.col(row_id).cast("bigint"), F.col(source).cast("string"), F.xxhash64(text), F.col(text)).where(F.col(text).isNotNull())
@@ -210,28 +249,52 @@ def fragments(shape: DataFrame) -> DataFrame:
     return words.join(longer, "word").where((F.col("most") >= OFTEN) & (F.col("most") >= MORE * F.col("n"))).select("word")
 
 
+def layouts(shape: DataFrame) -> DataFrame:
+    """(source, heads, shapes): the heads of lines, and the shape of last line, that at least USUAL of a source's texts have. There are few, as each
+    stands in most texts."""
+    n = F.count("*").alias("n")
+    sizes = shape.groupBy("source").agg(F.count("*").alias("_all"))
+    found = shape.select("source", F.lit("head").alias("kind"), F.explode("heads").alias("v")).unionByName(shape.select("source", F.lit("shape").alias("kind"), F.col("last_shape").alias("v")).where("v is not null"))
+    counts = found.groupBy("source", "kind", "v").agg(n).withColumnRenamed("source", "_of")
+    usual = sizes.join(counts, sizes["source"].eqNullSafe(counts["_of"])).where(F.col("n") >= USUAL * (F.col("_all") + SURE))
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("v")))
+    return usual.groupBy("source").agg(of("head").alias("heads"), of("shape").alias("shapes"))
+
+
 def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
-    """shapes with at_limit and cut (0 or 1). A source that is null is a source of its own."""
+    """(row_id, source, chars, bytes, state, at_limit, cut, by): for each text whether it was cut (0 or 1), and by what: `limit`, `transfer` or null. A source that is null is a source of its own."""
     shape = materialize(shapes(df, row_id, source, text), "shapes")
-    usual = shape.groupBy("source").agg((F.avg("signed") >= USUAL).alias("_signs"), (F.avg("named") >= USUAL).alias("_names"))
     spikes = limits(shape).groupBy(F.col("source").alias("_of")).agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("_bytes")
     )
-    traits = usual.join(spikes, usual["source"].eqNullSafe(spikes["_of"]), "left").select(F.col("source").alias("_source"), "_signs", "_names", "_chars", "_bytes")
+    usual = layouts(shape).select(F.col("source").alias("_source"), F.col("heads").alias("_heads"), F.col("shapes").alias("_shapes"))
+    known = shape.select(F.col("source").alias("_name")).distinct()
+    traits = known.join(spikes, known["_name"].eqNullSafe(spikes["_of"]), "left").join(usual, known["_name"].eqNullSafe(usual["_source"]), "left").drop("_of", "_source")
     asked = shape.where("last_word is not null")
     part = asked.join(fragments(shape).withColumn("_part", F.lit(True)), F.col("last_word") == F.col("word"), "left").drop("word")
     shape = part.unionByName(shape.where("last_word is null").withColumn("_part", F.lit(None).cast("boolean")))
-    rows = shape.join(traits, shape["source"].eqNullSafe(traits["_source"]), "left")
-    # dots may stand within the limit, and blanks before them be gone
+    rows = shape.join(traits, shape["source"].eqNullSafe(traits["_name"]), "left")
     # a limit in bytes that falls into a character leaves up to three bytes less
     slack = F.when(F.col("bytes") > F.col("chars"), 3).otherwise(0)
     at_limit = F.coalesce(F.array_contains("_chars", F.col("chars")), F.lit(False)) | F.coalesce(
         F.exists("_bytes", lambda x: (x >= F.col("bytes")) & (x - F.col("bytes") <= slack)), F.lit(False)
     )
+    # dots may stand within the limit, and blanks before them be gone
     dotted = lambda c: F.coalesce(F.exists("_" + c, lambda x: F.col(c).between(x - 4, x)), F.lit(False))
-    unclosed = (F.col("_signs") & (F.col("signed") == 0)) | (F.col("_names") & (F.col("named") == 0))
-    cut = (F.col("state") == BROKEN) | F.coalesce("_part", F.lit(False)) | unclosed | (at_limit & (F.col("state") != WHOLE)) | ((F.col("state") == DOTS) & (dotted("chars") | dotted("bytes")))
-    return rows.select(F.col("row_id").alias(row_id), F.col("source").alias(source), "chars", "bytes", "state", at_limit.cast("int").alias("at_limit"), cut.cast("int").alias("cut"))
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    ends = F.coalesce(F.array_contains("_shapes", F.col("last_shape")), F.lit(False))
+    missing = F.when(has("_shapes"), ~ends).otherwise(has("_heads") & (F.size(F.array_except("_heads", "heads")) > 0))
+    closed = ~missing & (ends | F.coalesce(F.array_contains("_heads", F.col("last_head")), F.lit(False)))
+    state = F.when(closed & (F.col("state") == OPEN), WHOLE).otherwise(F.col("state"))
+    by_limit = (at_limit & (state != WHOLE)) | ((state == DOTS) & (dotted("chars") | dotted("bytes")))
+    by = F.when(by_limit, "limit").when((state == BROKEN) & ~F.coalesce(closed, F.lit(False)) | F.coalesce("_part", F.lit(False)) | F.coalesce(missing, F.lit(False)), "transfer")
+    out = rows.select(F.col("row_id").alias(row_id), F.col("source").alias(source), "chars", "bytes", "state", at_limit.cast("int").alias("at_limit"), by.alias("by"))
+    return out.withColumn("cut", F.col("by").isNotNull().cast("int"))
+
+
+def routes(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
+    """(source, by, n): how many texts of each source were found by which way."""
+    return judged(df, row_id, source, text).where("cut = 1").groupBy(source, "by").agg(F.count("*").alias("n"))
 
 
 def rates(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:

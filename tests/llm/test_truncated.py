@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seqbucket.llm.truncated import BROKEN, DOTS, OPEN, WHOLE, ending, judged, limits, rates, shapes
+from seqbucket.llm.truncated import BROKEN, DOTS, OPEN, WHOLE, ending, judged, layouts, limits, rates, routes, shapes
 
 HUNK = "fix it\n\ndiff --git a/x.c b/x.c\nindex 1..2 100644\n--- a/x.c\n+++ b/x.c\n@@ -1,2 +1,2 @@ f()\n a\n-b\n+c"
 
@@ -27,20 +27,25 @@ HUNK = "fix it\n\ndiff --git a/x.c b/x.c\nindex 1..2 100644\n--- a/x.c\n+++ b/x.
         ("Fix.\n\nSigned-off-by: A B <a@b.c>", WHOLE),
         ("Fix.\n\nSigned-off-by: A B <a@b", BROKEN),
         ("Fix.\n\nTicket: AB-12", WHOLE),
+        ("Fix.\n\nTicket: AB", BROKEN),
+        ("Fix.\n\nTicket:", BROKEN),
+        ("Fix.\n\nNote: it works now.", WHOLE),
+        ("Author: A B <a@b.c>\nDate: today\n\nFix it", OPEN),
+        ("Author: A B <a@b.c>\nDate: today", BROKEN),
         (HUNK, OPEN),
         (HUNK[:-3], BROKEN),
         (HUNK + "\nTicket: 123456", WHOLE),
         (HUNK[: HUNK.index("@@")], BROKEN),
         (HUNK + "(", BROKEN),
-        (HUNK + "\n-- \n2.40.1", WHOLE),
+        (HUNK + "\n-- \n2.40.1", OPEN),
         ("x\n\ndiff --git a/y b/y\nindex 1..2 100644\nBinary files a/y and b/y differ", WHOLE),
         ("x\n\ndiff --git a/y b/y\nindex 1..2 100644\nBinary files a/y and", BROKEN),
         ("x\n\ndiff --git a/y b/", BROKEN),
     ],
 )
 def test_endings(text, state):
-    assert ending(text)[0] == state
-    assert ending(text.replace("\n", "\r\n"))[0] == state
+    assert ending(text) == state
+    assert ending(text.replace("\n", "\r\n")) == state
 
 
 def corpus():
@@ -70,6 +75,28 @@ def test_limits_are_found(spark, rows):
     assert share["limited"] == (1000, len(cut)) and share[None] == (540, 0) and share["one"] == (1, 0)
 
 
+def test_layouts_are_learned(spark, rows):
+    """What nearly all texts of a source close with is learned; a text without it is cut, one with it is whole."""
+    texts = [f"Subject {i}\n\nwords of no end {'very ' * (i % 7)}\n-- \n2.{i}.1" for i in range(80)]
+    docs = [(i, "closed", t) for i, t in enumerate(texts)] + [(100, "closed", texts[3][:-3]), (101, "closed", texts[5][:-8]), (102, "closed", "Subject")]
+    ids = [f"Subject {i}\n\nwords of no end {'very ' * (i % 7)}\nmark {i:04d}ab{i:034x}" for i in range(80)]
+    docs += [(200 + i, None, t) for i, t in enumerate(ids)] + [(300, None, ids[3][:-9])]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    shape = shapes(df, "doc_id", "source", "text")
+    found = {r["source"]: (set(r["heads"]), r["shapes"]) for r in layouts(shape).collect()}
+    assert found["closed"] == ({"Subject 9", "--"}, ["9.9.9"]) and found[None] == ({"Subject 9", "mark x40"}, [])
+    got = judged(df, "doc_id", "source", "text").where("cut = 1")
+    assert rows(got.select("doc_id", "by")) == [(100, "transfer"), (101, "transfer"), (102, "transfer"), (300, "transfer")]
+
+
+def test_the_two_ways(spark, rows):
+    """Texts cut at a limit come by it, those that broke off elsewhere by what they lack, and a table of the ways counts both."""
+    docs, cut = corpus()
+    docs += [(5000 + i, "limited", f"Subject\n\nThis one broke o{'f' * i}") for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    assert rows(routes(df, "doc_id", "source", "text")) == [("limited", "limit", len(cut)), ("limited", "transfer", 3)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert judged(df, "doc_id", "source", "text").collect() == []
@@ -115,7 +142,7 @@ def test_limits_at_every_size(spark):
     ],
 )
 def test_endings_without_case(text, state):
-    assert ending(text)[0] == state
+    assert ending(text) == state
 
 
 def test_planted_cuts_without_case(spark):
