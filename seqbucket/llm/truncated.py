@@ -287,7 +287,7 @@ def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     closed = ~missing & (ends | F.coalesce(F.array_contains("_heads", F.col("last_head")), F.lit(False)))
     state = F.when(closed & (F.col("state") == OPEN), WHOLE).otherwise(F.col("state"))
     by_limit = (at_limit & (state != WHOLE)) | ((state == DOTS) & (dotted("chars") | dotted("bytes")))
-    by = F.when(by_limit, "limit").when((state == BROKEN) & ~F.coalesce(closed, F.lit(False)) | F.coalesce("_part", F.lit(False)) | F.coalesce(missing, F.lit(False)), "transfer")
+    by = F.when(by_limit, "limit").when((((state == BROKEN) | F.coalesce("_part", F.lit(False))) & ~F.coalesce(closed, F.lit(False))) | F.coalesce(missing, F.lit(False)), "transfer")
     out = rows.select(F.col("row_id").alias(row_id), F.col("source").alias(source), "chars", "bytes", "state", at_limit.cast("int").alias("at_limit"), by.alias("by"))
     return out.withColumn("cut", F.col("by").isNotNull().cast("int"))
 
