@@ -1,11 +1,14 @@
 """python -m seqbucket COMMAND: encode, decode, canonicalize, compare, merge, setcover, debruijn.
 
-Each command is a few DataFrame operations on files; errors end with a status other than 0."""
+Each command is a few DataFrame operations on files; errors end with a status other than 0. encode and merge take their files from -i (and -2), or
+as read libraries: -l FORMAT begins one, and -1, -2 (first and second mates) and -r (single reads) name its files. encode takes
+just one library; merge takes several and leaves those of single reads out."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,8 @@ from seqbucket import __version__
 from seqbucket.functions import dna, library
 from seqbucket.operators import archive, assign, cover, graph
 from seqbucket.operators.kmers import grams
-from seqbucket.sources import fastx
+from seqbucket.session import materialize
+from seqbucket.sources import fastx, libraries
 
 
 def load(spark: SparkSession, path: str, path2: str | None = None, strict: bool = False) -> DataFrame:
@@ -52,12 +56,15 @@ def encode(spark: SparkSession, path: str, out: str, k: int = assign.K, both: bo
 
 
 def decode(spark: SparkSession, path: str, out: str) -> None:
-    """FASTA, one file folder for single reads, two (out_1, out_2) for mates."""
+    """FASTA, one file folder for single reads, two (out_1, out_2) for mates. A record's name is its place in the archive: reads
+    alone in their bucket come first, then the buckets in the order of their keys."""
     rows = spark.read.parquet(path)
     bad = archive.faults(rows).first()
     if bad:
         raise ValueError(f"archive breaks its rule {bad['fault']!r} in read {bad['read_id']}")
-    back = rows.select(F.col("read_id").cast("string").alias("header"), archive.sequence().alias("seq"), "len1", "format_id")
+    places = archive.placed(rows)
+    numbered = archive.ordinals(places, places.groupBy("key").agg(F.count("*").alias("n")))
+    back = materialize(numbered.select(F.col("ordinal").cast("string").alias("header"), archive.sequence().alias("seq"), "len1", "format_id"), "decoded")
     kind = library.unpacked(F.col("format_id"))
     if back.where(kind[0] == 1).isEmpty():
         fastx.write_fasta(back, out)
@@ -87,28 +94,59 @@ def _save(df: DataFrame, out: str) -> None:
     (fastx.write_fastq if plain else fastx.write_fasta)(df, out)
 
 
-def main(args: list[str] | None = None) -> int:
+def merged(spark: SparkSession, path: str, path2: str, lib: str | None = None) -> DataFrame:
+    """(header, seq, qual) of mates as one read each, by their library's orientation."""
+    orient = library.parse(lib or "IU")[1]
+    qual = F.concat("q1", F.when(F.lit(orient).isin(1, 2), F.reverse("q2")).otherwise(F.col("q2")))
+    return paired(load(spark, path, path2)).select("header", dna.merged(F.col("s1"), F.col("s2"), F.lit(orient)).alias("seq"), qual.alias("qual"))
+
+
+class _Files(argparse.Action):
+    """Keeps the options of libraries in the order in which they are given."""
+
+    def __call__(self, parser: argparse.ArgumentParser, namespace: argparse.Namespace, values: object, option: str | None = None) -> None:
+        given = values if isinstance(values, list) else [values]
+        namespace.libraries = [*(namespace.libraries or []), (option.lstrip("-")[0], given)]
+
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seqbucket", description=__doc__)
     p.add_argument("-v", "--version", action="version", version=__version__)
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("encode", "decode", "canonicalize", "compare", "merge", "setcover", "debruijn"):
         c = sub.add_parser(name)
-        c.add_argument("-i", "--input", required=True)
-        if name in ("encode", "compare", "merge"):
-            c.add_argument("-2", "--input2", required=name != "encode")
-        if name != "compare":
+        libs = name in ("encode", "merge")
+        c.add_argument("-i", "--input", required=not libs)
+        if name == "compare":
+            c.add_argument("-2", "--input2", required=True)
+        else:
             c.add_argument("-o", "--output", required=True)
-        if name in ("encode", "merge"):
-            c.add_argument("-l", "--library", choices=sorted(library.FORMATS), type=str.upper)
+        if libs:
+            c.add_argument("-l", "--library", dest="libraries", action=_Files, choices=sorted(library.FORMATS), type=str.upper)
+            for option in ("-1", "-2", "-r"):
+                c.add_argument(option, dest="libraries", action=_Files, nargs="+", metavar="FILE")
         if name in ("encode", "setcover", "debruijn"):
             c.add_argument("-b", "--bucket", type=int, default=assign.K, choices=range(1, 32), metavar="K")
         if name == "encode":
             c.add_argument("-n", "--norc", action="store_true")
-    a = p.parse_args(args)
+    return p
+
+
+def read_libraries(a: argparse.Namespace) -> list[libraries.ReadLibrary]:
+    """The libraries of the options; -i counts as the files of first mates where -2 is given, else of single reads."""
+    given = list(a.libraries or [])
+    if a.input:
+        given.append(("1" if any(n == "2" for n, _ in given) else "r", a.input.split(",")))
+    return libraries.from_options(given)
+
+
+def main(args: list[str] | None = None) -> int:
+    a = parser().parse_args(args)
     spark = SparkSession.builder.appName(f"seqbucket {a.command}").getOrCreate()
     try:
         if a.command == "encode":
-            encode(spark, a.input, a.output, a.bucket, not a.norc, a.input2, a.library)
+            lib = libraries.only(read_libraries(a))
+            encode(spark, ",".join(lib.first or lib.unmated), a.output, a.bucket, not a.norc, ",".join(lib.second) or None, lib.format_name)
         elif a.command == "decode":
             decode(spark, a.input, a.output)
         elif a.command == "canonicalize":
@@ -119,9 +157,10 @@ def main(args: list[str] | None = None) -> int:
                 print(f"differ: {first['canon']} stands {first['n_a']} times in the first, {first['n_b']} in the second", file=sys.stderr)
                 return 1
         elif a.command == "merge":
-            orient = library.parse(a.library or "IU")[1]
-            qual = F.concat("q1", F.when(F.lit(orient).isin(1, 2), F.reverse("q2")).otherwise(F.col("q2")))
-            _save(paired(load(spark, a.input, a.input2)).select("header", dna.merged(F.col("s1"), F.col("s2"), F.lit(orient)).alias("seq"), qual.alias("qual")), a.output)
+            parts = [merged(spark, ",".join(x.first), ",".join(x.second), x.format_name) for x in libraries.paired(read_libraries(a))]
+            if not parts:
+                raise ValueError("no library of mates to merge")
+            _save(reduce(DataFrame.unionByName, parts), a.output)
         elif a.command == "setcover":
             assign.named(cover.set_cover(cover.postings(load(spark, a.input), a.bucket)), a.bucket).write.parquet(a.output)
         else:

@@ -544,6 +544,23 @@ def q_scan_fasta(spark: SparkSession, d: str) -> DataFrame:
 def q_scan_fastq(spark: SparkSession, d: str) -> DataFrame:
     """Reads with proper qualities written as FASTQ files and read back."""
     t = reads(spark, d, "header", "qual").where("length(qual) = length(seq) and not rlike(qual, '[^!-~]')").select(F.coalesce("header", F.lit("")).alias("header"), "seq", "qual")
+    return fastx.read_fastq(spark, fastx.write_fastq(t, scratch(spark, "fastq")), four_lines=True, split_bytes=1 << 20).select("header", "seq", "qual")
+
+
+@query(f"WITH {READS} SELECT seq AS line, count(*) AS n FROM s WHERE length(qual) = length(seq) AND NOT regexp_matches(qual, '[^!-~]') GROUP BY seq")
+def q_scan_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Of the same files the second of every four lines, counted."""
+    t = reads(spark, d, "header", "qual").where("length(qual) = length(seq) and not rlike(qual, '[^!-~]')").select(F.coalesce("header", F.lit("")).alias("header"), "seq", "qual")
+    lines = fastx.line_modulo(spark, fastx.write_fastq(t, scratch(spark, "fastq")), 1, 1 << 20)
+    return lines.groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {READS} SELECT coalesce(header, '') AS header, seq, qual FROM s WHERE length(qual) = length(seq) AND NOT regexp_matches(qual, '[^!-~]')")
+def q_scan_fastq_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose records take several lines, read back one task a file."""
+    t = reads(spark, d, "header", "qual").where("length(qual) = length(seq) and not rlike(qual, '[^!-~]')")
+    wrapped = [F.regexp_replace(c, "(.{30})(?=.)", "$1\n").alias(c) for c in ("seq", "qual")]
+    t = t.select(F.coalesce("header", F.lit("")).alias("header"), *wrapped)
     return fastx.read_fastq(spark, fastx.write_fastq(t, scratch(spark, "fastq"))).select("header", "seq", "qual")
 
 
@@ -589,7 +606,7 @@ def q_size_json(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries of reads per day and run, counted by a stream."""
     counts = arrivals.window_counts(arrivals.arriving(spark, f"{d}/reads.parquet"))
-    return arrivals.run_to_end(counts, scratch(spark, "stream"), scratch(spark, "stream-checkpoint"))
+    return arrivals.run_to_end(counts, scratch(spark, "stream"), scratch(spark, "stream-checkpoint"), ["window_start", "run_no"])
 
 
 @query(f"WITH {READS} SELECT read_id, row_number() OVER (ORDER BY md5(CAST(read_id AS VARCHAR) || ':7'), read_id) AS rank FROM s")

@@ -1,7 +1,8 @@
 """FASTA and FASTQ files as DataFrames, one row per record, and back.
 
-read_fasta is a Spark text scan, split inside files. read_fastq uses `fastx`, a data source that reads records of
-several lines, compressed files and mates in lock-step, one task per file or pair of files: a FASTQ file isn't split."""
+read_fasta is a Spark text scan, split inside files. The data source `fastx` reads records of
+several lines, compressed files and mates in lock-step, one task per file or pair of files; files of four-line records, which
+read_fastq is told of by four_lines, are split into ranges of bytes."""
 
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ import os
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +27,13 @@ from seqbucket.session import scratch
 SCHEMA = "file string, pair int, ordinal bigint, mate int, header string, seq string, qual string"
 
 
+#: Bytes of a range of a file of four-line records.
+SPLIT = 64 << 20
+#: Records of a batch.
+ROWS = 10_000
+PACKED = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
+
+
 class FastxError(ValueError):
     pass
 
@@ -48,23 +58,40 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.where(F.length(F.trim("v")) > 0).select("file", parts[0].alias("header"), seq.alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, four_lines: bool = False, split_bytes: int = SPLIT) -> DataFrame:
+    """The data source's rows. four_lines: each record has four lines, which is checked; files that aren't compressed are then read in ranges of
+    split_bytes, and ordinal is the byte at which a record begins, which also rises within a file."""
     spark.dataSource.register(FastxSource)
-    return spark.read.format("fastx").load(path)
+    reader = spark.read.format("fastx")
+    return (reader.option("layout", "four").option("split", split_bytes) if four_lines else reader).load(path)
 
 
-def _open(path: str) -> io.TextIOBase:
-    """Local or shared files directly, others through pyarrow's file systems; .gz, .bz2 and .xz unpacked."""
+def line_modulo(spark: SparkSession, path: str, n: int = 1, split_bytes: int = SPLIT) -> DataFrame:
+    """(file, line): of every four lines the one numbered n, from 0: the headers without their @, the bases, or (3) the qualities."""
+    name = {0: "header", 1: "seq", 3: "qual"}[n]
+    return read_fastq(spark, path, True, split_bytes).select("file", F.col(name).alias("line"))
+
+
+def _raw(path: str):
+    """A file's bytes, with seek: local or shared files directly, others through pyarrow's file systems."""
     url = urlparse(path)
     if url.scheme in ("", "file"):
-        raw = open(url.path if url.scheme else path, "rb")
-    else:
-        from pyarrow.fs import FileSystem
+        return open(url.path if url.scheme else path, "rb")
+    from pyarrow.fs import FileSystem
+
+    fs, name = FileSystem.from_uri(path)
+    return io.BufferedReader(fs.open_input_file(name))
+
+
+def _open(path: str) -> io.TextIOBase:
+    """A file's text; .gz, .bz2 and .xz unpacked."""
+    unpack = PACKED.get(os.path.splitext(path)[1])
+    return io.TextIOWrapper(unpack(_raw(path)) if unpack else _raw(path), encoding="utf-8", newline="\n")
 
-        fs, name = FileSystem.from_uri(path)
-        raw = fs.open_input_stream(name)
-    unpack = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}.get(os.path.splitext(path)[1])
-    return io.TextIOWrapper(unpack(raw) if unpack else raw, encoding="utf-8", newline="\n")
+
+def _size(path: str) -> int:
+    with _raw(path) as f:
+        return f.seek(0, 2)
 
 
 def parse(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, str | None]]:
@@ -107,9 +134,67 @@ def parse(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, str
         line = next((x for x in lines if x), None)
 
 
+def _first_record(f, start: int, name: str) -> int | None:
+    """The byte at which the first four-line record at or after start begins; None if there is none. A line of qualities may begin with @ as
+    a header does, but two lines after it stand bases, which don't begin with +."""
+    if start == 0:
+        return 0
+    f.seek(start - 1)
+    f.readline()
+    at, lines = f.tell(), []
+    while len(lines) < 7 and (x := f.readline()):
+        lines.append((at, x))
+        at = f.tell()
+    for (at, head), (_, plus) in zip(lines[:4], lines[2:]):
+        if head[:1] == b"@" and plus[:1] == b"+":
+            return at
+    if len(lines) < 7:
+        return None  # the rest of the record before
+    raise FastxError(f"{name}: no four-line record at byte {start}")
+
+
+def four_line_records(f, start: int, end: int, name: str = "") -> Iterator[pa.RecordBatch]:
+    """(file, pair, ordinal, mate, header, seq, qual) without file and pair, of the records that begin from start to before end."""
+    at = _first_record(f, start, name)
+    if at is None or at >= end:
+        return
+    f.seek(at)
+    data = f.read(end - at)
+    if not data.endswith(b"\n"):
+        data += f.readline()
+    lines = data.split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    while len(lines) % 4:
+        x = f.readline()
+        if not x:
+            # blank lines may follow the last record
+            while len(lines) % 4 and not lines[-1].strip():
+                lines.pop()
+            if len(lines) % 4:
+                raise FastxError(f"{name}: file ends inside record {lines[len(lines) // 4 * 4][1:41].decode('utf-8', 'replace')!r}")
+            break
+        lines.append(x.rstrip(b"\n"))
+    begins = at + np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])[:-1:4] if lines else np.zeros(0, np.int64)
+    lines = [x.rstrip(b"\r") for x in lines]
+    for lo in range(0, len(lines), 4 * ROWS):
+        part = lines[lo : lo + 4 * ROWS]
+        header, seq, plus, qual = (part[i::4] for i in range(4))
+        if not part[-4].strip() and not any(x.strip() for x in part[-4:]):
+            header, seq, plus, qual = (x[:-1] for x in (header, seq, plus, qual))
+        for h, s, p, q in zip(header, seq, plus, qual):
+            if h[:1] != b"@":
+                raise FastxError(f"{name}: header missing at {h[:40].decode('utf-8', 'replace')!r}")
+            if p[:1] != b"+" or len(s) != len(q):
+                raise FastxError(f"{name}: record {h[1:41].decode('utf-8', 'replace')!r} has {len(s)} bases and {len(q)} qualities")
+        text = lambda xs: pa.array(xs, pa.binary()).cast(pa.string())
+        place = pa.array(begins[lo // 4 : lo // 4 + len(header)], pa.int64())
+        yield pa.RecordBatch.from_arrays([place, pa.nulls(len(header), pa.int32()), text([h[1:] for h in header]), text(seq), text(qual)], names=["ordinal", "mate", "header", "seq", "qual"])
+
+
 class _Files(InputPartition):
-    def __init__(self, number: int, paths: tuple[str, ...]):
-        self.number, self.paths = number, paths
+    def __init__(self, number: int, paths: tuple[str, ...], start: int = 0, end: int | None = None):
+        self.number, self.paths, self.start, self.end = number, paths, start, end
 
 
 def _listed(path: str) -> list[str]:
@@ -129,7 +214,8 @@ def _listed(path: str) -> list[str]:
 
 class FastxSource(DataSource):
     """spark.read.format("fastx").load(path); option path2: the second mates' files, in the same order.
-    Option strict: mates of different number are an error; otherwise reading ends with the shorter file."""
+    Option strict: mates of different number are an error; otherwise reading ends with the shorter file.
+    Option layout `four`: FASTQ of four lines a record, in ranges of option split bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,14 +232,26 @@ class FastxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.first = _listed(options["path"])
         self.second = _listed(options["path2"]) if options.get("path2") else None
+        self.four = options.get("layout") == "four" and self.second is None
+        self.split = int(options.get("split", SPLIT))
         self.strict = str(options.get("strict", "false")).lower() == "true"
         if self.second is not None and len(self.first) != len(self.second):
             raise FastxError(f"{len(self.first)} files of first mates and {len(self.second)} of second")
 
     def partitions(self) -> list[InputPartition]:
+        if self.four:
+            sizes = [None if os.path.splitext(p)[1] in PACKED else _size(p) for p in self.first]
+            cuts = [(i, p, a, None if n is None else min(n, a + self.split)) for i, (p, n) in enumerate(zip(self.first, sizes)) for a in range(0, n or 1, self.split)]
+            return [_Files(i, (p,), a, b) for i, p, a, b in cuts]
         return [_Files(i, p) for i, p in enumerate(zip(self.first, self.second) if self.second else ((p,) for p in self.first))]
 
-    def read(self, part: InputPartition) -> Iterator[tuple]:
+    def read(self, part: InputPartition) -> Iterator[tuple | pa.RecordBatch]:
+        if part.end is not None:
+            with _raw(part.paths[0]) as f:
+                for b in four_line_records(f, part.start, part.end, part.paths[0]):
+                    own = [pa.array([part.paths[0]] * b.num_rows, pa.string()), pa.array([part.number] * b.num_rows, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*own, *b.columns], names=["file", "pair", *b.schema.names])
+            return
         if len(part.paths) == 1:
             with _open(part.paths[0]) as f:
                 for n, (header, seq, qual) in enumerate(parse(f, part.paths[0])):

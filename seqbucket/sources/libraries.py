@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqbucket.functions import library
-from seqbucket.sources.fastx import FastxSource
+from seqbucket.sources.fastx import PACKED, FastxSource
 
 EXTENSIONS = (".fa", ".fq", ".fasta", ".fastq")
-PACKED = (".gz", ".bz2", ".xz")
 
 
 @dataclass
@@ -72,3 +71,21 @@ def listing(spark: SparkSession, folder: str, pattern: str = ".*") -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), "length").where(F.col("name").rlike(pattern))
+
+
+def only(libraries: list[ReadLibrary]) -> ReadLibrary:
+    """The one library of the options; none or several are an error."""
+    if len(libraries) != 1:
+        raise ValueError(f"just one read library is taken, not {len(libraries)}")
+    return checked(libraries)[0]
+
+
+def paired(libraries: list[ReadLibrary]) -> list[ReadLibrary]:
+    """The libraries of mates; those of single reads are left out."""
+    return checked([x for x in libraries if library.parse(x.format_name)[0] == 1])
+
+
+def checked(libraries: list[ReadLibrary]) -> list[ReadLibrary]:
+    if wrong := [w for x in libraries for w in x.faults()]:
+        raise ValueError("; ".join(wrong))
+    return libraries

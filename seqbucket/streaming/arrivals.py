@@ -1,15 +1,15 @@
 """Reads that arrive as a stream: counts per time window and mer counts, kept up by Structured Streaming.
 
 The stream's source are Parquet files with the columns of `reads`. Late rows are counted as long
-as the watermark lets them in; state is bounded by the windows that are still open."""
+as the watermark lets them in; a window's state is dropped once the watermark has passed it, so state is bounded by the windows that are still open."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seqbucket.functions import dna
-from seqbucket.operators.kmers import grams
 
 
 def arriving(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -19,29 +19,45 @@ def arriving(spark: SparkSession, path: str, files_per_trigger: int = 64) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    return stream.where("loaded_at is not null").withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).withWatermark("loaded_at", late)
+
+
 def window_counts(stream: DataFrame, width: str = "1 day", late: str = "30 days") -> DataFrame:
     """(window_start, run_no, n, n_bases): deliveries and their bases per window of loaded_at and run. A null
     loaded_at is in no window; a null seq counts with 0 bases."""
-    rows = stream.where("loaded_at is not null").withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).withWatermark("loaded_at", late)
-    counts = rows.groupBy(F.window("loaded_at", width).alias("w"), "run_no").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("seq"), F.lit(0))).alias("n_bases"))
+    counts = _timed(stream, late).groupBy(F.window("loaded_at", width).alias("w"), "run_no").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("seq"), F.lit(0))).alias("n_bases"))
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "run_no", "n", "n_bases")
 
 
-def mer_counts(stream: DataFrame, k: int = 15) -> DataFrame:
-    """(gram, n): running counts of the mers of all deliveries."""
-    rows = stream.where("seq is not null").select("read_id", dna.ingest(F.col("seq")).alias("seq"))
-    return grams(rows, "read_id", "seq", k, n_as_a=False).groupBy("gram").agg(F.count("*").alias("n"))
+def mer_counts(stream: DataFrame, k: int = 15, width: str = "1 day", late: str = "30 days") -> DataFrame:
+    """(window_start, gram, n): the mers of all deliveries per window of loaded_at. Sums over windows are running counts of all; the
+    state holds the mers of open windows only."""
+    rows = _timed(stream, late).where("seq is not null").select("loaded_at", dna.normalize(dna.ingest(F.col("seq"))).alias("seq"))
+    text = F.col("seq")
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
+    mers = rows.select("loaded_at", F.explode(parts).alias("gram")).where((F.length("gram") == k) & ~F.contains("gram", F.lit("N")))
+    counts = mers.groupBy(F.window("loaded_at", width).alias("w"), "gram").agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "gram", "n")
+
 
+def run_to_end(counts: DataFrame, out: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Runs the stream over all that is there and reads its results. A batch gives only the groups that it changed (mode update), which go to a folder of the
+    batch, so nothing already written is written again; of each group, by keys, the latest batch's row counts. A batch that is run again after a failure
+    replaces its folder. The checkpoint lets a later run go on where this one ended."""
 
-def run_to_end(counts: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over all that is there, replacing the table in out after each batch, and reads it.
-    The checkpoint lets a later run go on where this one ended."""
-    query = (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return counts.sparkSession.read.schema(counts.schema).parquet(out)
+    return latest(counts.sparkSession, out, keys, counts)
+
+
+def latest(spark: SparkSession, out: str, keys: list[str], like: DataFrame) -> DataFrame:
+    """The current row of each group, from the batches written so far."""
+    rows = spark.read.schema(StructType([*like.schema.fields, StructField("batch", LongType())])).parquet(out)
+    rest = [c for c in like.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(*like.columns)

@@ -66,18 +66,86 @@ def test_command_line(spark, rows, tmp_path):
     assert cli.canonical_diff(cli.load(spark, a), cli.load(spark, out + "t")).count() == 0
     assert cli.canonical_diff(cli.load(spark, a), cli.load(spark, b)).count() == 4
     assert [r["seq"] for r in cli.canonicalize(cli.load(spark, a)).collect()] == ["AAACGTACGTACGTACGTACGT", "ATGGTACCTGGTCAATGGTCAA"]
+    names = lambda p: sorted(r["header"] for r in fastx.read_fasta(spark, p).collect())
+    assert names(out + "t") == ["0", "1"] and names(f"{out}d_1") == ["0/1", "1/1"]
     with pytest.raises(ValueError, match="fewer than"):
         cli.encode(spark, a, out + "x", k=25)
 
 
+@pytest.mark.parametrize("end", ["", "\n", "\n\n\n"])
+def test_four_line_files_are_split(spark, rows, tmp_path, end):
+    """Every range gives the records that begin in it, wherever it is cut; qualities may begin with @ or +."""
+    import io
+
+    records = [(f"r{i} @x", "ACGT" * (i % 5), "@+@I" * (i % 5)) for i in range(40)]
+    text = "\r\n".join(f"@{h}\r\n{s}\r\n+{h if i % 2 else ''}\r\n{q}" for i, (h, s, q) in enumerate(records)) if end == "" else "\n".join(f"@{h}\n{s}\n+\n{q}" for h, s, q in records) + end
+    data = text.encode()
+    for size in (1, 7, 64, 1000, len(data)):
+        got, places = [], []
+        for a in range(0, len(data), size):
+            for b in fastx.four_line_records(io.BytesIO(data), a, min(len(data), a + size)):
+                got += list(zip(*(b.column(n).to_pylist() for n in ("header", "seq", "qual"))))
+                places += b.column("ordinal").to_pylist()
+        if records[-1][1] or end:
+            assert got == records and places == sorted(set(places)) and all(data[p : p + 2] == b"@r" for p in places)
+    (tmp_path / "a.fq").write_bytes(data)
+    with gzip.open(tmp_path / "b.fq.gz", "wb") as f:
+        f.write(data if end != "\n\n\n" else data.rstrip(b"\n") + b"\n")
+    df = fastx.read_fastq(spark, str(tmp_path), four_lines=True, split_bytes=300)
+    assert rows(df.select("header", "seq", "qual")) == sorted(records * 2, key=repr)
+    assert df.rdd.getNumPartitions() > 2
+    assert rows(fastx.line_modulo(spark, str(tmp_path / "a.fq"), 3, 300).select("line")) == sorted([(q,) for _, _, q in records], key=repr)
+
+
+@pytest.mark.parametrize("text,what", [("@a\nAC\n+\nI\n", "qualities"), ("@a\nAC\n+\n", "ends inside"), ("a\nAC\n+\nII\n", "header missing"), ("@a\nAC\nGT\n+\nII\nII\n", "qualities|ends inside")])
+def test_files_that_break_the_four_lines(text, what):
+    import io
+
+    with pytest.raises(FastxError, match=what):
+        list(fastx.four_line_records(io.BytesIO(text.encode()), 0, len(text)))
+
+
 def test_stream(spark, rows, tmp_path):
     src = str(tmp_path / "reads")
     df = spark.createDataFrame([(i, i % 2, "ACGTACGTACGTACGTA" if i % 3 else None) for i in range(20)], "read_id long, run_no int, seq string")
     df.withColumn("loaded_at", F.expr("timestamp'2025-01-01' + make_interval(0, 0, 0, cast(read_id % 3 as int))")).repartition(4).write.parquet(src)
-    counts = arrivals.run_to_end(arrivals.window_counts(arrivals.arriving(spark, src, 1)), str(tmp_path / "o"), str(tmp_path / "c"))
+    stream = arrivals.window_counts(arrivals.arriving(spark, src, 1))
+    counts = arrivals.run_to_end(stream, str(tmp_path / "o"), str(tmp_path / "c"), ["window_start", "run_no"])
     assert sum(r["n"] for r in counts.collect()) == 20 and counts.count() == 6
-    mers = arrivals.run_to_end(arrivals.mer_counts(arrivals.arriving(spark, src, 1)), str(tmp_path / "p"), str(tmp_path / "q"))
+    mers = arrivals.run_to_end(arrivals.mer_counts(arrivals.arriving(spark, src, 1)), str(tmp_path / "p"), str(tmp_path / "q"), ["window_start", "gram"])
     assert sum(r["n"] for r in mers.collect()) == 13 * 3
+    assert len(list((tmp_path / "o").glob("batch=*"))) >= 4
+    # what comes later is added to what is there, and the rest isn't written again
+    df.limit(4).withColumn("loaded_at", F.expr("timestamp'2025-01-01'")).coalesce(1).write.mode("append").parquet(src)
+    counts = arrivals.run_to_end(stream, str(tmp_path / "o"), str(tmp_path / "c"), ["window_start", "run_no"])
+    assert sum(r["n"] for r in counts.collect()) == 24 and counts.count() == 6
+
+
+def test_closed_windows_leave_the_state(spark, tmp_path):
+    src = tmp_path / "reads"
+    for i, day in enumerate(("2025-01-01", "2025-03-01", "2025-05-01", "2025-07-01")):
+        df = spark.createDataFrame([(i, 1, "ACGT")], "read_id long, run_no int, seq string")
+        df.withColumn("loaded_at", F.lit(day).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(src))
+    counts = arrivals.window_counts(arrivals.arriving(spark, str(src), 1), late="1 day")
+    query = counts.writeStream.outputMode("update").format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_libraries_of_the_command_line(spark, rows, tmp_path, capsys):
+    a, b, out = (str(tmp_path / x) for x in ("1.fa", "2.fa", "out"))
+    for p, seq in ((a, "ACGTACGTACGTACGTACGG"), (b, "TTTGACCATTGACCAGGTAC")):
+        with open(p, "w") as f:
+            f.write(f">r\n{seq}\n")
+    assert cli.main(["encode", "-l", "IU", "-1", a, "-2", b, "-o", out]) == 0
+    assert spark.read.parquet(out).count() == 1
+    assert cli.main(["encode", "-i", a, "-2", b, "-o", out + "i"]) == 0 and spark.read.parquet(out + "i").first()["len1"] == 20
+    assert cli.main(["encode", "-l", "IU", "-1", a, "-2", b, "-l", "U", "-r", a, "-o", out + "x"]) == 2
+    assert "just one read library" in capsys.readouterr().err
+    assert cli.main(["encode", "-o", out + "x"]) == 2 and cli.main(["encode", "-l", "IU", "-1", a, "-o", out + "x"]) == 2
+    assert cli.main(["merge", "-l", "MU", "-1", a, "-2", b, "-l", "U", "-r", a, "-l", "IU", "-1", a, "-2", b, "-o", out + "m"]) == 0
+    assert fastx.read_fasta(spark, out + "m").count() == 2
+    assert cli.main(["merge", "-r", a, "-o", out + "n"]) == 2
 
 
 def test_libraries(spark, rows, tmp_path):
