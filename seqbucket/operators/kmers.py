@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -94,6 +95,59 @@ def candidates(df: DataFrame, row_id: str, seq: str, k: int = 15, both: bool = T
     return _mapped(df, row_id, seq, [row_id, "key", "off", "rc"], f)
 
 
+def candidate_counts(df: DataFrame, row_id: str, seq: str, k: int = 15, both: bool = True) -> DataFrame:
+    """(key, n): the candidates' keys without their places, in how many reads of a batch each is; to be added up over the batches."""
+
+    def f(_, codes, starts):
+        forward, backward = _both(codes, k)
+        at, owner = _places(starts, len(forward), k)
+        key, own = forward[at], owner
+        if both:
+            key, own = np.concatenate([key, backward[at]]), np.concatenate([own, own])
+        if not len(key):
+            return [[]] * 2
+        if 2 * k + int(own.max()).bit_length() <= 63:
+            shift = int(own.max()).bit_length()
+            packed = np.sort(key << shift | own)
+            key = packed[np.concatenate([[True], np.diff(packed) != 0])] >> shift
+        else:
+            key = np.sort(_firsts(key, np.zeros(len(key), np.int64), own, k)[0])
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        return key[first], np.diff(np.concatenate([first, [len(key)]]))
+
+    return _mapped(df, row_id, seq, ["key", "n"], f)
+
+
+def best_known(df: DataFrame, row_id: str, seq: str, known: Broadcast, k: int = 15, both: bool = True) -> DataFrame:
+    """(row_id, key, off, rc): of the candidates of each read the one of the largest weight, then the smallest key. known: keys in ascending
+    order, and their weights; other keys weigh 1."""
+
+    def f(ids, codes, starts):
+        forward, backward = _both(codes, k)
+        at, owner = _places(starts, len(forward), k)
+        if not len(at):
+            return [[]] * 4
+        off = at - starts[owner]
+        key, scan, own = forward[at], 2 * off, owner
+        if both:
+            pair = lambda a, b: np.stack([a, b], axis=1).ravel()
+            key, scan, own = pair(key, backward[at]), pair(scan, scan + 1), pair(owner, owner)
+        keys, weights = known.value
+        place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        weight = np.where(keys[place] == key, weights[place], 1) if len(keys) else np.ones(len(key), np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
+        sizes = np.diff(np.concatenate([cuts, [len(own)]]))
+        top = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, cuts), sizes))
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(own[top]) != 0]))
+        low = np.repeat(np.minimum.reduceat(key[top], cuts), np.diff(np.concatenate([cuts, [len(top)]])))
+        hit = top[key[top] == low]
+        hit = hit[np.concatenate([[True], np.diff(own[hit]) != 0])]
+        rc, size = scan[hit] & 1, np.diff(starts)[own[hit]]
+        return ids[own[hit]], key[hit], np.where(rc == 1, size - k - (scan[hit] >> 1), scan[hit] >> 1), rc
+
+    return _mapped(df, row_id, seq, [row_id, "key", "off", "rc"], f)
+
+
 def smallest(df: DataFrame, row_id: str, seq: str, k: int = 15, both: bool = True) -> DataFrame:
     """(row_id, key, off, rc): of candidates, the one with the smallest key of each read."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,33 +24,39 @@ def common_prefix(a: str, b: str, most: int) -> int:
 
 
 class _Ranges:
-    """The recurrence over rows that are added one by one. Sequences and scores are kept for a window, the starts
+    """The recurrence over rows that are added one by one. The prefix of a range that ends in a row is the running minimum of its neighbours'
+    prefixes, so of a row only its prefix with the one before is kept, and its score, for a window; the starts
     of ranges for rows whose ranges aren't settled yet."""
 
     def __init__(self, core: int, window: int, compat: bool = False) -> None:
         self.core, self.window, self.compat = core, window, compat
-        self.n = self.low = self.base = 0
-        self.seqs: list[str] = []
-        self.score: list[int] = []
+        self.n = self.base = self.size = 0
+        self.seq = ""
+        # of the last rows: the prefix with the row before, and the score of all rows before
+        self.near = np.zeros(3 * window + 3, np.int64)
+        self.score = np.zeros(3 * window + 3, np.int64)
+        self.steps = np.arange(1, window + 1)
         self.start: list[tuple[int, int]] = []
+        self.last = 0
 
     def add(self, seq: str) -> None:
-        i, low = self.n, self.low
-        best, at = -2 + (0 if self.compat or not i else self.score[-1]), (i, 0)
-        prefix = len(seq)
-        for j in range(i - 1, max(-1, i - self.window - 1), -1):
-            prefix = common_prefix(seq, self.seqs[j - low], prefix)
-            value = (i - j) * -(-(self.core + prefix) // 4) - 2 + (self.score[j - 1 - low] if j else 0)
-            if value > best:
-                best, at = value, (j, prefix)
-        self.seqs.append(seq)
-        self.score.append(best)
+        i, w = self.n, min(self.n, self.window)
+        if self.size == len(self.near):
+            for held in (self.near, self.score):
+                held[: self.window] = held[self.size - self.window : self.size]
+            self.size = self.window
+        top = self.size
+        self.near[top], self.score[top] = common_prefix(seq, self.seq, len(seq)) if i else 0, self.last
+        best, at = -2 + (0 if self.compat else self.last), (i, 0)
+        if w:
+            prefix = np.minimum.accumulate(self.near[top - w + 1 : top + 1][::-1])
+            value = self.steps[:w] * -(-(self.core + prefix) // 4) - 2 + self.score[top - w : top][::-1]
+            k = int(value.argmax())
+            if value[k] > best:
+                best, at = int(value[k]), (i - 1 - k, int(prefix[k]))
+        self.last, self.seq = best, seq
         self.start.append(at)
-        self.n += 1
-        if len(self.seqs) > 2 * self.window + 2:
-            gone = len(self.seqs) - self.window - 1
-            del self.seqs[:gone], self.score[:gone]
-            self.low += gone
+        self.n, self.size = i + 1, top + 1
 
     def settled(self) -> Iterator[tuple[int, int, int]]:
         """The ranges that no further row can change: those before the place where the ways back from all ends
@@ -88,7 +95,8 @@ def best_ranges(rows: list[tuple[str, int]], core: int, window: int = WINDOW, co
 def partition(places: DataFrame, core: int, block: int = 4096, window: int = WINDOW) -> DataFrame:
     """(key, block, first, last, pref_len): places(key, pos, off, body) in ranges, the best ones of the whole
     bucket; block is that of the range's first row. A bucket streams through one task, and every block rows the
-    ranges that are settled are given out: a window and the unsettled ends are held, not the bucket."""
+    ranges that are settled are given out: a window and the unsettled ends are held, not the bucket. Each row's score rests on
+    the one before, so a bucket can't be split; its rows take some microseconds each."""
     names = ["block", "first", "last", "pref_len"]
     schema = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)])
 

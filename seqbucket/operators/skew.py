@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 
 from seqbucket.session import materialize
 
-#: Codes of one accumulator block; keys that a lookup splits at most.
-BLOCK, HOT = 4096, 4096
+#: Codes of one accumulator block; keys that a lookup splits at most; rows that a written table may have to be broadcast.
+BLOCK, HOT, SMALL = 4096, 4096, 1 << 19
 
 
 def salted_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: str, limit: int = 100_000, also: tuple[str, ...] = ()) -> DataFrame:
@@ -34,6 +34,14 @@ def salted_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: s
     return left.join(right, [key, *also, "_salt"]).drop("_salt")
 
 
+def written_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: str, limit: int = 100_000, also: tuple[str, ...] = ()) -> DataFrame:
+    """salted_lookup in a table that is written, whose rows are therefore counted for nothing: up to SMALL of them are broadcast, so that rows aren't
+    shuffled; more are looked up over salts."""
+    if keyed.count() > SMALL:
+        return salted_lookup(rows, keyed, key, n, spread, limit, also)
+    return rows.join(F.broadcast(keyed), [key, *also])
+
+
 def dense_codes(rows: DataFrame) -> DataFrame:
     """rows with a column code: 0, 1, 2 ... without gaps, in order of partitions and of rows in them. Every
     partition counts its own rows; only the counts, one per partition, are added up and broadcast."""

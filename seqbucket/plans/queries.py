@@ -402,7 +402,10 @@ def q_setcover_round1(spark: SparkSession, d: str) -> DataFrame:
     return assign.named(cover.best_key(cover.postings(seqs(spark, d), K)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_POSTS}, left_ AS (SELECT read_id, key, 0 AS round, false AS done FROM posts
+  UNION ALL SELECT read_id, key, round + 1, wins FROM (SELECT *, bool_or(wins) OVER (PARTITION BY read_id) AS taken FROM (SELECT *, bool_and(top) OVER (PARTITION BY key) AS wins FROM (
+    SELECT *, key = first_value(key) OVER (PARTITION BY read_id ORDER BY n DESC, key) AS top FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM left_ WHERE NOT done)))) WHERE wins OR NOT taken)
+SELECT read_id, key, round FROM left_ WHERE done""")
 def q_setcover(spark: SparkSession, d: str) -> DataFrame:
     return assign.named(cover.set_cover(cover.postings(seqs(spark, d), K)))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from seqbucket.functions import dna, library
 from seqbucket.functions.kmer import code_mer, mer_code, mer_key
 from seqbucket.operators import archive, assign, cover, graph
-from seqbucket.operators.kmers import candidates, smallest
+from seqbucket.operators.kmers import candidate_counts, candidates, smallest
 from seqbucket.operators.partition import best_ranges, common_prefix, partition, running_prefix
+from seqbucket.operators.skew import salted_lookup
 from seqbucket.plans import queries
 
 COMP = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -86,12 +87,16 @@ def test_keys(spark, rows):
     assert all(r["k"] == r["b"] for r in back.collect())
 
 
-@pytest.mark.parametrize("k", [4, 9, 15])
+@pytest.mark.parametrize("k", [4, 9, 15, 31])
 def test_candidates(spark, reads, k):
     got: dict = {}
     for r in assign.named(candidates(reads, "read_id", "seq", k), k).collect():
         got.setdefault(r["read_id"], {})[r["key"]] = (r["off"], r["rc"])
     assert got == {i: cand(s, k) for i, s in sample() if len(s) >= k}
+    counts: dict = {}
+    for r in assign.named(candidate_counts(reads, "read_id", "seq", k), k).collect():
+        counts[r["key"]] = counts.get(r["key"], 0) + r["n"]
+    assert counts == {m: sum(m in c for c in got.values()) for m in set().union(*got.values())}
     low = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(smallest(reads, "read_id", "seq", k), k).collect()}
     assert low == {i: (min(c), *c[min(c)]) for i, c in got.items()}
 
@@ -110,11 +115,14 @@ def popularity(data, k):
     return out
 
 
-def test_popularity_whatever_the_order(spark, reads):
-    want = popularity(sample(), 9)
-    for df in (reads, reads.orderBy(F.rand(1)).repartition(3)):
-        got = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(assign.popularity(df, 9), 9).collect()}
-        assert got == want
+@pytest.mark.parametrize("small", [1 << 19, 0])
+def test_popularity_whatever_the_order(spark, reads, monkeypatch, small):
+    monkeypatch.setattr(assign, "SMALL", small)
+    for k in (9, 4):
+        want = popularity(sample(), k)
+        for df in (reads, reads.orderBy(F.rand(1)).repartition(3)):
+            got = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(assign.popularity(df, k), k).collect()}
+            assert got == want
 
 
 def in_order(data, k):
@@ -137,9 +145,14 @@ def in_order(data, k):
     return out
 
 
-def test_sequential_rule(spark, reads):
-    got = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(assign.sequential(reads, 9), 9).collect()}
-    assert got == in_order(sample(), 9)
+@pytest.mark.parametrize("block", [20_000, 4])
+def test_sequential_rule(spark, block):
+    """A third of the reads share a key; in blocks of 4 reads their bucket is worked on by several tasks at once."""
+    rnd = random.Random(6)
+    data = sample() + [(3000 + i, "ACGTTGCAACGTAAGG" + "".join(rnd.choice("ACGT") for _ in range(rnd.randrange(12)))) for i in range(60)]
+    df = spark.createDataFrame(data, "read_id long, seq string").repartition(5)
+    got = {r["read_id"]: (r["key"], r["off"], r["rc"]) for r in assign.named(assign.sequential(df, 9, block), 9).collect()}
+    assert got == in_order(data, 9)
 
 
 def scores(data, at, k):
@@ -280,6 +293,26 @@ def test_shared_dir_on_a_cluster():
         shared_dir(N(sparkContext=N(master="spark://a:7077", getConf=lambda: conf), conf=conf))
 
 
+def test_the_largest_task_of_a_hot_key(spark):
+    """A key holds a third of the rows: after the lookup no task has more than a few times its even part."""
+    n, parts = 60_000, 16
+    df = spark.range(n).select(F.col("id").alias("read_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("key"))
+    keyed = df.groupBy("key").agg(F.count("*").alias("n"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(before, ("false", str(parts), "-1")):
+            spark.conf.set(c, v)
+        found = salted_lookup(df, keyed, "key", "n", "read_id", limit=500)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) < 2 * n / parts
+        places = df.select("read_id", "key", F.lit(0).alias("pos"))
+        numbered = archive.ordinals(places, keyed)
+        assert numbered.count() == n
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_libraries(spark):
     assert library.MAX_ID == max(k | o << 1 | s << 3 for k in (0, 1) for o in range(4) for s in range(5))
     numbers = {"IU": 37, "ISF": 5, "ISR": 13, "U": 38, "OU": 35, "OSF": 3, "OSR": 11, "SF": 22, "MU": 33, "MSF": 17, "MSR": 25, "SR": 30}
