@@ -201,6 +201,7 @@ FROM (SELECT rec_id, length(seq) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n
   FROM recs LEFT JOIN (SELECT rec_id, sum(end_pos - start_pos) AS n FROM found GROUP BY rec_id) USING (rec_id))""",
     "p5_found": _CANON_SQL + "SELECT keep_id, rec_id AS copy_id FROM canon JOIN grouped USING (letters, attributes) WHERE rec_id <> keep_id",
     "p5_records": _CANON_SQL + "SELECT keep_id AS rec_id, n AS n_copies FROM grouped",
+    "p7_round_trip": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
     "p8_found": _WORDS_SQL + "SELECT DISTINCT doc_id, item_id FROM held JOIN phrases USING (p)",
     "p8_spans": _WORDS_SQL
     + """, hits AS (SELECT DISTINCT doc_id, item_id, i FROM held JOIN phrases USING (p)),
