@@ -143,7 +143,7 @@ def compact_windows(codes: np.ndarray, starts: np.ndarray, span: int, gram: int,
 
 #: Kinds of rows that meet: a signature whose stretches are compared each for itself, a window, a shared run, a window of such a signature.
 MARK, WINDOW, SHARED, APART = range(4)
-_ROW = pa.schema([("shard", pa.int64()), ("signature", pa.int64()), ("kind", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("start", pa.int64()), ("times", pa.int64()), ("text", pa.string())])
+_ROW = pa.schema([("shard", pa.int64()), ("signature", pa.int64()), ("kind", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("start", pa.int64()), ("reach", pa.int64()), ("text", pa.string())])
 _FOUND = pa.schema([("kind", pa.int32()), ("rec_id", pa.int64()), ("high", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("text", pa.string())])
 
 
@@ -156,17 +156,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _consecutive(places: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(record, start) -> (record, start, times): starts one after the other, as in a run of one letter, become one row."""
+def _near(places: list[tuple[int, int]], span: int) -> Iterator[tuple[int, int, int]]:
+    """(record, start) of one text -> (record, start, reach): starts no more than span apart, whose stretches cover all characters from the first
+    to the last, as in a run of one letter or of a few that repeat, become one row."""
     places = sorted(places)
     i = 0
     while i < len(places):
         rec, start = places[i]
-        n = 1
-        while i + n < len(places) and places[i + n] == (rec, start + n):
-            n += 1
-        yield rec, start, n
-        i += n
+        last = start
+        i += 1
+        while i < len(places) and places[i][0] == rec and places[i][1] - last <= span:
+            last = places[i][1]
+            i += 1
+        yield rec, start, last - start
 
 
 def _together(signature: int, rows: list[tuple[int, int, str]], span: int, most: int) -> Iterator[tuple]:
@@ -180,11 +182,11 @@ def _together(signature: int, rows: list[tuple[int, int, str]], span: int, most:
         yield (signature, signature, MARK, 0, 0, -1, 0, None)
     for text, places in texts.items():
         low, high = min(places)[0], max(places)[0]
-        for rec, start, n in _consecutive(places):
+        for rec, start, reach in _near(places, span):
             if low < high:
-                yield (rec * 31 + start, signature, SHARED, rec, start + n - 1 + len(text) - span, start, 0, None)
+                yield (rec * 31 + start, signature, SHARED, rec, start + reach + len(text) - span, start, 0, None)
             else:
-                yield (rec * 31 + start if apart else signature, signature, APART if apart else WINDOW, rec, rec, start, n, text)
+                yield (rec * 31 + start if apart else signature, signature, APART if apart else WINDOW, rec, rec, start, reach, text)
         if low < high:
             yield (low * 31 + high if apart else signature, signature, APART if apart else WINDOW, low, high, -1, 0, text)
 
@@ -211,7 +213,7 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int, hashes: in
         alone = new & np.concatenate([new[1:], [True]])
         one = by[alone]
         n = len(one)
-        columns = [signature[one], signature[one], np.full(n, WINDOW, np.int32), rec[one], rec[one], begin[one], np.ones(n, np.int64), [contents[i] for i in one.tolist()]]
+        columns = [signature[one], signature[one], np.full(n, WINDOW, np.int32), rec[one], rec[one], begin[one], np.zeros(n, np.int64), [contents[i] for i in one.tolist()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
         more, cuts = by[~alone], np.flatnonzero(new[~alone])
         out: list[tuple] = []
@@ -225,13 +227,13 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int, gram: int, hashes: in
 
 
 def _verified(rows: list[tuple], span: int) -> Iterator[tuple]:
-    """Windows (low, high, start, times, text) of one signature -> their shared runs. Characters are compared."""
+    """Windows (low, high, start, reach, text) of one signature -> their shared runs. Characters are compared."""
     texts: dict[str, list] = {}
-    for low, high, start, times, text in rows:
+    for low, high, start, reach, text in rows:
         held = texts.setdefault(text, [low, high, []])
         held[0], held[1] = min(held[0], low), max(held[1], high)
         if start >= 0:
-            held[2].append((low, start, times))
+            held[2].append((low, start, reach))
     if min(t[0] for t in texts.values()) == max(t[1] for t in texts.values()):
         return
     stretches: dict[str, tuple[int, int]] = {}
@@ -249,10 +251,10 @@ def _verified(rows: list[tuple], span: int) -> Iterator[tuple]:
             runs = [(0, last)]
         else:
             hit = [i for i in range(last + 1) if (x := stretches.get(text[i : i + span])) and x[0] < x[1]]
-            runs = [(a, a + n - 1) for _, a, n in _consecutive([(0, i) for i in hit])]
-        for rec, start, times in places:
+            runs = [(a, a + n) for _, a, n in _near([(0, i) for i in hit], span)]
+        for rec, start, reach in places:
             for a, b in runs:
-                yield (SHARED, rec, rec, start + a, start + times - 1 + b, None)
+                yield (SHARED, rec, rec, start + a, start + reach + b, None)
 
 
 def _met(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -264,7 +266,7 @@ def _met(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa
         return list(_verified(held, span)) if len(held) > 1 else []
 
     def free(rows: list[tuple]) -> list[tuple]:
-        return [(APART, low, high, start, start + max(times, 1) - 1, text) for low, high, start, times, text in rows]
+        return [(APART, low, high, start, start + reach, text) for low, high, start, reach, text in rows]
 
     for b in batches:
         if not b.num_rows:
@@ -276,14 +278,14 @@ def _met(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa
         alone = new & np.concatenate([new[1:], [False]]) & (kind == WINDOW)
         alone[:1] &= at is None or signature[:1] != at
         keep = b.filter(pa.array(~alone))
-        for _, sig, k, lo, hi, start, times, text in zip(*(c.to_pylist() for c in keep.columns)):
+        for _, sig, k, lo, hi, start, reach, text in zip(*(c.to_pylist() for c in keep.columns)):
             if sig != at:
                 out += close()
                 at, held, apart = sig, [], False
             if k == MARK:
                 apart = True
             elif k == WINDOW:
-                row = (lo, hi, start, times, text)
+                row = (lo, hi, start, reach, text)
                 if apart:
                     out += free([row])
                 else:
@@ -294,7 +296,7 @@ def _met(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa
             elif k == SHARED:
                 out.append((SHARED, lo, lo, start, hi, None))
             else:
-                out += free([(lo, hi, start, times, text)])
+                out += free([(lo, hi, start, reach, text)])
         if out:
             yield _batch(out, _FOUND)
     if out := close():
