@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from seqbucket.session import materialize, tasks
 
 #: Keys of a shard as planned, and bits of a hash beyond those that tell its keys apart; shards of a task. At 30 bits, 2 ** 30 new
-#: keys give one wrong answer, and a key takes 32 bits instead of the 64 of a hash; 16 bits take 18.
+#: keys give one wrong answer, and a key takes 35 bits instead of the 64 of a hash; at 16 bits it takes 21.
 CAPACITY, BITS, BLOCK, SHARDS = 1 << 15, 30, 128, 64
 
 
@@ -145,7 +145,7 @@ def _shards(rows: int, capacity: int) -> int:
 
 
 _IN = pa.schema([("shard", pa.int64()), ("order_id", pa.int64()), ("hash", pa.int64()), ("again", pa.bool_()), ("golomb", pa.binary())])
-_OUT = pa.schema([("order_id", pa.int64()), ("seen", pa.bool_()), ("shard", pa.int64()), ("golomb", pa.binary())])
+_OUT = pa.schema([("order_id", pa.int64()), ("seen", pa.bool_()), ("shard", pa.int64()), ("n", pa.int64()), ("golomb", pa.binary())])
 
 
 def _spark(schema: pa.Schema) -> T.StructType:
@@ -177,13 +177,13 @@ def _answers(batches: Iterator[pa.RecordBatch], give_sets: bool) -> Iterator[pa.
     sets after all records. A shard's keys are held in Golomb sets only, one shard at a time."""
     at, held, last = None, GrowingSet(), None
 
-    def rows(order: np.ndarray, seen: np.ndarray, shard: np.ndarray, sets: list[bytes | None]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(seen, pa.bool_()), pa.array(shard, pa.int64()), pa.array(sets, pa.binary())], schema=_OUT)
+    def rows(order: np.ndarray, seen: np.ndarray, shard: np.ndarray, sizes: list[int], sets: list[bytes | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((order, seen, shard, sizes, sets), _OUT)], schema=_OUT)
 
     def close() -> Iterator[pa.RecordBatch]:
         if give_sets and held.sets:
             n = len(held.sets)
-            yield rows(np.full(n, -1), np.zeros(n, bool), np.full(n, at), [x.packed() for x in held.sets])
+            yield rows(np.full(n, -1), np.zeros(n, bool), np.full(n, at), [x.n for x in held.sets], [x.packed() for x in held.sets])
 
     for b in batches:
         shards, order, hashed = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -209,7 +209,7 @@ def _answers(batches: Iterator[pa.RecordBatch], give_sets: bool) -> Iterator[pa.
             if not give_sets:
                 rest = np.arange(lo, hi)[again[lo:hi]]
                 both = np.concatenate([asked, rest])
-                yield rows(order[both], np.concatenate([seen, np.ones(len(rest), bool)]), shards[both], [None] * len(both))
+                yield rows(order[both], np.concatenate([seen, np.ones(len(rest), bool)]), shards[both], np.zeros(len(both), np.int64), [None] * len(both))
     yield from close()
 
 
@@ -225,16 +225,16 @@ def _sharded(records: DataFrame, sets: DataFrame | None, shards: int, width: int
 
 
 def build(keys: DataFrame, rows: int, capacity: int = CAPACITY, bits: int = BITS) -> DataFrame:
-    """keys(key), BIGINT -> the Golomb sets of all of them, (shard, golomb) with a row per set, written to the shared folder. They are all that
+    """keys(key), BIGINT -> the Golomb sets of all of them, (shard, n, golomb) with a row per set and its number of values, written to the shared folder. They are all that
     later probes need. rows is about the number of keys that the sets are to hold in the end; it sets the
     number of shards, not what they can hold. Null keys are left out; other columns aren't read."""
     old = keys.select(F.lit(-1).cast("bigint").alias("order_id"), "key")
-    return materialize(_sharded(old, None, _shards(rows, capacity), _width(capacity, bits), True).select("shard", "golomb"), "golomb")
+    return materialize(_sharded(old, None, _shards(rows, capacity), _width(capacity, bits), True).select("shard", "n", "golomb"), "golomb")
 
 
 def extended(sets: DataFrame, records: DataFrame, rows: int, capacity: int = CAPACITY, bits: int = BITS) -> DataFrame:
     """The sets that also hold the keys of records: what the next records are asked against. rows, capacity and bits as in build."""
-    return materialize(_sharded(records, sets, _shards(rows, capacity), _width(capacity, bits), True).select("shard", "golomb"), "golomb")
+    return materialize(_sharded(records, sets, _shards(rows, capacity), _width(capacity, bits), True).select("shard", "n", "golomb"), "golomb")
 
 
 def seen_before(records: DataFrame, sets: DataFrame, rows: int, capacity: int = CAPACITY, bits: int = BITS) -> DataFrame:
@@ -245,12 +245,6 @@ def seen_before(records: DataFrame, sets: DataFrame, rows: int, capacity: int =
     return found.where("seen").select("order_id").distinct()
 
 
-def set_sizes(sets: DataFrame) -> DataFrame:
-    """(shard, n, n_bytes): values and bytes of each set; only its head is read."""
-    head = F.reverse(F.substring("golomb", 1, 8))
-    return sets.select("shard", F.conv(F.hex(head), 16, 10).cast("bigint").alias("n"), F.length("golomb").cast("bigint").alias("n_bytes"))
-
-
 def error_rates(records: DataFrame, known: DataFrame, rows: int, capacity: int = CAPACITY, bits: int = BITS) -> DataFrame:
     """One row: bits, keys held, bits a key, first occurrences asked for, how many of them were answered `seen`,
     and the rate of wrong answers: in theory (keys of the fullest shard over its range) and as audited.
@@ -259,7 +253,7 @@ def error_rates(records: DataFrame, known: DataFrame, rows: int, capacity: int =
     looked up among the answers. Only it reads the keys of earlier times again."""
     sets = build(known, rows, capacity, bits)
     answers = seen_before(records, sets, rows, capacity, bits)
-    sizes = set_sizes(extended(sets, records, rows, capacity, bits)).groupBy("shard").agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    sizes = extended(sets, records, rows, capacity, bits).groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.length("golomb")).alias("n_bytes"))
     asked = records.where("order_id is not null and key is not null").select("order_id", F.col("key").cast("bigint"))
     both = asked.unionByName(known.where("key is not null").select(F.lit(-1).cast("bigint").alias("order_id"), F.col("key").cast("bigint")))
     firsts = both.groupBy("key").agg(F.min("order_id").alias("order_id")).where("order_id >= 0")

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from seqbucket.llm.seen import GolombSet, GrowingSet, build, error_rates, extended, seen_before, set_sizes
+from seqbucket.llm.seen import GolombSet, GrowingSet, build, error_rates, extended, seen_before
 
 
 @given(st.sets(st.integers(0, (1 << 40) - 1), min_size=1, max_size=700))
@@ -84,9 +84,9 @@ def test_sets_are_carried_on(spark, rows):
     after = extended(sets, first, **size)
     got = rows(seen_before(first, sets, **size).unionByName(seen_before(second, after, **size)))
     assert got == brute(records, set(known))
-    sizes = set_sizes(after).collect()
+    sizes = after.collect()
     assert sum(r["n"] for r in sizes) == len({k for i, k in records if i < 2500} | set(known))
-    assert all(r["n_bytes"] < 40 + 9 * r["n"] for r in sizes)
+    assert all(len(r["golomb"]) < 40 + 9 * r["n"] for r in sizes)
 
 
 def test_no_key_and_no_window_in_a_probe(spark):
