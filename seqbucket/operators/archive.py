@@ -5,14 +5,21 @@ pos in the bucket. Buckets are ranges of the key; a bucket is sorted by (off, bo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from seqbucket.functions import dna
 from seqbucket.functions.kmer import code_mer
 from seqbucket.operators.assign import K, stored
-from seqbucket.operators.skew import dense_codes, salted_lookup
+from seqbucket.operators.skew import salted_lookup
+from seqbucket.session import materialize
 
 CHUNK = 256
 
@@ -24,16 +31,36 @@ def rotated(reads: DataFrame, assigned: DataFrame, k: int = K) -> DataFrame:
     return rows.select("read_id", code_mer(F.col("key"), k).alias("key"), "off", "rc", body.alias("body"), dna.n_positions(F.col("seq")).alias("nlocs"))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, with pos: the place in the key's rows of this partition, from 0."""
+    now, n = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, i = b.column("key"), np.arange(b.num_rows)
+        new = np.concatenate([[keys[0].as_py() != now], pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)])
+        start = np.maximum.accumulate(np.where(new, i, -1))
+        pos = np.where(start >= 0, i - start, i + n)
+        now, n = keys[-1].as_py(), int(pos[-1]) + 1
+        yield b.append_column("pos", pa.array(pos, pa.int64()))
+
+
 def placed(rows: DataFrame) -> DataFrame:
     """Adds pos, the place in the bucket from 0, and sub_id, its chunk of 256. Rows are sorted by ranges of
-    (key, off, body, read_id), so that even one read repeated without end is split; they get numbers in that
-    order, and the number of a bucket's first row is taken off."""
+    (key, off, body, read_id), so that even one read repeated without end is split, and counted in their partition. Only
+    the first bucket of a partition may have begun before: what is added to its places comes from a table of one row a partition. rows are written first, as the
+    ranges are made from a sample, and each row is shuffled once."""
     order = ["key", "off", "body", "read_id"]
-    numbered = dense_codes(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    first = numbered.groupBy("key").agg(F.min("code").alias("_first"), F.count("*").alias("_n"))
-    pos = F.col("code") - F.col("_first")
-    found = salted_lookup(numbered, first, "key", "_n", "read_id")
-    return found.withColumn("pos", pos).withColumn("sub_id", F.floor(F.col("pos") / CHUNK)).drop("code", "_first", "_n")
+    ranges = materialize(rows, "rotated").repartitionByRange(*order).sortWithinPartitions(*order)
+    counted = ranges.mapInArrow(_running, T.StructType([*rows.schema.fields, T.StructField("pos", T.LongType())]))
+    counted = materialize(counted.withColumn("_part", F.spark_partition_id()), "places")
+    ends = counted.groupBy("_part").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max_by("pos", F.struct("key", "pos")).alias("n"))
+    gives = ends.select("_part", F.col("last").alias("key"), (F.col("n") + 1).alias("n"), F.lit(1).alias("kind"))
+    asks = ends.select("_part", F.col("first").alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("kind"))
+    before = W.partitionBy("key").orderBy("_part", "kind").rowsBetween(W.unboundedPreceding, -1)
+    more = gives.unionByName(asks).withColumn("_more", F.sum("n").over(before)).where("kind = 0 and _more > 0").select("_part", "key", "_more")
+    found = counted.join(F.broadcast(more), ["_part", "key"], "left")
+    return found.withColumn("pos", F.col("pos") + F.coalesce("_more", F.lit(0))).withColumn("sub_id", F.floor(F.col("pos") / CHUNK)).select(*rows.columns, "pos", "sub_id")
 
 
 def deltas(places: DataFrame) -> DataFrame:
@@ -77,9 +104,9 @@ def sequence() -> Column:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """Parquet in ranges of the key, sorted so that equal keys, offsets and prefixes lie together."""
+    """Parquet in ranges of the key, sorted so that equal keys, offsets and prefixes lie together. rows are written first: the ranges are made from a sample of them."""
     (
-        rows.repartitionByRange("key", "off", "body").sortWithinPartitions("key", "off", "body", "read_id")
+        materialize(rows, "rotated").repartitionByRange("key", "off", "body").sortWithinPartitions("key", "off", "body", "read_id")
         .write.option("compression", "zstd").mode("overwrite").parquet(path)
     )
 

@@ -88,7 +88,7 @@ def overlap_scores(reads: DataFrame, assigned: DataFrame, movers: DataFrame | No
     turned = who.select("read_id", dna.n_to_a(dna.normalize(F.col("seq"))).alias("f"), dna.n_to_a(dna.revcomp(F.col("seq"))).alias("r"))
     model = bucket_model(reads, assigned, cands.select("key").distinct()).join(sizes.select("key", "pop"), "key")
     # what the read itself gave to its own bucket's model doesn't count
-    hits = salted_lookup(gram_hits(cands.join(turned, "read_id"), GRAM), model, "key", "pop", "read_id", also=("gram",)).where("n > 1 or key <> own or given = 0")
+    hits = salted_lookup(gram_hits(cands.join(turned, "read_id"), GRAM), model, "key", "pop", "read_id", also=("gram",), counted=sizes).where("n > 1 or key <> own or given = 0")
     return hits.groupBy("read_id", "key", "off", "rc").agg(F.sum("times").alias("score"))
 
 

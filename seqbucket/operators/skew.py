@@ -17,15 +17,16 @@ from seqbucket.session import materialize
 BLOCK, HOT, SMALL = 4096, 4096, 1 << 19
 
 
-def salted_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: str, limit: int = 100_000, also: tuple[str, ...] = ()) -> DataFrame:
+def salted_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, spread: str, limit: int = 100_000, also: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
     """rows joined to keyed on key, where column n of keyed is the number of rows with that key. keyed has one row
-    per key, or one per key and `also`, further columns of the join, with the same n in all rows of a key.
+    per key, or one per key and `also`, further columns of the join, with the same n in all rows of a key. counted has key and n once per key, where that
+    is at hand and spares working keyed out twice.
 
     Of the keys with more than limit rows the HOT largest are split over ceil(n / limit) salts chosen by the hash of column
     spread, and their rows of keyed stand once per salt. Only these keys, HOT at most however large the
     tables are, are broadcast; any other key has at most max(limit, rows / HOT) rows. Rows without a partner are dropped."""
-    large = keyed.where(F.col(n) > limit).select(key, n)
-    large = large.groupBy(key).agg(F.max(n).alias(n)) if also else large
+    large = (keyed if counted is None else counted).where(F.col(n) > limit).select(key, n)
+    large = large.groupBy(key).agg(F.max(n).alias(n)) if also and counted is None else large
     hot = large.orderBy(F.desc(n), key).limit(HOT).select(F.col(key).alias("_hot"), F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("_salts"))
     split = lambda df: df.join(F.broadcast(hot), df[key].eqNullSafe(F.col("_hot")), "left")
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts"))).cast("int")

@@ -39,10 +39,13 @@ class ReadLibrary:
                 ext = os.path.splitext(base)[1]
             if ext not in EXTENSIONS:
                 out.append(f"{path}: the name ends with none of {', '.join(EXTENSIONS)}")
-            if "://" not in path and not os.path.exists(path):
+            if "://" not in path and not os.path.isfile(path):
                 out.append(f"{path}: no such file")
         return out
 
+    def __str__(self) -> str:
+        return f"{self.format_name}: " + (", ".join(f"({a}, {b})" for a, b in zip(self.first, self.second)) or ", ".join(self.unmated))
+
     def load(self, spark: SparkSession) -> DataFrame:
         if wrong := self.faults():
             raise ValueError("; ".join(wrong))

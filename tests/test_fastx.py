@@ -158,8 +158,9 @@ def test_libraries(spark, rows, tmp_path):
     libs = from_options([("r", ["x.fa"]), ("l", ["ou"]), ("1", ["old"]), ("1", [a]), ("2", [b]), ("l", ["sf"])])
     assert libs == [ReadLibrary(None, unmated=["x.fa"]), ReadLibrary("ou", [a], [b])]
     assert libs[0].format_name == "U" and len(libs[0].faults()) == 1
+    assert str(libs[0]) == "U: x.fa" and str(libs[1]) == f"OU: ({a}, {b})"
     assert rows(libs[1].load(spark).select("lib_name", "mate", "seq")) == [("OU", 1, "ACGT"), ("OU", 2, "ACGT")]
-    assert len(ReadLibrary("IU", [a], []).faults()) == 1 and len(ReadLibrary("U", [], [], [str(tmp_path)]).faults()) == 1
+    assert len(ReadLibrary("IU", [a], []).faults()) == 1 and len(ReadLibrary("U", [], [], [str(tmp_path)]).faults()) == 2
     with pytest.raises(ValueError, match="no such file"):
         libs[0].load(spark)
     assert rows(listing(spark, str(tmp_path), r"\.fa$").select("name", "length")) == [("b.fa", 8)]

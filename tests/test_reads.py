@@ -209,6 +209,24 @@ def test_more_than_a_chunk_of_equal_reads(spark):
     assert sorted(r["ordinal"] for r in archive.ordinals(placed, sizes).collect()) == list(range(600))
 
 
+def test_places_over_partitions(spark, rows):
+    """A bucket that fills several partitions, others that end or begin in one, and partitions without a row."""
+    rnd = random.Random(2)
+    data = [(i, rnd.choice(["AAAA"] * 5 + ["CCCC", "GGGG", "ACGT"]), rnd.randrange(3), "ACGT"[rnd.randrange(4)]) for i in range(500)]
+    df = spark.createDataFrame(data, "read_id long, key string, off long, body string")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = rows(archive.placed(df).select("read_id", "pos", "sub_id"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, at = [], {}
+    for i, key, _, _ in sorted(data, key=lambda r: (r[1], r[2], r[3], r[0])):
+        at[key] = at.get(key, -1) + 1
+        want.append((i, at[key], at[key] // 256))
+    assert got == sorted(want, key=repr)
+    assert archive.placed(df.where("read_id < 0")).collect() == []
+
+
 def test_onsies(spark, rows, reads):
     a = assign.popularity(reads, 9)
     sizes: dict = {}

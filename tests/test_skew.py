@@ -53,8 +53,9 @@ def test_lookup_of_several_rows_a_key(spark, rows, monkeypatch):
     left = spark.range(1000).select("id", F.when(F.col("id") < 600, "hot").when(F.col("id") < 900, "warm").otherwise("cold").alias("k"), (F.col("id") % 3).alias("g"))
     n = left.groupBy("k").agg(F.count("*").alias("n"))
     right = left.select("k", "g").distinct().where("g < 2").join(n, "k").withColumn("v", F.concat("k", F.col("g")))
-    got = salted_lookup(left, right, "k", "n", "id", limit=100, also=("g",))
-    assert rows(got.select("id", "v")) == rows(left.where("g < 2").select("id", F.concat("k", F.col("g"))))
+    for counted in (None, n):
+        got = salted_lookup(left, right, "k", "n", "id", limit=100, also=("g",), counted=counted)
+        assert rows(got.select("id", "v")) == rows(left.where("g < 2").select("id", F.concat("k", F.col("g"))))
 
 
 def test_dense_codes(spark):
