@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seqbucket import cli
 from seqbucket.functions import dna, library
 from seqbucket.functions.kmer import code_mer, mer_key
 from seqbucket.operators import archive, assign, cover, graph, partition
@@ -567,6 +568,32 @@ def q_scan_fastq_lines(spark: SparkSession, d: str) -> DataFrame:
     return fastx.read_fastq(spark, fastx.write_fastq(t, scratch(spark, "fastq"))).select("header", "seq", "qual")
 
 
+@query(f"WITH {PAIRS} SELECT s1, s2, count(*) AS n FROM p GROUP BY s1, s2")
+def q_scan_mates(spark: SparkSession, d: str) -> DataFrame:
+    """Mates written as two sets of FASTA files, read back in lock-step, and counted."""
+    p = materialize(pairs(spark, d).select(F.col("id1").cast("string").alias("header"), "s1", "s2"), "mates")
+    first, second = (fastx.write_fasta(p.select("header", F.col(c).alias("seq")), scratch(spark, c)) for c in ("s1", "s2"))
+    spark.dataSource.register(fastx.FastxSource)
+    rows = spark.read.format("fastx").option("path2", second).option("strict", "true").load(first)
+    a = rows.where("mate = 1").select("pair", "ordinal", "header", F.col("seq").alias("s1"))
+    b = rows.where("mate = 2").select("pair", "ordinal", "header", F.col("seq").alias("s2"))
+    return a.join(b, ["pair", "ordinal", "header"]).groupBy("s1", "s2").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FORMS} SELECT CAST(read_id AS VARCHAR) AS header, replace(least(seq, v), 'N', 'A') AS seq FROM s JOIN n USING (read_id)")
+def q_canonical_file(spark: SparkSession, d: str) -> DataFrame:
+    """Canonicalized reads in order, written as FASTA and read back."""
+    rows = seqs(spark, d).select(F.col("read_id").cast("string").alias("header"), "seq", F.lit(None).cast("string").alias("qual"))
+    return fastx.read_fasta(spark, fastx.write_fasta(cli.canonicalize(rows), scratch(spark, "canonical"))).select("header", "seq")
+
+
+@query(f"WITH {READS} SELECT coalesce(header, '') AS header, seq, qual FROM s WHERE length(qual) = length(seq) AND NOT regexp_matches(qual, '[^!-~]')")
+def q_fastq_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """FASTQ that is read, checked, written again and read."""
+    again = fastx.write_fastq(q_scan_fastq_lines(spark, d), scratch(spark, "rewritten"))
+    return fastx.read_fastq(spark, again, four_lines=True).select("header", "seq", "qual")
+
+
 _SIZES = "SELECT coalesce(lang, '-') AS dataset, coalesce(source, '-') AS method, sum(n_chars) AS size FROM documents GROUP BY 1, 2"
 
 

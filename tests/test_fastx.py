@@ -146,6 +146,9 @@ def test_libraries_of_the_command_line(spark, rows, tmp_path, capsys):
     assert cli.main(["merge", "-l", "MU", "-1", a, "-2", b, "-l", "U", "-r", a, "-l", "IU", "-1", a, "-2", b, "-o", out + "m"]) == 0
     assert fastx.read_fasta(spark, out + "m").count() == 2
     assert cli.main(["merge", "-r", a, "-o", out + "n"]) == 2
+    for k in ("0", "32"):
+        with pytest.raises(SystemExit):
+            cli.main(["encode", "-i", a, "-b", k, "-o", out + "k"])
 
 
 def test_libraries(spark, rows, tmp_path):

@@ -398,5 +398,6 @@ def test_partition_over_block_borders(spark):
     df = spark.createDataFrame([(k, i, 0, b) for k, bs in bodies.items() for i, b in enumerate(bs)], "key string, pos long, off long, body string")
     for block in (5, 16):
         got = sorted(tuple(r) for r in partition(df, 4, block=block, window=6).collect())
+        assert all(bodies[k][i][:p] == bodies[k][a][:p] for k, _, a, b, p in got for i in range(a, b + 1))
         assert got == [(k, a // block, a, b, p) for k, bs in bodies.items() for a, b, p in best_ranges([(x, 0) for x in bs], 4, 6)]
     assert any(a // 16 != b // 16 for _, _, a, b, _ in got)
