@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from seqbucket.session import materialize
 #: texts, and texts without it that every source is taken to have besides (three standard errors, so that a few texts prove nothing).
 NEAR, TIMES, CHANCE, USUAL, SURE = 12, 5.0, 0.001, 0.8, 9
 #: A last word is a fragment of a longer one that begins with it if that stands in so many last lines, and in
-#: so many times more; longer words, and longer lines of a layout, are left out of these questions.
+#: so many times more. A line of a layout has so many characters at most.
 OFTEN, MORE, LONGEST = 5, 10, 40
 
 WHOLE, OPEN, BROKEN, DOTS = 0, 1, 2, 3
@@ -189,8 +190,8 @@ def _last_words(text: str, state: int) -> tuple[str | None, list[str]]:
         return None, []
     line = _LINE.split(text.rstrip())[-1]
     found = _WORD.findall(line)
-    bare = state == OPEN and found and text.endswith(found[-1]) and len(found[-1]) < LONGEST
-    return (found[-1] if bare else None), sorted({w for w in found if len(w) <= LONGEST})
+    bare = state == OPEN and found and text.endswith(found[-1])
+    return (found[-1] if bare else None), sorted(set(found))
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +241,33 @@ def limits(shape: DataFrame) -> DataFrame:
     return spikes.withColumn("_most", F.max("n").over(best)).where("n = _most").select("source", "unit", "length", "n")
 
 
+def _prefix_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) -> (word, h, n): a 64-bit hash of each beginning of each word, eight bytes a letter however long it is; word stands only beside its
+    own hash."""
+    for b in batches:
+        words, n = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+        if not words:
+            continue
+        size = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner, ends = np.repeat(np.arange(len(words)), size), np.cumsum(size)
+        place = np.arange(len(codes)) - (ends - size)[owner]
+        powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+        sums = np.cumsum(codes * powers[place], dtype=np.uint64)
+        h = sums - np.concatenate([np.zeros(1, np.uint64), sums])[ends - size][owner] + place.astype(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        whole = pa.nulls(len(codes), pa.string()) if not len(codes) else pa.array(np.where(place == size[owner] - 1, np.array(words, object)[owner], None), pa.string())
+        yield pa.RecordBatch.from_arrays([whole, pa.array(h.view(np.int64)), pa.array(n[owner], pa.int64())], names=["word", "h", "n"])
+
+
 def fragments(shape: DataFrame) -> DataFrame:
     """(word): words of last lines that begin a much more frequent one. A word is looked up among the
-    prefixes of all others, so nothing is paired."""
+    beginnings of all others, by their hashes, so nothing is paired and a word of any length costs a row a letter."""
     words = shape.select(F.explode("line_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    shorter = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))
-    longer = words.where(F.length("word") > 1).select(F.explode(shorter).alias("word"), "n").groupBy("word").agg(F.max("n").alias("most"))
-    return words.join(longer, "word").where((F.col("most") >= OFTEN) & (F.col("most") >= MORE * F.col("n"))).select("word")
+    starts = words.mapInArrow(_prefix_hashes, "word string, h long, n long")
+    # one row a hash: the word that it is, how often that stands, and how often the most frequent longer one does
+    found = starts.groupBy("h").agg(F.max("word").alias("word"), F.max(F.when(F.col("word").isNotNull(), F.col("n"))).alias("n"), F.max(F.when(F.col("word").isNull(), F.col("n"))).alias("most"))
+    return found.where("word is not null and most is not null").where((F.col("most") >= OFTEN) & (F.col("most") >= MORE * F.col("n"))).select("word")
 
 
 def layouts(shape: DataFrame) -> DataFrame:
