@@ -9,19 +9,20 @@ from seqbucket.session import materialize, release
 
 
 def edges(nodes: DataFrame, k: int) -> DataFrame:
-    """nodes(kmer), different BIGINT codes -> (src, dst): dst is src without its first base and with one more. Four probes a node."""
-    low = (1 << (2 * (k - 1))) - 1
-    tails = F.array(*[F.shiftleft(F.col("kmer").bitwiseAND(F.lit(low)), 2) + F.lit(b) for b in range(4)])
-    probes = nodes.select(F.col("kmer").alias("src"), F.explode(tails).alias("dst"))
-    return probes.join(nodes.select(F.col("kmer").alias("dst")), "dst", "left_semi").select("src", "dst")
+    """nodes(kmer), different BIGINT codes -> (src, dst): dst is src without its first base and with one more. Nodes meet where the last k - 1
+    bases of one are the first of the other, at most four on either side; each is shuffled once a side."""
+    tail = F.col("kmer").bitwiseAND(F.lit((1 << (2 * (k - 1))) - 1))
+    ends = nodes.select(F.col("kmer").alias("src"), tail.alias("_core"))
+    begins = nodes.select(F.col("kmer").alias("dst"), F.shiftright("kmer", 2).alias("_core"))
+    return ends.join(begins, "_core").select("src", "dst")
 
 
 def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(kmer, n_in, n_out) of every node; a node has at most four of either."""
-    ins = links.groupBy(F.col("dst").alias("kmer")).agg(F.count("*").alias("n_in"))
-    outs = links.groupBy(F.col("src").alias("kmer")).agg(F.count("*").alias("n_out"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return nodes.select("kmer").join(ins, "kmer", "left").join(outs, "kmer", "left").select("kmer", zero("n_in"), zero("n_out"))
+    """(kmer, n_in, n_out) of every node, added up in one shuffle. Links from or to what is no node are left out."""
+    flag = lambda c, node, into, out: F.struct(F.col(c).alias("kmer"), F.lit(node).alias("node"), F.lit(into).alias("n_in"), F.lit(out).alias("n_out"))
+    ends = links.select(F.explode(F.array(flag("dst", 0, 1, 0), flag("src", 0, 0, 1))).alias("e")).select("e.*")
+    rows = ends.unionByName(nodes.select(flag("kmer", 1, 0, 0).alias("e")).select("e.*")).groupBy("kmer")
+    return rows.agg(F.sum("node").alias("_n"), F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out")).where("_n > 0").select("kmer", "n_in", "n_out")
 
 
 def path_starts(degree: DataFrame) -> DataFrame:
