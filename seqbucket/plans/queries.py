@@ -639,6 +639,15 @@ def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return arrivals.run_to_end(counts, scratch(spark, "stream"), scratch(spark, "stream-checkpoint"), ["window_start", "run_no"])
 
 
+@query(f"""WITH w AS (SELECT loaded_at, upper(regexp_replace(seq, '\\s', '', 'g')) AS seq FROM reads WHERE loaded_at IS NOT NULL AND seq IS NOT NULL),
+m AS (SELECT loaded_at, seq, unnest(range(1, greatest(length(seq) - {K - 2}, 1))) AS i FROM w)
+SELECT date_trunc('day', loaded_at) AS window_start, substr(seq, i, {K}) AS gram, count(*) AS n FROM m WHERE regexp_full_match(substr(seq, i, {K}), '[ACGT]{{{K}}}') GROUP BY ALL""")
+def q_stream_mers(spark: SparkSession, d: str) -> DataFrame:
+    """The mers of all deliveries of reads per day, counted by a stream."""
+    counts = arrivals.mer_counts(arrivals.arriving(spark, f"{d}/reads.parquet"), K)
+    return arrivals.run_to_end(counts, scratch(spark, "stream"), scratch(spark, "stream-checkpoint"), ["window_start", "gram"])
+
+
 @query(f"WITH {READS} SELECT read_id, row_number() OVER (ORDER BY md5(CAST(read_id AS VARCHAR) || ':7'), read_id) AS rank FROM s")
 def q_shuffled(spark: SparkSession, d: str) -> DataFrame:
     """Reads in an order by chance that a seed fixes."""

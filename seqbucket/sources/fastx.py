@@ -13,6 +13,7 @@ import io
 import lzma
 import os
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql.types import StructType
 from seqbucket.session import scratch
 
 SCHEMA = "file string, pair int, ordinal bigint, mate int, header string, seq string, qual string"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 #: Bytes of a range of a file of four-line records.
@@ -245,13 +247,19 @@ class FastxReader(DataSourceReader):
             return [_Files(i, (p,), a, b) for i, p, a, b in cuts]
         return [_Files(i, p) for i, p in enumerate(zip(self.first, self.second) if self.second else ((p,) for p in self.first))]
 
-    def read(self, part: InputPartition) -> Iterator[tuple | pa.RecordBatch]:
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         if part.end is not None:
             with _raw(part.paths[0]) as f:
                 for b in four_line_records(f, part.start, part.end, part.paths[0]):
                     own = [pa.array([part.paths[0]] * b.num_rows, pa.string()), pa.array([part.number] * b.num_rows, pa.int32())]
                     yield pa.RecordBatch.from_arrays([*own, *b.columns], names=["file", "pair", *b.schema.names])
             return
+        rows, fields = self.rows(part), pa.schema([(n, pa.int32() if n in ("pair", "mate") else pa.int64() if n == "ordinal" else pa.string()) for n in NAMES])
+        while held := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), fields)], schema=fields)
+
+    def rows(self, part: _Files) -> Iterator[tuple]:
+        """Records of one file, or of two in lock-step."""
         if len(part.paths) == 1:
             with _open(part.paths[0]) as f:
                 for n, (header, seq, qual) in enumerate(parse(f, part.paths[0])):
