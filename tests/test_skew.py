@@ -58,6 +58,19 @@ def test_lookup_of_several_rows_a_key(spark, rows, monkeypatch):
         assert rows(got.select("id", "v")) == rows(left.where("g < 2").select("id", F.concat("k", F.col("g"))))
 
 
+def test_a_written_table_is_broadcast_only_if_it_is_small(spark, rows, monkeypatch):
+    from seqbucket.operators import skew
+
+    left = spark.range(500).select("id", F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
+    right = skew.materialize(left.groupBy("k").agg(F.count("*").alias("n")).where("k <> 'k3'"), "keyed")
+    want = rows(left.join(right, "k").select("id", "k", "n"))
+    for small in (skew.SMALL, 3):
+        monkeypatch.setattr(skew, "SMALL", small)
+        got = skew.written_lookup(left, right, "k", "n", "id", limit=50)
+        assert rows(got.select("id", "k", "n")) == want
+        assert ("ResolvedHint" in got._jdf.queryExecution().analyzed().toString() and "_salt" not in got._jdf.queryExecution().analyzed().toString()) == (small > 3)
+
+
 def test_dense_codes(spark):
     got = sorted(r["code"] for r in dense_codes(spark.range(1000).repartition(7)).collect())
     assert got == list(range(1000))
