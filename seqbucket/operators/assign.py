@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from seqbucket.functions import dna
 from seqbucket.functions.kmer import code_mer
-from seqbucket.operators.kmers import best_known, candidate_counts, candidates, gram_hits, held_grams, slices, smallest
+from seqbucket.operators import blocks
+from seqbucket.operators.kmers import best_known, candidate_counts, candidates, held_grams, slices, smallest
 from seqbucket.operators.skew import SMALL, dense_codes, salted_lookup, written_lookup
 from seqbucket.session import materialize, release
 
@@ -65,45 +66,32 @@ def without_onsies(assigned: DataFrame) -> DataFrame:
     return assigned.join(lone.select("read_id"), "read_id", "left_anti")
 
 
-def bucket_model(reads: DataFrame, assigned: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """(key, gram, n): the 8-mers of each bucket's stored reads, and how many of its reads hold them. keys(key): only of
-    these buckets. A read's 8-mers carry their bucket and are made different in its task, so there is one shuffle."""
-    held = stored(reads, assigned if keys is None else assigned.join(keys, "key", "left_semi"))
+def bucket_model(reads: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(key, gram, n): the 8-mers of each bucket's stored reads, and how many of its reads hold them. A read's 8-mers carry
+    their bucket and are made different in its task, so there is one shuffle."""
+    held = stored(reads, assigned)
     return held_grams(held.select("key", "f"), "key", "f", GRAM).groupBy("key", "gram").agg(F.count("*").alias("n"))
 
 
-def overlap_scores(reads: DataFrame, assigned: DataFrame, movers: DataFrame | None = None, k: int = K, shared: DataFrame | None = None) -> DataFrame:
+def overlap_scores(reads: DataFrame, assigned: DataFrame | None = None, k: int = K, alone: bool = False) -> DataFrame:
     """(read_id, key, off, rc, score): for each candidate bucket that another read is in, the places of the
-    read, in the candidate's direction, whose 8-mer another read of the bucket holds.
-
-    How many reads hold a bucket's key is known from shared_mers, so both lookups, of candidates among buckets and of
-    their 8-mers among the buckets' models, split hot keys. Only buckets that a candidate names get a model."""
-    who = reads if movers is None else reads.join(movers.select("read_id"), "read_id", "left_semi")
-    shared = shared_mers(reads, k) if shared is None else shared
-    sizes = bucket_sizes(assigned).join(shared, "key", "left").withColumn("pop", F.coalesce("pop", F.lit(1).cast("bigint")))
-    sizes = materialize(sizes, "sizes")
-    mine = assigned.select("read_id", F.col("key").alias("own"), F.col("rc").alias("own_rc"))
-    cands = written_lookup(candidates(who, "read_id", "seq", k), sizes, "key", "pop", "read_id")
-    cands = materialize(cands.join(mine, "read_id").where("key <> own or n > 1").drop("n", "pop"), "candidates")
-    turned = who.select("read_id", dna.n_to_a(dna.normalize(F.col("seq"))).alias("f"), dna.n_to_a(dna.revcomp(F.col("seq"))).alias("r"))
-    model = bucket_model(reads, assigned, cands.select("key").distinct()).join(sizes.select("key", "pop"), "key")
-    # what the read itself gave to its own bucket's model doesn't count
-    hits = salted_lookup(gram_hits(cands.join(turned, "read_id"), GRAM), model, "key", "pop", "read_id", also=("gram",), counted=sizes).where("n > 1 or key <> own or given = 0")
-    return hits.groupBy("read_id", "key", "off", "rc").agg(F.sum("times").alias("score"))
+    read, in the candidate's direction, whose 8-mer another read of the bucket holds. assigned (None: by popularity) has each read in one
+    of its candidates, equal reads in the same. alone: only of reads that are alone in their bucket."""
+    held = blocks.popular(blocks.pack(reads, k), k) if assigned is None else blocks.pack(reads, k, assigned)
+    return blocks.scores(held, k, GRAM, alone)
 
 
 def overlap(reads: DataFrame, k: int = K, rounds: int = 1, movers: str = "all") -> DataFrame:
     """(read_id, key, off, rc) after rounds of moving reads to the bucket of the highest score; a read
     without any score above 0 stays. movers `onsies` moves only reads that are alone."""
-    shared = shared_mers(reads, k)
-    now = materialize(popularity(reads, k, shared=shared), "assigned")
-    for _ in range(rounds):
-        who = onsies(now) if movers == "onsies" else None
-        best = F.max_by(F.struct("key", "off", "rc"), F.struct(F.col("score"), -F.col("key")))
-        moved = overlap_scores(reads, now, who, k, shared).groupBy("read_id").agg(best.alias("b"))
-        now = now.join(moved, "read_id", "left").select("read_id", *(F.coalesce(f"b.{c}", c).alias(c) for c in ("key", "off", "rc")))
-        now = materialize(now, "assigned")
-    return now
+    held = blocks.popular(blocks.pack(reads, k), k)
+    best = F.max_by(F.struct("key", "off", "rc"), F.struct(F.col("score"), -F.col("key")))
+    for i in range(rounds):
+        # where a read is now scores 0, below any bucket that it may move to
+        all_ = blocks.members(held).withColumn("score", F.lit(0).cast("bigint")).unionByName(blocks.scores(held, k, GRAM, movers == "onsies"))
+        now = materialize(all_.groupBy("read_id").agg(best.alias("b")).select("read_id", "b.*"), "assigned")
+        held = blocks.pack(reads, k, now) if i + 1 < rounds else held
+    return now if rounds else blocks.members(held)
 
 
 #: Reads of a bucket that one task works on in order.

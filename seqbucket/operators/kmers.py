@@ -27,11 +27,19 @@ def _joined(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _rolled(codes: np.ndarray, k: int, reverse: bool = False) -> np.ndarray:
     """The mer from each place on, or its reverse complement; codes above 3 must be gone."""
     n = len(codes) - k + 1
-    out = np.zeros(max(n, 0), np.int64)
-    for j in range(k if n > 0 else 0):
-        part = codes[j : j + n].astype(np.int64)
-        out |= part << (2 * j) if reverse else part << (2 * (k - 1 - j))
-    return out
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    # mers of 1, 2, 4 ... bases; those of which k is the sum are put together
+    part, size, out, have = codes.astype(np.int64), 1, np.zeros(n, np.int64), 0
+    while True:
+        if k & size:
+            piece = part[have : have + n]
+            out = out | piece << 2 * have if reverse else out << 2 * size | piece
+            have += size
+        if 2 * size > k:
+            return out
+        part = part[:-size] | part[size:] << 2 * size if reverse else part[:-size] << 2 * size | part[size:]
+        size *= 2
 
 
 def _places(starts: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,32 +225,3 @@ def slices(texts: list[str], k: int) -> Iterator[np.ndarray]:
     for t in texts:
         yield all_[at : at + max(len(t) - k + 1, 0)]
         at += len(t)
-
-
-def gram_hits(df: DataFrame, k: int) -> DataFrame:
-    """df(read_id, key, off, rc, own, own_rc, f, r) -> (read_id, key, off, rc, own, gram, times, given): the
-    different grams of f or, where rc is 1, of r, how often each stands there, and whether it stands too in the
-    sequence that own_rc names."""
-    names = ["read_id", "key", "off", "rc", "own", "gram", "times", "given"]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
-
-    def of(texts: list[str]) -> np.ndarray:
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        codes = _CODE[data]
-        all_ = _rolled(np.where(codes < 4, codes, 0), k)
-        at, owner = _places(starts, len(all_), k)
-        return owner << 2 * k | all_[at]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            read, key, off, rc, own, own_rc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            f, r = (b.column(i).to_pylist() for i in (6, 7))
-            turned = lambda d: of([y if z else x for x, y, z in zip(f, r, d)])
-            asked, times = np.unique(turned(rc), return_counts=True)
-            given = np.isin(asked, np.unique(turned(own_rc)))
-            row, gram = asked >> 2 * k, asked & ((1 << 2 * k) - 1)
-            columns = [read[row], key[row], off[row], rc[row], own[row], gram, times, given.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=names)
-
-    return df.select("read_id", "key", "off", "rc", "own", "own_rc", "f", "r").mapInArrow(run, schema)

@@ -376,20 +376,19 @@ def q_bucket_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SCORES} SELECT read_id, key, score FROM score")
 def q_overlap_score(spark: SparkSession, d: str) -> DataFrame:
-    rows, a = assigned(spark, d)
-    return assign.named(assign.overlap_scores(rows, materialize(a, "assigned"))).select("read_id", "key", "score")
+    return assign.named(assign.overlap_scores(seqs(spark, d))).select("read_id", "key", "score")
 
 
 @query(f"WITH {_SCORES} SELECT a.read_id, coalesce(b.key, a.key) AS key, coalesce(b.off, a.off) AS off, coalesce(b.rc, a.rc) AS rc FROM asg a LEFT JOIN best b ON a.read_id = b.read_id")
 def q_assign_overlap(spark: SparkSession, d: str) -> DataFrame:
     """One round of moving reads to the bucket they overlap most."""
-    return assign.named(assign.overlap(kept(spark, d)))
+    return assign.named(assign.overlap(seqs(spark, d)))
 
 
 @query(f"""WITH {_SCORES} SELECT a.read_id, coalesce(b.key, a.key) AS key, coalesce(b.off, a.off) AS off, coalesce(b.rc, a.rc) AS rc
 FROM asg a JOIN sz ON a.key = sz.key LEFT JOIN best b ON a.read_id = b.read_id AND sz.n = 1""")
 def q_reassign_onsies(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(assign.overlap(kept(spark, d), movers="onsies"))
+    return assign.named(assign.overlap(seqs(spark, d), movers="onsies"))
 
 
 @query()

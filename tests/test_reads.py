@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqbucket.functions import dna, library
 from seqbucket.functions.kmer import code_mer, mer_code, mer_key
-from seqbucket.operators import archive, assign, cover, graph
+from seqbucket.operators import archive, assign, blocks, cover, graph
 from seqbucket.operators.kmers import candidate_counts, candidates, smallest
 from seqbucket.operators.partition import best_ranges, common_prefix, partition, running_prefix
 from seqbucket.operators.skew import salted_lookup
@@ -181,6 +181,31 @@ def test_overlap_scores_split_hot_keys(spark, monkeypatch, limit):
     assert got == scores(data, where, 9)
 
 
+@pytest.mark.parametrize("bases,mers", [(3_000_000, 1 << 21), (300, 64)])
+def test_overlap_scores_in_blocks(spark, monkeypatch, bases, mers):
+    """Reads in one block and in many, over few ranges of mers and many: the scores are those of the plain rule, for
+    reads with N, their reverse complements and copies too."""
+    monkeypatch.setattr(blocks, "BASES", bases)
+    monkeypatch.setattr(blocks, "RANGE", mers)
+    data = sample() + [(2000 + i, s) for i, s in sample(20)] + [(5000 + i, rc(s)) for i, s in sample(20)] + [(8000 + i, "ACGTTGCAACGTAAGG" + "ACGT"[i % 4] * (i % 9)) for i in range(40)]
+    df = spark.createDataFrame(data, "read_id long, seq string").repartition(3)
+    where = popularity(data, 9)
+    want = scores(data, where, 9)
+    got = {(r["read_id"], r["key"]): (r["off"], r["rc"], r["score"]) for r in assign.named(assign.overlap_scores(df, k=9), 9).collect()}
+    assert got == want
+
+
+def test_overlap_scores_shuffle_few_bytes_a_mer(spark):
+    """Reads that hardly share a mer: what is shuffled is a few bytes a mer, not a row for each strand of it."""
+    rnd = random.Random(7)
+    data = [(i, "".join(rnd.choices("ACGT", k=100))) for i in range(4000)]
+    df = spark.createDataFrame(data, "read_id long, seq string").repartition(2)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assign.overlap_scores(df).count()
+    assert written() - before < 8 * 86 * len(data)
+
+
 def test_archive_round_trip(spark, rows, reads):
     packed = archive.rotated(reads, assign.popularity(reads, 9), 9)
     assert archive.faults(packed).count() == 0
