@@ -70,13 +70,18 @@ def _turned(mer: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _mixed(mer: np.ndarray, k: int) -> np.ndarray:
+def mixed(mer: np.ndarray, k: int) -> np.ndarray:
     return mer.astype(np.uint64) * _MIX & np.uint64((1 << 2 * k) - 1)
 
 
+def unmixed(number: np.ndarray, k: int) -> np.ndarray:
+    """The mers that were mixed to these numbers."""
+    return (number * np.uint64(pow(int(_MIX), -1, 1 << 2 * k)) & np.uint64((1 << 2 * k) - 1)).astype(np.int64)
+
+
 def _paired(mer: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of a mer and its reverse complement, and whether the mer is the smaller of both."""
-    return _mixed(np.minimum(mer, turned), k), mer <= turned
+    return mixed(np.minimum(mer, turned), k), mer <= turned
 
 
 def _numbers(forward: np.ndarray, backward: np.ndarray, bad: np.ndarray, k: int) -> list[np.ndarray]:
@@ -104,6 +109,20 @@ def _open(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, rest.astype(np.uint64)]), dtype=np.uint64)
 
 
+def counted(numbers: np.ndarray, n: np.ndarray) -> bytes:
+    """Numbers in ascending order and their counts, most of which are 1."""
+    several = np.flatnonzero(n != 1).astype(np.int32)
+    return pickle.dumps((_close(numbers), several, n[several]), 5)
+
+
+def recounted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    packed, several, counts = pickle.loads(data)
+    numbers = _open(packed)
+    n = np.ones(len(numbers), np.int64)
+    n[several] = counts
+    return numbers, n
+
+
 def pack(reads: DataFrame, k: int, assigned: DataFrame | None = None) -> DataFrame:
     """reads(read_id, seq) -> (block, windows, data), written: the reads of k letters or more in blocks. assigned(read_id, key, off, rc): their buckets;
     reads that it doesn't have are left out."""

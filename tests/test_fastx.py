@@ -1,11 +1,13 @@
 """FASTA and FASTQ files: layouts, mates, errors, the command line, the stream."""
 
 import gzip
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqbucket import cli
+from seqbucket.operators import blocks
 from seqbucket.sources import fastx
 from seqbucket.sources.fastx import FastxError, FastxSource, parse
 from seqbucket.streaming import arrivals
@@ -121,6 +123,32 @@ def test_stream(spark, rows, tmp_path):
     assert sum(r["n"] for r in counts.collect()) == 24 and counts.count() == 6
 
 
+@pytest.mark.parametrize("bases,mers", [(3_000_000, 1 << 21), (50, 8)])
+def test_mer_counts_of_a_stream(spark, rows, tmp_path, monkeypatch, bases, mers):
+    """Every delivery counts, however late it is and over whatever batches a window comes; there is no state. k is odd and even, above and below 5."""
+    monkeypatch.setattr(blocks, "BASES", bases)
+    monkeypatch.setattr(blocks, "RANGE", mers)
+    texts = ["ACGTNACGTACGTTT", "acgt acgt\tttt", "AC", "", None, "A" * 20, "NNNNNNNNNNNN", "ACGTRACGTACCCTTTACGA"]
+    days = ["2025-06-01", "2025-06-02", "2025-01-01", "2025-06-02"]
+    data = [(i, texts[i % 8], f"{days[i // 10]} 0{i % 10}:00:00" if i % 13 else None) for i in range(40)]
+    src = str(tmp_path / "reads")
+    for part in range(4):
+        df = spark.createDataFrame(data[part * 10 : part * 10 + 10], "read_id long, seq string, at string")
+        df.select("read_id", "seq", F.col("at").cast("timestamp").alias("loaded_at")).coalesce(1).write.mode("append").parquet(src)
+    for k in (15, 8, 3):
+        want: dict = {}
+        for _, s, at in data:
+            s = "".join((s or "").upper().split())
+            for g in (s[p : p + k] for p in range(len(s) - k + 1)) if at else ():
+                if set(g) <= set("ACGT"):
+                    want[at[:10], g] = want.get((at[:10], g), 0) + 1
+        stream = arrivals.mer_counts(arrivals.arriving(spark, src, 1), k)
+        counts = arrivals.run_to_end(stream, str(tmp_path / f"o{k}"), str(tmp_path / f"c{k}"), ["window_start", "gram"])
+        assert [n for n, _ in counts.dtypes] == ["window_start", "gram", "n"]
+        assert rows(counts) == sorted([(datetime.fromisoformat(d), g, n) for (d, g), n in want.items()], key=repr)
+        assert len(list((tmp_path / f"o{k}").glob("batch=*"))) == 4 and not list((tmp_path / f"c{k}").glob("state/*"))
+
+
 def test_closed_windows_leave_the_state(spark, tmp_path):
     src = tmp_path / "reads"
     for i, day in enumerate(("2025-01-01", "2025-03-01", "2025-05-01", "2025-07-01")):
