@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqbucket.operators.kmers import _CODE, _both, _places, _rolled
+from seqbucket.operators.skew import HOT
 from seqbucket.session import materialize
 
 #: Bases of a block; mers of a range of numbers, over all blocks.
 #: Members of a bucket after which its whole table is cleared instead of theirs.
-BASES, RANGE, MANY = 3_000_000, 1 << 21, 1000
+#: Rows of one sequence in a task.
+BASES, RANGE, MANY, HOT_SEQ = 3_000_000, 1 << 21, 1000, 20_000
 #: Odd, so that multiplying by it modulo a power of two loses nothing.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,8 +126,9 @@ def recounted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(reads: DataFrame, k: int, assigned: DataFrame | None = None) -> DataFrame:
-    """reads(read_id, seq) -> (block, windows, data), written: the reads of k letters or more in blocks. assigned(read_id, key, off, rc): their buckets;
-    reads that it doesn't have are left out."""
+    """reads(read_id, seq) -> (block, windows, data), written: the reads of k letters or more in blocks, equal rows once. assigned(read_id, key, off, rc): their
+    buckets; reads that it doesn't have are left out. Equal sequences meet in a task, by the shuffle that makes rows different;
+    those of more than HOT_SEQ rows in several, as their rows are counted before."""
     own, most = ("key", "off", "rc") if assigned is not None else (), BASES
     rows = reads.select("read_id", "seq") if assigned is None else reads.select("read_id", "seq").join(assigned.select("read_id", *own), "read_id")
 
@@ -145,7 +148,7 @@ def pack(reads: DataFrame, k: int, assigned: DataFrame | None = None) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([windows]), pa.array([data], pa.binary())], names=["block", "windows", "data"])
 
         for b in batches:
-            for i, *what in zip(*(c.to_pylist() for c in b.columns)):
+            for i, *what in zip(*(c.to_pylist() for c in b.columns[: 2 + len(own)])):
                 if what[0] is None or len(what[0]) < k:
                     continue
                 some = held.get(what := tuple(what))
@@ -160,6 +163,12 @@ def pack(reads: DataFrame, k: int, assigned: DataFrame | None = None) -> DataFra
         if held:
             yield close()
 
+    hashed = F.xxhash64("seq")
+    counts = reads.select(hashed.alias("_hash")).groupBy("_hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEQ)
+    hot = counts.orderBy(F.desc("n"), "_hash").limit(HOT).select("_hash", F.ceil(F.col("n") / HOT_SEQ).alias("_salts"))
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("read_id"), F.col("_salts"))).alias("_salt")
+    rows = rows.join(F.broadcast(hot), hashed == F.col("_hash"), "left").select("read_id", "seq", *own, salt)
+    rows = rows.repartition("seq", "_salt").distinct()
     return materialize(rows.mapInArrow(run, "block long, windows long, data binary"), "blocks")
 
 

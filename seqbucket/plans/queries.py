@@ -74,11 +74,16 @@ def query(sql: str | None = None) -> Callable:
 # ---- shared views ---------------------------------------------------------------------------------------
 
 
+def delivered(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """read_id, seq and the columns asked for, of all deliveries."""
+    t = table(spark, d, "reads").where("seq is not null").withColumn("lib", F.upper("lib_name"))
+    return t.select("read_id", dna.ingest(F.col("seq")).alias("seq"), *more)
+
+
 def all_reads(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """read_id, seq and the columns asked for, once per read: a redelivered row repeats all of them, so only these columns are read
     and made distinct. lib is lib_name in upper case."""
-    t = table(spark, d, "reads").where("seq is not null").withColumn("lib", F.upper("lib_name"))
-    return t.select("read_id", dna.ingest(F.col("seq")).alias("seq"), *more).distinct()
+    return delivered(spark, d, *more).distinct()
 
 
 def reads(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -376,19 +381,19 @@ def q_bucket_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SCORES} SELECT read_id, key, score FROM score")
 def q_overlap_score(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(assign.overlap_scores(seqs(spark, d))).select("read_id", "key", "score")
+    return assign.named(assign.overlap_scores(delivered(spark, d))).select("read_id", "key", "score")
 
 
 @query(f"WITH {_SCORES} SELECT a.read_id, coalesce(b.key, a.key) AS key, coalesce(b.off, a.off) AS off, coalesce(b.rc, a.rc) AS rc FROM asg a LEFT JOIN best b ON a.read_id = b.read_id")
 def q_assign_overlap(spark: SparkSession, d: str) -> DataFrame:
     """One round of moving reads to the bucket they overlap most."""
-    return assign.named(assign.overlap(seqs(spark, d)))
+    return assign.named(assign.overlap(delivered(spark, d)))
 
 
 @query(f"""WITH {_SCORES} SELECT a.read_id, coalesce(b.key, a.key) AS key, coalesce(b.off, a.off) AS off, coalesce(b.rc, a.rc) AS rc
 FROM asg a JOIN sz ON a.key = sz.key LEFT JOIN best b ON a.read_id = b.read_id AND sz.n = 1""")
 def q_reassign_onsies(spark: SparkSession, d: str) -> DataFrame:
-    return assign.named(assign.overlap(seqs(spark, d), movers="onsies"))
+    return assign.named(assign.overlap(delivered(spark, d), movers="onsies"))
 
 
 @query()

@@ -195,6 +195,20 @@ def test_overlap_scores_in_blocks(spark, monkeypatch, bases, mers):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_overlap_in_blocks(spark, monkeypatch, hot):
+    """Reads delivered twice count once, equal reads go to the same bucket, and one that scores nowhere stays. Copies meet in one task or, beyond `hot`
+    rows, in several."""
+    monkeypatch.setattr(blocks, "HOT_SEQ", hot)
+    data = sample() + [(2000 + i, s) for i, s in sample(20)] + [(8000 + i, "ACGTTGCAACGTAAGG" + "ACGT"[i % 4] * (i % 9)) for i in range(40)]
+    df = spark.createDataFrame(data + data[::3], "read_id long, seq string").repartition(3)
+    want = popularity(data, 9)
+    for (i, key), (off, d, _) in sorted(scores(data, want, 9).items(), key=lambda x: (-x[1][2], x[0][1]), reverse=True):
+        want[i] = (key, off, d)
+    got = [(r["read_id"], (r["key"], r["off"], r["rc"])) for r in assign.named(assign.overlap(df, 9), 9).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_overlap_scores_shuffle_few_bytes_a_mer(spark):
     """Reads that hardly share a mer: what is shuffled is a few bytes a mer, not a row for each strand of it."""
     rnd = random.Random(7)
